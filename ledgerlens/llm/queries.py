@@ -5,10 +5,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import chat, licences, secrets
 from ledgerlens.llm.common import table
 from ledgerlens.llm.winnowing import find_contamination
 
 
+def op2_positional_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and templates in documents."""
+    found = licences.scan_licences(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+    names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda m: m["label"]))), ",")
+    places = F.transform(base, lambda m: m["at"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(places).cast("long").alias("first_word"),
+        F.array_max(places).cast("long").alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["agreed"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op4_event_sourced_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rendered with loss masks, as read back from the rendered text."""
+    hard = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text")
+    )
+    out = chat.format_chats(chat.events_of_turns(turns.unionByName(own)))
+    read = out.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"))
+    learnt = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    read = read.withColumn("learnt", learnt)
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.char_length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in documents, by way of a new ledger of blobs."""
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words found in documents."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -23,10 +79,45 @@ def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op2_positional_licences": op2_positional_licences,
+    "op4_event_sourced_chats": op4_event_sourced_chats,
+    "op6_blob_ledger_secrets": op6_blob_ledger_secrets,
     "op9_winnowing_decontamination": op9_winnowing_decontamination,
 }
 
+def _secrets_sql() -> str:
+    """The same rules by DuckDB's own pattern functions; places from the pieces between matches."""
+    parts = []
+    for rank, r in enumerate(secrets.RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, rid, {rank} AS rank, '{r.kind}' AS kind, {r.min_length} AS least, "
+            f"regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {r.measured}) AS g, regexp_split_to_array(t, '{pattern}') AS b FROM d"
+        )
+    return f"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+        x AS ({" UNION ALL ".join(parts)}),
+        y AS (SELECT rid, rank, kind, least, g[i] AS g, length(m[i]) AS long,
+                     list_sum(list_transform(b[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda v: length(v))), 0) AS s
+              FROM x, LATERAL unnest(range(1, len(m) + 1)) AS u(i)),
+        z AS (SELECT rid, rank, kind, s, kind || ':' || s::BIGINT || ':' || (s + long)::BIGINT AS said FROM y WHERE length(g) >= least),
+        a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                     string_agg(said, ',' ORDER BY s, rank) FILTER (rank < {len(secrets.BASE_RULES)}) AS base, string_agg(said, ',' ORDER BY s, rank) AS spans FROM z GROUP BY rid)
+        SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN a USING (rid)"""
+
+
 ORACLE = {
+    "op4_event_sourced_chats": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) AS r(i))
+        SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(4 + length(url_encode(role)) + 2 + length(text) + 9 + length(regexp_replace(text, '[^\\#<]', '', 'g')))::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id""",
+    "op6_blob_ledger_secrets": _secrets_sql(),
     "op9_winnowing_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
