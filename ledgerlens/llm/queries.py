@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, licences, secrets
+from ledgerlens.llm import chat, langid, licences, mixing, permutation, secrets, simhash
 from ledgerlens.llm.common import table
 from ledgerlens.llm.winnowing import find_contamination
 
@@ -28,6 +28,11 @@ def op2_positional_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 3, 1, 2 at 150 % of their words."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_event_sourced_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations rendered with loss masks, as read back from the rendered text."""
     hard = r"\### Assistant: </turn> ok"
@@ -65,6 +70,18 @@ def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest embeddings of every hundredth one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutation.search(vectors, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
+
+
+def op8_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of documents."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words found in documents."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -78,11 +95,23 @@ def op9_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents, learned from the two thirds that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    away = langid.held_out()
+    filters = langid.fit(docs.where(~away & F.col("doc_id").isNotNull()))
+    return langid.identify(docs.select("doc_id", away.alias("held_out"), "text"), filters).drop("text")
+
+
 QUERIES = {
     "op2_positional_licences": op2_positional_licences,
+    "op3_sainte_lague_mix": op3_sainte_lague_mix,
     "op4_event_sourced_chats": op4_event_sourced_chats,
     "op6_blob_ledger_secrets": op6_blob_ledger_secrets,
+    "op7_permutation_index": op7_permutation_index,
+    "op8_simhash_variants": op8_simhash_variants,
     "op9_winnowing_decontamination": op9_winnowing_decontamination,
+    "op10_bitmask_language": op10_bitmask_language,
 }
 
 def _secrets_sql() -> str:
