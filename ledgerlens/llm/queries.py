@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, langid, licences, mixing, permutation, secrets, simhash
+from ledgerlens.llm import chat, cotraining, langid, licences, mixing, permutation, secrets, simhash, tokens
 from ledgerlens.llm.common import table
 from ledgerlens.llm.winnowing import find_contamination
 
 
+def op1_offset_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of documents and of their lines; a token belongs to the line of its first character."""
+    found = tokens.attribute_tokens(table(spark, sf_dir, "documents"))
+    counts = F.transform("sections", lambda s: s["tokens"])
+    return found.select(
+        "doc_id", "n_tokens", F.size("sections").cast("long").alias("n_lines"), "n_crossing", F.coalesce(F.array_max(counts), F.lit(0).cast("long")).alias("longest_line"), F.array_join(counts.cast("array<string>"), ",").alias("line_tokens")
+    )
+
+
 def op2_positional_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and templates in documents."""
     found = licences.scan_licences(table(spark, sf_dir, "documents"))
@@ -55,6 +64,12 @@ def op4_event_sourced_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.classify_quality(docs, cotraining.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in documents, by way of a new ledger of blobs."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
@@ -104,9 +119,11 @@ def op10_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_offset_attribution": op1_offset_attribution,
     "op2_positional_licences": op2_positional_licences,
     "op3_sainte_lague_mix": op3_sainte_lague_mix,
     "op4_event_sourced_chats": op4_event_sourced_chats,
+    "op5_cotrained_quality": op5_cotrained_quality,
     "op6_blob_ledger_secrets": op6_blob_ledger_secrets,
     "op7_permutation_index": op7_permutation_index,
     "op8_simhash_variants": op8_simhash_variants,

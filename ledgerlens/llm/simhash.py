@@ -12,7 +12,7 @@ of the links instead of all pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import written
@@ -48,7 +48,7 @@ def fingerprint_text(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id_col, fp): the fingerprint of each row as a signed long."""
+    """(_id, text_key, fp): each row's id, a hash of its text, and its fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType
 
     def batches(rows):
@@ -56,10 +56,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import pyarrow as pa
 
         for batch in rows:
-            fps = np.fromiter((fingerprint_text(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            fps = np.fromiter((fingerprint_text(t.as_py(), shingle) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["_id", "text_key", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(batches, f"`{id_col}` {kind.simpleString()}, fp long")
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(batches, f"_id {kind.simpleString()}, text_key long, fp long")
 
 
 def linked_in_run(fps):
@@ -163,19 +164,35 @@ def variant_keys(fp: str = "fp"):
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: id_col, fp (signed long), component_id.
+    """One row per row of ``docs``: id_col, text_key, fp (signed long), component_id, root.
 
     component_id is the smallest id reachable over links of at most two differing bits; a null id
-    is never the smallest, and is the component's only where no row in it has an id. Texts without
-    words, null ones too, have fingerprint 0 and link as any other. Repeated rows stay; an empty table
-    gives an empty result; other columns are not looked at.
+    is never the smallest, and is the component's only where no row in it has an id. root is a
+    fingerprint that names the component. Texts without words, null ones too, have
+    fingerprint 0 and link as any other. Repeated rows stay; an empty table gives an empty
+    result; other columns are not looked at.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("first_id"))
+    nodes = prints.groupBy("fp").agg(F.min("_id").alias("first_id"))
     keyed = nodes.select(F.explode(variant_keys()).alias("key"), "fp")
     keyed = keyed.repartition("key").sortWithinPartitions("key")
     roots = connected(_links(keyed).distinct())
     linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = linked.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select(id_col, "fp", "component_id")
+    of = linked.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(of, "fp").select(F.col("_id").alias(id_col), "text_key", "fp", "component_id", "root")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component: the one of the smallest id (null last), then of the lowest text hash.
+
+    Rows that share id and text are told apart by their other columns, the smallest first.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    pick = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_key"))
+    kept = found.groupBy("root").agg(pick.alias("p")).select(F.col("p.id").alias("_kept_id"), F.col("p.text_key").alias("_kept_key"))
+    rows = docs.withColumn("_text_key", F.xxhash64(text_col))
+    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows["_text_key"] == kept["_kept_key"]), "left_semi")
+    rest = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
+    order = Window.partitionBy(id_col, "_text_key").orderBy(*(rest or [F.lit(1)]))
+    return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*docs.columns)

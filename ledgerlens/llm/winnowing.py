@@ -94,7 +94,7 @@ def find_contamination(
     length: int = WINDOW_WORDS,
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """One row per row of ``docs``: id_col, n_words, n_hit, hit_spans, items, contaminated.
+    """One row per row of ``docs``: id_col, text_key (a hash of the text), n_words, n_hit, hit_spans, items, contaminated.
 
     hit_spans are merged word ranges [start, end) covered by benchmark windows; items are the
     ids, as sorted strings, whose windows occur. Null and word-less texts have no words and
@@ -125,7 +125,16 @@ def find_contamination(
     merged = per_doc.withColumn("hit_spans", _merged(F.col("spans")))
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["s"]).cast("long"))
     out = merged.select("_id", "n_words", n_hit.alias("n_hit"), "hit_spans", "items", (F.size("hit_spans") > 0).alias("contaminated"), "_key", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return out.select(F.col("_id").alias(id_col), "n_words", "n_hit", "hit_spans", "items", "contaminated")
+    return out.select(F.col("_id").alias(id_col), F.col("_key").alias("text_key"), "n_words", "n_hit", "hit_spans", "items", "contaminated")
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs."""
+    found = find_contamination(docs, items, id_col=id_col, text_col=text_col, **options).where("contaminated")
+    bad = found.select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
+    rows = docs.withColumn("_text_key", F.xxhash64(text_col))
+    same = rows[id_col].eqNullSafe(bad["_bad_id"]) & (rows["_text_key"] == bad["_bad_key"])
+    return rows.join(bad, same, "left_anti").select(*docs.columns)
 
 
 #: A fingerprint that no window is looked up by: its rows mark documents. A window that happens to
