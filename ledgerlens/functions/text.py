@@ -143,12 +143,15 @@ PII = (
 )
 
 
+def _redactions(kind: str, token: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("original"), F.lit(token).alias("replacement"))
+
+
 def redact(c: Column) -> tuple[Column, Column]:
     """(redacted text, array<struct<kind, original, replacement>> in the order of redaction)."""
     out, found = F.coalesce(c, F.lit("")), []
     for kind, pattern, token in PII:
-        own = F.regexp_extract_all(out, F.lit(pattern), F.lit(0))
-        found.append(F.transform(own, lambda x, k=kind, t=token: F.struct(F.lit(k).alias("kind"), x.alias("original"), F.lit(t).alias("replacement"))))
+        found.append(F.transform(F.regexp_extract_all(out, F.lit(pattern), F.lit(0)), _redactions(kind, token)))
         out = F.regexp_replace(out, pattern, token)
     return out, F.concat(*found)
 

@@ -38,6 +38,10 @@ def _unfold(names: list[str], *rows: tuple):
     return F.inline(F.array(*[F.struct(*[(c if hasattr(c, "cast") else F.lit(c)).alias(n) for n, c in zip(names, row, strict=True)]) for row in rows]))
 
 
+def _is(value: str):
+    return lambda x: x == value
+
+
 LINE_RULES = (
     DecisionRule("L1", "l_discount <= 0.05 and l_tax <= 0.04", "critica", "Small discount and tax"),
     DecisionRule("L2", "l_returnflag in ['A', 'R'] or l_quantity > 25", "advertencia", "Returned or many"),
@@ -303,10 +307,10 @@ def latest_n_events(spark, d):
     return stats.newest(t(spark, d, "events"), ["ts", "event_id"]).select("event_id", "event_type", "user_id")
 
 
-@query("""SELECT event_id, round(avg(value) OVER w, 6) AS running_value, count(*) OVER w AS running_n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+@query("""SELECT event_id, round(avg(value) OVER w, 10) AS running_value, count(*) OVER w AS running_n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def running_average(spark, d):
     r = stats.running_mean(t(spark, d, "events").select("event_id", "user_id", "ts", "value"), "value", ["ts", "event_id"], ["user_id"])
-    return r.select("event_id", F.round("running_value", 6).alias("running_value"), "running_n")
+    return r.select("event_id", F.round("running_value", 10).alias("running_value"), "running_n")
 
 
 @query("""WITH x AS (SELECT user_id, event_type, coalesce(lead(v, 1 IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), NULL) AS nx, first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS nxt FROM (SELECT *, CASE WHEN value > 10 THEN value END AS v FROM events))
@@ -338,7 +342,7 @@ def classify_documents(spark, d):
 
 
 @query(r"""WITH x AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), y AS (SELECT doc_id, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS l, length(regexp_replace(t, '[^0-9]', '', 'g')) AS n,
-    length(regexp_replace(t, '[\p{L}\p{N}\s]', '', 'g')) AS s, len(regexp_extract_all(t, '[A-Za-z0-9ÁÉÍÓÚÜÑáéíóúüñ]{2,}')) AS w FROM x), z AS (SELECT *, l * 1.6 + n * 0.7 + w * 7.5 - s * 2.0 AS sc FROM y)
+    length(regexp_replace(t, '[\p{L}\p{N}\s]', '', 'g')) AS s, len(regexp_extract_all(t, '[A-Za-z0-9ÁÉÍÓÚÜÑáéíóúüñ]{2,}')) AS w FROM x), z AS (SELECT *, l * 1.6::DOUBLE + n * 0.7::DOUBLE + w * 7.5::DOUBLE - s * 2.0::DOUBLE AS sc FROM y)
     SELECT doc_id, round(sc, 4) AS score, w >= 4 AND sc >= 35 AS meaningful, w >= 3 AND l + n >= 12 AS extractable FROM z""")
 def text_signal_score(spark, d):
     c = F.col("text")
@@ -358,7 +362,7 @@ def redact_emails_ascii(spark, d):
 def redact_pii_counts(spark, d):
     out, found = text.redact(F.col("text"))
     rows = t(spark, d, "documents").select("doc_id", out.alias("redacted"), found.alias("found"))
-    return rows.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), *[F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k, _, _ in text.PII])
+    return rows.select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"), *[F.size(F.filter(F.transform("found", lambda x: x["kind"]), _is(k))).cast("long").alias(f"n_{k}") for k, _, _ in text.PII])
 
 
 @query(r"""WITH x AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents), y AS (SELECT doc_id, i, regexp_replace(substr(t, i * 1000 + 1, 1200), '^\s+|\s+$', '', 'g') AS c FROM x, LATERAL unnest(range(0, greatest(ceil((length(t) - 1200) / 1000.0)::INT, 0) + 1)) AS u(i)),
@@ -406,10 +410,10 @@ def parse_numbers(spark, d):
     return li.select("l_orderkey", "l_linenumber", F.round(numbers.parse_number(en), 2).alias("en"), F.round(numbers.parse_number(es), 2).alias("es"), F.round(numbers.parse_number(F.col("l_quantity").cast("string")), 2).alias("plain"))
 
 
-@query("""SELECT o_orderkey, round(CASE WHEN r = 0 THEN o_totalprice / n ELSE o_totalprice * r / (1 - power(1 + r, -n)) END, 4) AS payment FROM (SELECT *, (o_orderkey % 8) / 100.0 / 12.0 AS r, (o_custkey % 300 + 12)::DOUBLE AS n FROM orders)""")
+@query("""SELECT o_orderkey, round(CASE WHEN r = 0 THEN o_totalprice / n ELSE o_totalprice * r / (1 - power(1 + r, -n)) END, 3) AS payment FROM (SELECT *, (o_orderkey % 8)::DOUBLE / 100.0::DOUBLE / 12.0::DOUBLE AS r, (o_custkey % 300 + 12)::DOUBLE AS n FROM orders)""")
 def loan_payment(spark, d):
     o = t(spark, d, "orders")
-    return o.select("o_orderkey", F.round(numbers.monthly_payment(F.col("o_totalprice"), (F.col("o_orderkey") % 8).cast("double"), (F.col("o_custkey") % 300 + 12).cast("double")), 4).alias("payment"))
+    return o.select("o_orderkey", F.round(numbers.monthly_payment(F.col("o_totalprice"), (F.col("o_orderkey") % 8).cast("double"), (F.col("o_custkey") % 300 + 12).cast("double")), 3).alias("payment"))
 
 
 @query("""SELECT p_partkey, list_sort(list_distinct([p_size::DOUBLE, p_size / 10, round(p_size * 10.0, 4), p_size / 100, p_size * 100.0, p_size / 1000, p_size * 1000.0, p_size / 10000, p_size * 10000.0])) [1] AS least, len(list_distinct([p_size::DOUBLE, p_size / 10, p_size * 10.0, p_size / 100, p_size * 100.0, p_size / 1000, p_size * 1000.0, p_size / 10000, p_size * 10000.0])) AS n,
