@@ -33,7 +33,7 @@ def line_edges(text: str) -> tuple[list[int], list[int]]:
         at += len(line) + 1
     if starts[-1] >= len(text):  # nothing after the last line feed
         starts.pop()
-    return starts, [*starts[1:], len(text)]
+    return starts, [*starts[1:], len(text)] if starts else []
 
 
 class Attributor:
