@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,14 +67,14 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NON_WORD), "")
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
-    """Names a row by its id and its text, so that rows that share an id stay apart."""
-    return [F.col(id_col), F.xxhash64(F.col(text_col)).alias("_text_key")]
+def packed(docs: DataFrame, **named: Column) -> DataFrame:
+    """Each row as a struct ``row`` beside the named columns, so that no column of docs can clash with another table's."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(whole, *[c.alias(n) for n, c in named.items()])
 
 
-def null_safe(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[n].eqNullSafe(b[n]) for n in names])
-
-
-def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
-    return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def fresh(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it as long as a column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = "_" + name
+    return name

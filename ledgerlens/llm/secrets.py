@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import scratch_path
+from ledgerlens.llm.common import packed, scratch_path
 
 
 @dataclass(frozen=True)
@@ -149,11 +149,16 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 def without_secrets(docs: DataFrame, ledger: str | None = None, rules=RULES, *, path_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """All rows of ``docs`` with their secrets replaced by a mark; length_col, if named, follows the new text."""
     found = scan_secrets(docs, ledger, rules, path_col=path_col, text_col=text_col).where(F.size("spans") > 0)
-    found = found.groupBy("blob").agg(F.any_value("spans").alias("_spans"))
-    rows = docs.withColumn("_blob", F.sha2(F.coalesce(text_col, F.lit("")), 256)).join(found, F.col("_blob") == F.col("blob"), "left")
-    rows = rows.withColumn("_new", F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("_spans"))))
+    found = found.groupBy("blob").agg(F.any_value("spans").alias("spans"))
+    text = F.col(f"row.`{text_col}`")
+    rows = packed(docs, own=F.sha2(F.coalesce(text_col, F.lit("")), 256)).join(found, F.col("own") == F.col("blob"), "left")
+    rows = rows.withColumn("new", F.when(F.col("spans").isNull(), text).otherwise(redacted(text, F.col("spans"))))
     out = []
     for c in docs.columns:
-        new = F.col("_new") if c == text_col else F.when(F.col("_spans").isNull(), F.col(c)).otherwise(F.char_length("_new")).cast(docs.schema[c].dataType) if c == length_col else F.col(c)
-        out.append(new.alias(c))
+        was = F.col(f"row.`{c}`")
+        if c == text_col:
+            was = F.col("new")
+        elif c == length_col:
+            was = F.when(F.col("spans").isNull(), was).otherwise(F.char_length("new").cast(docs.schema[c].dataType))
+        out.append(was.alias(c))
     return rows.select(*out)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import packed, written
 from ledgerlens.llm.components import connected
 
 SHINGLE = 3
@@ -191,8 +191,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
     pick = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_key"))
     kept = found.groupBy("root").agg(pick.alias("p")).select(F.col("p.id").alias("_kept_id"), F.col("p.text_key").alias("_kept_key"))
-    rows = docs.withColumn("_text_key", F.xxhash64(text_col))
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows["_text_key"] == kept["_kept_key"]), "left_semi")
-    rest = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
-    order = Window.partitionBy(id_col, "_text_key").orderBy(*(rest or [F.lit(1)]))
-    return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*docs.columns)
+    rows = packed(docs, id=F.col(id_col), text_key=F.xxhash64(text_col))
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["_kept_id"]) & (rows["text_key"] == kept["_kept_key"]), "left_semi")
+    order = Window.partitionBy("id", "text_key").orderBy("row")
+    return rows.withColumn("r", F.row_number().over(order)).where("r = 1").select("row.*")

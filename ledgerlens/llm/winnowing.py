@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import plain_words, written
+from ledgerlens.llm.common import packed, plain_words, written
 
 GRAM = 4
 WINDOW_WORDS = 10
@@ -132,9 +132,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     """The rows of ``docs`` in which no benchmark window occurs."""
     found = find_contamination(docs, items, id_col=id_col, text_col=text_col, **options).where("contaminated")
     bad = found.select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    rows = docs.withColumn("_text_key", F.xxhash64(text_col))
-    same = rows[id_col].eqNullSafe(bad["_bad_id"]) & (rows["_text_key"] == bad["_bad_key"])
-    return rows.join(bad, same, "left_anti").select(*docs.columns)
+    rows = packed(docs, id=F.col(id_col), text_key=F.xxhash64(text_col))
+    same = rows["id"].eqNullSafe(bad["_bad_id"]) & (rows["text_key"] == bad["_bad_key"])
+    return rows.join(bad, same, "left_anti").select("row.*")
 
 
 #: A fingerprint that no window is looked up by: its rows mark documents. A window that happens to
