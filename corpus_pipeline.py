@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import langid, mixing, secrets, simhash, winnowing
-from ledgerlens.llm.common import table, written
+from ledgerlens.llm.common import fresh, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = langid.fit(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()))
-    return langid.identify(docs, filters).where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    pred, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    found = langid.identify(docs, filters, pred_col=pred, score_col=score)
+    return found.where(F.col(pred) != langid.UNDETERMINED).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ FILTER_GRAMS = 60_000
 #: An n-gram is a language's if it is there at least this often, as a share of where it is most frequent.
 RELATIVE = 0.1
 LEAST_COUNT = 3
-BATCH_BYTES = 8 << 20
+#: Text that is counted, and that is scored, at once; scoring takes about 60 bytes for each byte of it.
+COUNT_BYTES, SCORE_BYTES = 4 << 20, 1 << 20
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -105,7 +106,7 @@ def gram_counts(labelled: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                 part = _normal(text.as_py())
                 waiting.setdefault(lang, []).append(part)
                 size[lang] = size.get(lang, 0) + len(part)
-                if size[lang] > BATCH_BYTES:
+                if size[lang] > COUNT_BYTES:
                     yield told(lang, waiting.pop(lang))
                     size[lang] = 0
         for lang, parts in waiting.items():
@@ -137,15 +138,15 @@ def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
     return LanguageFilters(languages, rows, fill)
 
 
-def identify(docs: DataFrame, filters: LanguageFilters, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, then lang_pred and score; columns of those names are replaced.
+def identify(docs: DataFrame, filters: LanguageFilters, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """All columns of ``docs``, then pred_col and score_col; columns of those names are replaced.
 
     score is the corrected share of the text's n-grams that the language contains. Null texts and
     those without a letter are `und` with score 0, as is everything if no language was learned.
     Ties go to the language that sorts first. Repeated rows stay; empty tables stay empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.rows, filters.fill))  # 8 MB for each 64 languages
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in (pred_col, score_col)]
     docs = docs.select(*keep)
     at = keep.index(text_col)
 
@@ -172,13 +173,13 @@ def identify(docs: DataFrame, filters: LanguageFilters, *, id_col: str = "doc_id
                 text = value.as_py()
                 texts.append(text)
                 size += len(text or "")
-                if size > BATCH_BYTES:
+                if size > SCORE_BYTES:
                     flush()
                     size = 0
             flush()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.array(scores, dtype=np.float64))], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(np.array(scores, dtype=np.float64))], names=[*keep, pred_col, score_col])
 
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
     return docs.mapInArrow(batches, schema)
 
 
