@@ -21,7 +21,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
 REPEATS = 2
 BLOCK_TOKENS = 32
-SHARD_ROWS = 20_000
+#: Rows that a shard has, about; more only where there would be more than MOST_SHARDS, whose quotas the driver deals.
+SHARD_ROWS = 2_000
+MOST_SHARDS = 100_000
 SEED = 20_240_601
 
 
@@ -120,13 +122,14 @@ def _taken(sizes, quota: int, seed: int, block: int):
     return times * sizes + upto(ends) - upto(ends - sizes)
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS, most_shards: int = MOST_SHARDS, seed: int = SEED) -> DataFrame:
     """One row per row of ``docs``: id_col, size, source_size, target, taken.
 
     A null text has size 0; rows with a null source make up one source, which stands last. Nothing is
     taken of documents without words. Rows that are equal in id, source and size are told apart by
     no more than their order, which changes no result. An empty table gives an empty result. The
-    driver holds a number for each source and each shard of at most about ``shard_rows`` rows.
+    driver holds a number for each source and each shard; shards have about ``shard_rows`` rows, or
+    more where the table has more than ``most_shards`` times as many.
     """
     sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_tokens(F.col(text_col)).alias("size"))
     sized = written(sized, "sizes")
@@ -134,6 +137,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     sizes = {s: r["size"] for s, r in rows.items()}
     wanted = targets(sizes)
     spark = docs.sparkSession
+    shard_rows = max(shard_rows, -(-sum(r["n"] for r in rows.values()) // most_shards))
     # every source is dealt to as many shards as its rows ask for
     known = [(s, sizes[s], float(wanted[s]), max(1, -(-rows[s]["n"] // shard_rows))) for s in sizes]
     names = spark.createDataFrame(known, "_s string, source_size long, target double, shards int") if known else spark.createDataFrame([], "_s string, source_size long, target double, shards int")
