@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are vectors of a bounded sample. A vector is represented by its nearest pivots in order;
-each pivot's inverted file posts the vectors that have it among their nearest, with
-its rank there. A query looks up its own nearest pivots, adds up the footrule distance of the two
-orders over the posts, and reranks the nearest by the exact distance.
+Pivots are vectors of a bounded sample. A vector is represented by its nearest pivots in order.
+The index is kept in shards, the Arrow batches of the table of permutations; in a shard each pivot's
+inverted file posts the vectors that have it among their nearest, with its rank. A query looks up
+its own pivots, adds up the footrule distance of the two orders over the posts, and reranks a
+share of the shard, nearest by footrule, by the exact distance. Shards return their nearest alone.
+
+Queries are taken in blocks of bounded size, each held against all shards.
 
 Equal vectors are one class with one post, and of a class the smallest ids, as many as a result can hold,
 stand for it: others can't be among a query's nearest.
@@ -16,10 +19,12 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import written
 
-PREFIX = 12
-#: Pivots: PIVOT_FACTOR * n ** (2/3) of the n distinct vectors, so that inverted files grow slower than n.
-PIVOT_FACTOR, LEAST_PIVOTS, MOST_PIVOTS = 0.4, 32, 8192
-RERANK = 400
+#: Pivots, a bounded sample of the vectors, and how many of them a permutation holds.
+PIVOTS, PREFIX = 256, 96
+#: Share of a shard that a query reranks, and the least number. Recall grows with both.
+RERANK_SHARE, LEAST_RERANK = 0.04, 200
+#: Queries of one block: about 4 MB to send out.
+BLOCK = 4096
 
 
 def usable(v):
@@ -52,10 +57,57 @@ def _permutations(rows: DataFrame, pivots, prefix: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, prefix), pa.int32()), pa.array(near.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), column, lists], names=["class_id", "vector", "near"])
 
-    return rows.select("class_id", "vector").mapInArrow(batches, "class_id long, vector array<float>, near array<int>")
+    return rows.select("class_id", "vector").mapInArrow(batches, "class_id long, vector array<double>, near array<int>")
+
+
+def _search_shard(ids, vectors, near, q_ids, q_vectors, q_near, pivots: int, k: int, share: float, least: int):
+    """Arrays (query, class, distance) of the k nearest found in one shard for each query."""
+    import numpy as np
+
+    n, prefix = near.shape
+    flat = near.ravel()
+    order = np.argsort(flat, kind="stable")
+    posts = (order // prefix).astype(np.int32)
+    gains = (prefix - order % prefix).astype(np.int32)  # what a shared pivot saves is twice the smaller of both gains
+    edges = np.searchsorted(flat[order], np.arange(pivots + 1))
+    depth = min(n, max(least, k, int(np.ceil(share * n))))
+    saved = np.empty(n, dtype=np.int32)
+    found = ([], [], [])
+    for q in range(len(q_ids)):
+        saved[:] = 0
+        for rank, p in enumerate(q_near[q]):
+            lo, hi = edges[p], edges[p + 1]
+            saved[posts[lo:hi]] += np.minimum(gains[lo:hi], prefix - rank)
+        some = np.argpartition(-saved, depth - 1)[:depth] if depth < n else np.arange(n)
+        d = np.sqrt(((vectors[some] - q_vectors[q]) ** 2).sum(axis=1))
+        best = np.lexsort((ids[some], d))[:k]
+        found[0].append(np.full(len(best), q_ids[q]))
+        found[1].append(ids[some][best])
+        found[2].append(d[best])
+    return [np.concatenate(x) for x in found]
+
+
+def _search_block(near: DataFrame, asking, pivots: int, k: int, share: float, least: int) -> DataFrame:
+    """(q, class_id, score): each shard's nearest classes of the queries ``asking`` (class_id, vector, near)."""
+    import numpy as np
+
+    block = (asking["class_id"].to_numpy(), np.stack(asking["vector"].to_numpy()).astype(np.float64), np.stack(asking["near"].to_numpy()).astype(np.int32))
+    shared = near.sparkSession.sparkContext.broadcast(block)
+
+    def batches(parts):
+        import pyarrow as pa
+
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            rows = [np.asarray(batch.column(i).flatten().to_numpy(zero_copy_only=False), dtype=t).reshape(batch.num_rows, -1) for i, t in ((1, np.float64), (2, np.int32))]
+            out = _search_shard(batch.column(0).to_numpy(), *rows, *shared.value, pivots, k, share, least)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["q", "class_id", "score"])
+
+    return near.select("class_id", "vector", "near").mapInArrow(batches, "q long, class_id long, score double")
 
 
-def search(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", prefix: int = PREFIX, rerank: int = RERANK, pivot_factor: float = PIVOT_FACTOR) -> DataFrame:
+def search(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", prefix: int = PREFIX, pivots: int = PIVOTS, share: float = RERANK_SHARE, least: int = LEAST_RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows found for each row that ``is_query`` names.
 
     Distances are Euclidean, in double precision, of the given vectors; ties go to the smaller id. Rows
@@ -63,9 +115,11 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id",
     shorter, in a tie) take no part. Of rows with equal ids and vectors one counts. An empty table
     gives an empty result; queries without any other row have none.
     """
+    import numpy as np
+
     spark = vectors.sparkSession
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), is_query.alias("asks"))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks"))
     length = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -74,30 +128,26 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id",
     ranked = rows.select("id", "vector").withColumn("r", F.row_number().over(Window.partitionBy("vector").orderBy("id")))
     members = ranked.where(F.col("r") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     classes = written(members.select(F.element_at("ids", 1).alias("class_id"), "vector", "ids"), "classes")
-    n = classes.count()
-    pivots = int(min(MOST_PIVOTS, n, max(LEAST_PIVOTS, pivot_factor * n ** (2 / 3))))
     picked = classes.select("vector", F.xxhash64("class_id").alias("h"), "class_id").orderBy("h", "class_id").limit(pivots).select("vector").toPandas()
-    import numpy as np
-
     table = np.stack(picked["vector"].to_numpy()).astype(np.float64)
-    prefix = min(prefix, pivots)
+    prefix = min(prefix, len(table))
     near = written(_permutations(classes, table, prefix), "near")
     asks = rows.where("asks").select("id", "vector").distinct()
     asks = written(asks.join(classes.select("class_id", "vector"), "vector").select("id", "class_id"), "asks")
-    asking = asks.select("class_id").distinct()
-    posts = near.select("class_id", F.posexplode("near").alias("rank", "pivot"))
-    own = near.join(asking, "class_id", "left_semi").select(F.col("class_id").alias("q"), F.posexplode("near").alias("q_rank", "pivot"))
-    # footrule over prefixes: a pivot that one side lacks ranks behind all; what both have is saved from the largest distance
-    saved = (prefix - F.col("q_rank")) + (prefix - F.col("rank")) - F.abs(F.col("q_rank") - F.col("rank"))
-    scored = own.join(posts, "pivot").groupBy("q", "class_id").agg((F.lit(prefix * (prefix + 1)) - F.sum(saved)).alias("footrule"))
-    order = Window.partitionBy("q").orderBy("footrule", "class_id")
-    best = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(rerank, k)).select("q", "class_id")
-    left = near.select(F.col("class_id").alias("q"), F.col("vector").alias("q_vector"))
-    pairs = best.join(classes, "class_id").join(left, "q")
-    squares = F.aggregate(F.zip_with("vector", "q_vector", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
-    found = pairs.select("q", F.sqrt(squares).alias("score"), "ids")
-    few = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", F.element_at("ids", 1)))).where(F.col("r") <= k + 1)
-    lists = few.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("score"), i.alias("vec_id")))))), 1, (k + 1) * (k + 1)).alias("found"))
+    asking = near.join(asks.select("class_id").distinct(), "class_id", "left_semi")
+    n = asks.select("class_id").distinct().count()
+    blocks = max(1, -(-n // (BLOCK * 3 // 4)))  # hashed, so somewhat uneven
+    found = None
+    for i in range(blocks):
+        block = asking.where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == i).orderBy("class_id").toPandas()
+        if len(block):
+            own = _search_block(near, block, len(table), k + 1, share, least)
+            found = own if found is None else found.unionByName(own)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    order = Window.partitionBy("q").orderBy("score", "class_id")
+    few = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).join(classes.select("class_id", "ids"), "class_id")
+    lists = few.groupBy("q").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("score"), i.alias("vec_id")))))).alias("found"))
     out = asks.join(lists, asks["class_id"] == lists["q"]).select(F.col("id").alias("query_id"), F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("id")), 1, k).alias("found"))
     out = out.select("query_id", F.posexplode("found").alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
