@@ -74,3 +74,25 @@ def test_stages_keep_columns(spark, sf):
 def test_registered():
     names = list(entry.queries())
     assert [n for n in (f"op{i}_" for i in range(1, 11)) if not any(x.startswith(n) for x in names)] == [] and "pipeline" in names
+
+
+def test_nulls_and_repeats_pass_through(spark, sf):
+    long_text = "Of edatha thwhing to eron edtion the inoution was ble ndoution is ereash ha ndedan tion"
+    rows = [(1, long_text, "en", "s", 9), (1, long_text, "en", "s", 9), (None, "zwei drei vier fünf sechs", None, None, None), (None, None, None, None, None), (2, "", "de", None, 0), (3, "123 456", "en", "s", None), (4, "token=abcdef12 hello", None, "s", 20), (5, "x" * 200_000, "en", "t", 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, sf)
+        assert i == len(corpus_pipeline.STAGES) - 1 or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        if name == "language":
+            assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 1, 1, 4, 5]
+        if name == "near_dedup":
+            assert sorted((r.doc_id or 0) for r in docs.collect()) == [0, 1, 4, 5]
+        if name == "secret_scan":
+            assert {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}[4] == ("[secret] hello", 14)
+    assert docs.count() == 4
+
+
+def test_all_pairs_of_clashing_names_stay_apart(spark):
+    rows = [(1, "alpha beta gamma", "k1"), (2, "delta epsilon zeta", "k2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").withColumns({c: F.col("fp") for c in ("id", "root", "r", "own", "new", "component_id", "_kept_id", "_bad_id")})
+    assert sorted(map(tuple, simhash.deduplicated(docs).collect())) == sorted(map(tuple, docs.collect()))
