@@ -15,6 +15,11 @@ CENTS = r"\A[0-9,.]*[0-9][0-9,.]*[,.][0-9]{1,2}\z"
 NUMERIC = r"\A\s*[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\s*\z"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, so that nested readings don't grow by every use of it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_number(c: Column, repair: bool = True) -> Column:
     """A double of a local number text such as 2.445,37 EUR; null where it is none.
 
@@ -26,7 +31,10 @@ def parse_number(c: Column, repair: bool = True) -> Column:
         for digit, wrong in OCR_DIGITS.items():
             s = F.regexp_replace(s, rf"(?<=[0-9])[{wrong}](?=[0-9,.+-])", digit)
     s = F.regexp_replace(s, r"[^0-9,.+-]", "")
-    s = F.regexp_replace(s, r"(?<=[0-9])[,.](?=[,.])", "")
+    return let(F.regexp_replace(s, r"(?<=[0-9])[,.](?=[,.])", ""), _read_number)
+
+
+def _read_number(s: Column) -> Column:
     sign, body = F.regexp_extract(s, r"\A([-+]?)", 1), F.regexp_replace(s, r"\A[-+]", "")
     separators = F.char_length(F.regexp_replace(s, r"[^,.]", ""))
     whole = F.regexp_replace(F.regexp_replace(body, r"[,.][0-9]{1,2}\z", ""), r"[,.]", "")
@@ -89,7 +97,7 @@ def scaled_candidates(seeds: Column, digits: int = 4, most: int = 4) -> Column:
             steps.append(F.struct(F.round(seed * float(10**p), digits).alias("value"), F.lit(p).alias("shift")))
         return F.array(*steps)
 
-    return _first_of_each(F.flatten(F.transform(seeds, of)))
+    return let(F.flatten(F.transform(seeds, of)), _first_of_each)
 
 
 def candidate_score(value: Column, shift: Column, low: Column | None = None, high: Column | None = None, target: Column | None = None) -> Column:
@@ -107,9 +115,8 @@ def rescaled(current: Column, number: Column, text: Column, low: Column | None =
     """The current value if it lies in range, else the candidate of the lowest score if that beats the current one's."""
     inside = F.coalesce(current.isNotNull() & (F.lit(True) if low is None else current >= low) & (F.lit(True) if high is None else current <= high), F.lit(False))
     rated = F.transform(scaled_candidates(seeds_of(number, text), digits), lambda x, i: F.struct(candidate_score(x["value"], x["shift"], low, high).alias("score"), i.alias("at"), x["value"].alias("value")))
-    best = F.array_min(rated)
     now = F.when(current.isNotNull(), candidate_score(current, F.lit(0), low, high)).otherwise(F.lit(float("inf")))
-    return F.when(~inside & (best["score"] < now), best["value"]).otherwise(current)
+    return let(F.array_min(rated), lambda best: F.when(~inside & (best["score"] < now), best["value"]).otherwise(current))
 
 
 def money_candidates(number: Column, text: Column) -> Column:
@@ -125,16 +132,16 @@ def nearest_money(current: Column, expected: Column, number: Column, text: Colum
     """The current amount if it is as expected, else the candidate that is and is nearer."""
     error = F.coalesce(F.abs(current - expected), F.lit(float("inf")))
     best = F.array_min(F.transform(money_candidates(number, text), lambda x, i: F.struct(F.abs(x - expected).alias("error"), i.alias("at"), x.alias("value"))))
-    fits = expected.isNotNull() & (error > tolerance) & (best["error"] <= tolerance) & (best["error"] < error)
-    return F.when(F.coalesce(fits, F.lit(False)), best["value"]).otherwise(current)
+    wrong = F.coalesce(expected.isNotNull() & (error > tolerance), F.lit(False))
+    chosen = let(F.when(wrong, best), lambda b: F.when((b["error"] <= tolerance) & (b["error"] < error), b["value"]))
+    return F.coalesce(chosen, current)
 
 
 def inferred_rate(base: Column, quota: Column, total: Column, withheld: Column, rates) -> Column:
     """The legal rate that the amounts imply, at most 1.25 points away; the quota's view first in ties."""
     seen = [F.when((base > 0) & quota.isNotNull(), quota / base * 100.0), F.when((base > 0) & total.isNotNull(), (total + F.coalesce(withheld, F.lit(0.0)) - base) / base * 100.0)]
     rated = F.filter(F.array(*[F.struct(F.abs(s - float(r)).alias("error"), F.lit(i).alias("at"), F.lit(r).alias("rate")) for i, (s, r) in enumerate((s, r) for s in seen for r in rates)]), lambda x: x["error"].isNotNull())
-    best = F.array_min(rated)
-    return F.when(best["error"] <= 1.25, best["rate"])
+    return let(F.array_min(rated), lambda best: F.when(best["error"] <= 1.25, best["rate"]))
 
 
 def p95_exclusive(values: Column) -> Column:

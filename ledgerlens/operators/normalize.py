@@ -84,17 +84,22 @@ def normalize(records: DataFrame, schema: Schema, reconcile: bool = True) -> Dat
     kinds = {f.name: f.dataType.simpleString() for f in records.schema.fields}
     names = [f.name for f in schema.fields]
     keep = [c for c in records.columns if c not in names]
-    typed, left, changes = [], [], []
+    read, typed, left, changes = [], [], [], []
     for f in schema.fields:
         c = F.col(f.name) if f.name in kinds else F.lit(None).cast("string")
         value, raw, own = normalize_field(f, c, kinds.get(f.name, "string"))
-        typed.append(value.cast(TYPED.get(f.type, "string")).alias(f.name))
-        left.append((F.lit(None).cast("string") if raw is None else raw).alias(RAW + f.name))
+        # one struct a field is worked out in a step of its own, and then taken apart
+        raw = F.lit(None).cast("string") if raw is None else raw
+        read.append(F.struct(value.cast(TYPED.get(f.type, "string")).alias("value"), raw.cast("string").alias("raw")).alias(f"read__{f.name}"))
+        typed.append(F.col(f"read__{f.name}.value").alias(f.name))
+        left.append(F.col(f"read__{f.name}.raw").alias(RAW + f.name))
         # what the field read before, for the reconciliations
         left.append((c.cast("string") if kinds.get(f.name, "string") == "string" else F.lit(None).cast("string")).alias(f"text__{f.name}"))
         left.append((c.cast("double") if kinds.get(f.name, "string") not in ("string", "boolean", "date") else F.lit(None).cast("double")).alias(f"number__{f.name}"))
         changes += own
-    out = records.select(*keep, *typed, *left, F.filter(F.array(*changes), lambda x: x.isNotNull()).alias("changes"))
+    own = [n for n in names if n in kinds]
+    out = records.select(*keep, *own, *read, F.filter(F.array(*changes), lambda x: x.isNotNull()).alias("changes"))
+    out = out.select(*keep, *typed, *left, "changes")
     out = _document_kind(out, schema)
     if reconcile and schema.name == "auditoria_fiscal":
         out = reconcile_invoice(out, schema)
