@@ -137,8 +137,8 @@ def search(vectors: DataFrame, is_query, *, k: int = 10, id_col: str = "vec_id",
     if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vector") == length["d"])
-    # the smallest ids of each class, cut down before the shuffle
-    ranked = rows.select("id", "vector").withColumn("r", F.row_number().over(Window.partitionBy("vector").orderBy("id")))
+    # the smallest ids of each class, cut down before the shuffle; rows that repeat an id share its rank
+    ranked = rows.select("id", "vector").withColumn("r", F.dense_rank().over(Window.partitionBy("vector").orderBy("id")))
     members = ranked.where(F.col("r") <= k + 1).groupBy("vector").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     classes = written(members.select(F.element_at("ids", 1).alias("class_id"), "vector", "ids"), "classes")
     picked = classes.select("vector", F.xxhash64("class_id").alias("h"), "class_id").orderBy("h", "class_id").limit(pivots).select("vector").toPandas()

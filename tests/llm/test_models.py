@@ -175,6 +175,16 @@ def test_neighbour_edges(spark):
     assert permutation.search(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [{1: 2}, {1: 11}, {6: 30}])
+def test_neighbours_of_repeated_rows(spark, copies):
+    group = [(i, [0.5, 0.5]) for i in range(1, 13)]
+    rows = [r for r in group for _ in range(copies.get(r[0], 2))] + [(100 + i, [float(i), 1.0]) for i in range(1, 30)]
+    got = permutation.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") <= 12).collect()
+    for q, want in exact(dict(rows).items(), group, 10).items():
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [x[1] for x in own] == want and [x[0] for x in own] == list(range(1, 11)) and {x[2] for x in own} == {0.0}
+
+
 # near-duplicates
 def brute_print(text):
     ws = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)})) if x]
