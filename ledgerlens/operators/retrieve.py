@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import chunk_rows
 
-#: Queries that one broadcast holds.
+#: Queries that one broadcast holds; more go in further blocks.
 BLOCK = 20_000
 
 
@@ -29,17 +29,21 @@ def euclidean(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 3, *, query_id: str = "query_id", query_vector: str = "vector", row_id: str = "id", row_vector: str = "vector", same: bool = False) -> DataFrame:
     """(query_id, rank, row_id, distance): the k nearest rows of each query, ties to the smaller id.
 
-    The stated queries are held against all rows; their number is counted and more than BLOCK are refused.
+    The queries are held against all rows, in blocks by a hash of their id of about BLOCK at most.
     """
     n = queries.count()
-    if n > BLOCK:
-        raise ValueError(f"{n} queries: pass them in blocks of {BLOCK}")
+    blocks = 1 if n <= BLOCK else -(-n // (BLOCK * 3 // 4))  # hashed, so somewhat uneven
     q = queries.select(F.col(query_id).alias("_q"), F.col(query_vector).alias("_qv"))
-    pairs = rows.select(F.col(row_id).alias("_r"), F.col(row_vector).alias("_rv")).join(F.broadcast(q), F.lit(True) if same else F.col("_q") != F.col("_r"))
-    rated = pairs.select("_q", "_r", euclidean(F.col("_qv"), F.col("_rv")).alias("distance"))
+    r = rows.select(F.col(row_id).alias("_r"), F.col(row_vector).alias("_rv"))
     w = Window.partitionBy("_q").orderBy("distance", "_r")
-    best = rated.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, k))
-    return best.select(F.col("_q").alias(query_id), "rank", F.col("_r").alias(row_id), "distance")
+    found = None
+    for i in range(blocks):
+        block = q.where(F.pmod(F.xxhash64("_q"), F.lit(blocks)) == i) if blocks > 1 else q
+        pairs = r.join(F.broadcast(block), F.lit(True) if same else F.col("_q") != F.col("_r"))
+        rated = pairs.select("_q", "_r", euclidean(F.col("_qv"), F.col("_rv")).alias("distance"))
+        own = rated.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, k))
+        found = own if found is None else found.unionByName(own)
+    return found.select(F.col("_q").alias(query_id), "rank", F.col("_r").alias(row_id), "distance")
 
 
 def append_missing(store: DataFrame, fresh: DataFrame, key: str = "doc_id") -> DataFrame:

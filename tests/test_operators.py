@@ -106,6 +106,16 @@ def test_retrieval(spark):
     assert [r.id for r in retrieve.page_chunks(pages).collect()] == ["p1_c1", "p1_c2"]
 
 
+def test_more_queries_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "BLOCK", 8)
+    points = {i: [float(i * i % 17), float(i % 5)] for i in range(30)}
+    rows = spark.createDataFrame(list(points.items()), "id long, vector array<float>")
+    got = retrieve.nearest(rows.withColumnRenamed("id", "query_id"), rows, 3).collect()
+    distance = lambda a, b: sum((x - y) ** 2 for x, y in zip(points[a], points[b], strict=True)) ** 0.5
+    want = {q: sorted((distance(q, i), i) for i in points if i != q)[:3] for q in points}
+    assert {q: [(r.distance, r.id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in points} == want
+
+
 def test_reader_cascade(spark):
     docs = spark.createDataFrame([(b"this is a good and long enough text to keep",), (b"x",)], "content binary")
 
