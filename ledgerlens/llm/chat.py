@@ -92,6 +92,12 @@ def read_back(formatted: Column) -> Column:
     )
 
 
+def masked_text(formatted: Column, loss_spans: Column) -> Column:
+    """The texts under the loss mask of a rendered conversation, as they were before rendering, one after another."""
+    pieces = F.transform(loss_spans, lambda s: unescaped(F.substring(formatted, s["start"] + 1, s["end"] - s["start"])))
+    return F.array_join(pieces, "")
+
+
 def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Rendered conversations (conv_id, formatted, loss_spans) of an event log.
 

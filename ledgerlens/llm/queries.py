@@ -50,9 +50,7 @@ def op4_event_sourced_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text")
     )
     out = chat.format_chats(chat.events_of_turns(turns.unionByName(own)))
-    read = out.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"))
-    learnt = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    read = read.withColumn("learnt", learnt)
+    read = out.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("learnt"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

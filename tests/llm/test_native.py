@@ -80,6 +80,17 @@ def test_chat_round_trip(spark, sf):
         assert (r.loss_chars, r.loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
 
 
+def test_loss_is_read_under_the_mask(spark, sf, monkeypatch):
+    right, render = queries.op4_event_sourced_chats(spark, sf).where("conv_id = -7").first(), chat.render
+    moved = F.transform("loss_spans", lambda s: F.struct(s["start"].alias("start"), (s["end"] - 1).alias("end")))
+    monkeypatch.setattr(chat, "render", lambda *a: render(*a).withColumn("loss_spans", moved))
+    wrong = queries.op4_event_sourced_chats(spark, sf).where("conv_id = -7").first()
+    # the text begins with an escaped backslash: of its two signs the mask loses one
+    text = r"\### Assistant: </turn> ok"
+    assert (right.loss_chars, right.loss_sha256) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert wrong.loss_sha256 == hashlib.sha256(text[:-1].encode()).hexdigest() and wrong.turns_sha256 == right.turns_sha256
+
+
 def test_events_are_folded(spark):
     e = [
         (1, "a", 1, "message", "user", "hi"), (1, "b", 2, "message", "assistant", "Hel"), (1, "b", 3, "delta", None, "lo"), (1, "b", 4, "regenerate", None, None),
