@@ -53,24 +53,63 @@ def targets(sizes: dict, weights=WEIGHTS, share: Fraction = SHARE, repeats: int
 def sainte_lague(votes: list, seats: int, limits: list | None = None) -> list[int]:
     """Seats by highest quotients votes / (2 s + 1); ties go to the earlier. limits: most seats of each.
 
-    All but a last few seats come from the divisor that the quotients imply; these few are dealt one by one.
+    Seats start from a common divisor, found by bisection in floating point. From there seats are dealt,
+    taken back or moved one by one by exact quotients until none that is held is lower than one that is not.
     """
+    import numpy as np
+
     n = len(votes)
     limits = limits or [math.inf] * n
-    total = sum(votes)
-    if not total or not n:
+    if not n or not sum(votes) or seats <= 0:
         return [0] * n
-    got = [max(0, min(lim, int(v * seats // total) - 1)) for v, lim in zip(votes, limits, strict=True)]
-    heap = [(-Fraction(v) / (2 * g + 1), i) for i, (v, g) in enumerate(zip(votes, got, strict=True)) if v and g < limits[i]]
-    heapq.heapify(heap)
-    for _ in range(seats - sum(got)):
-        if not heap:
-            break
-        _, i = heapq.heappop(heap)
-        got[i] += 1
+    if sum(lim for v, lim in zip(votes, limits, strict=True) if v) <= seats:
+        return [lim if v else 0 for v, lim in zip(votes, limits, strict=True)]
+    size, most = np.array([float(v) for v in votes]), np.array(limits, dtype=np.float64)
+    at = lambda divisor: np.minimum(most, np.floor((size / divisor + 1) / 2))
+    high = 2 * float(size.max())
+    low = high
+    while at(low).sum() < seats:
+        low /= 2
+    for _ in range(64):
+        middle = (low + high) / 2
+        low, high = (middle, high) if at(middle).sum() >= seats else (low, middle)
+    got = [int(g) for g in at(high)]
+    # (the next seat's quotient, negative), and (the last seat's quotient): both give way to the earlier party
+    fresh = lambda i: (-Fraction(votes[i]) / (2 * got[i] + 1), i)
+    held = lambda i: (Fraction(votes[i]) / (2 * got[i] - 1), -i)
+    up = [fresh(i) for i in range(n) if votes[i] and got[i] < limits[i]]
+    down = [held(i) for i in range(n) if got[i]]
+    heapq.heapify(up)
+    heapq.heapify(down)
+
+    def top(heap, key, usable):
+        """The best entry that still says how its party stands."""
+        while heap and not (usable(heap[0]) and heap[0] == key(abs(heap[0][1]))):
+            heapq.heappop(heap)
+        return heap[0] if heap else None
+
+    def move(i, by):
+        got[i] += by
         if got[i] < limits[i]:
-            heapq.heappush(heap, (-Fraction(votes[i]) / (2 * got[i] + 1), i))
-    return got
+            heapq.heappush(up, fresh(i))
+        if got[i]:
+            heapq.heappush(down, held(i))
+
+    left = seats - sum(got)
+    while True:
+        best = top(up, fresh, lambda e: got[e[1]] < limits[e[1]])
+        worst = top(down, held, lambda e: got[-e[1]] > 0)
+        if left > 0:
+            move(best[1], 1)
+            left -= 1
+        elif left < 0:
+            move(-worst[1], -1)
+            left += 1
+        elif best and worst and (best[0], best[1]) < (-worst[0], -worst[1]):
+            move(-worst[1], -1)
+            move(best[1], 1)
+        else:
+            return got
 
 
 def shard_quotas(shards: list[tuple], source_targets: dict, block: int = BLOCK_TOKENS) -> dict:

@@ -91,6 +91,26 @@ def test_sainte_lague_equals_dealing_one_by_one():
         assert mixing.sainte_lague(votes, seats) == want
 
 
+def dealt(votes, seats, limits):
+    got = [0] * len(votes)
+    for _ in range(seats):
+        can = [(-Fraction(v) / (2 * g + 1), i) for i, (v, g) in enumerate(zip(votes, got, strict=True)) if v and g < limits[i]]
+        if can:
+            got[min(can)[1]] += 1
+    return got
+
+
+def test_sainte_lague_of_many_tiny_parties():
+    for votes, seats in (([1000] + [6] * 100, 160), ([1000] + [1] * 300, 400), ([1000] + [6] * 300, 160)):
+        assert mixing.sainte_lague(votes, seats) == dealt(votes, seats, [seats] * len(votes))
+    rng = random.Random(11)
+    for _ in range(60):
+        votes = [rng.choice([0, 1, 2, 3, Fraction(1, 3), rng.randrange(1, 5000)]) for _ in range(rng.randrange(1, 40))]
+        limits = [rng.randrange(0, 40) for _ in votes]
+        seats = rng.randrange(0, 300)
+        assert mixing.sainte_lague(votes, seats, limits) == dealt(votes, seats, limits)
+
+
 def test_mix_keeps_its_contract(spark, sf):
     rows = queries.op3_sainte_lague_mix(spark, sf).toPandas()
     texts = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
