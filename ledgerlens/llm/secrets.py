@@ -48,6 +48,17 @@ ADDED_RULES = (
     SecretRule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]+", 15, hint="xox[abprs]-"),
 )
 RULES = BASE_RULES + ADDED_RULES
+#: A whole private key: its BEGIN line and all through the END line, or, where END is missing, the headers and base64 lines that follow.
+KEY_BLOCK = SecretRule(
+    "pem_block",
+    1,
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}(?!-)[^-]*+){0,64}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:[ \t\r]*+\n\s*+(?:Proc-Type|DEK-Info):[^\n]*+){0,8}+(?:[ \t\r]*+\n\s*+[A-Za-z0-9+/=]++(?![ \t]*+[^\s])|[\s\\]*+[A-Za-z0-9+/=]{40,}+){0,400}+)",
+    20,
+    hint="-----BEGIN ",
+)
+#: What a text is freed from: with the rules that tell of secrets the one that spans whole keys.
+REMOVED_RULES = (*RULES, KEY_BLOCK)
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -146,7 +157,7 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
-def without_secrets(docs: DataFrame, ledger: str | None = None, rules=RULES, *, path_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def without_secrets(docs: DataFrame, ledger: str | None = None, rules=REMOVED_RULES, *, path_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """All rows of ``docs`` with their secrets replaced by a mark; length_col, if named, follows the new text."""
     found = scan_secrets(docs, ledger, rules, path_col=path_col, text_col=text_col).where(F.size("spans") > 0)
     found = found.groupBy("blob").agg(F.any_value("spans").alias("spans"))

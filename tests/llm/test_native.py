@@ -179,6 +179,27 @@ def test_redaction(spark):
     assert [r._id for r in got] == [14, 1, 1, 8] and got[0].asDict().keys() == dict.fromkeys(d.columns).keys() and got[0].blob == "b"
 
 
+def test_whole_keys_are_removed(spark):
+    begin, end, line = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", "MIIE" + "a1+/" * 15
+    body = "\n".join([line] * 25 + ["Zm9v=="])
+    header = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    cases = {
+        f"a\n{begin}\n{body}\n{end}\nb - c": "a\n[secret]\nb - c",
+        f"a {begin} {body} {end} b": "a [secret] b",
+        f"é {begin}\r\n{header}{body}\r\n{end}": "é [secret]",
+        f"a\n{begin}\n{body}\nNo end here.": "a\n[secret]\nNo end here.",
+        f"{begin}\n{header}{body}": "[secret]",
+        f"{begin}\nMIIEabc\nZm9v==\nnext words\n{begin}\n{body}\n{end} z": "[secret]\nnext words\n[secret] z",
+        f"{begin} words after": "[secret] words after",
+        f"{begin}\\n{line}\\n{line}": "[secret]",
+        f"{begin} " + "x-y " * 30_000: "[secret] " + "x-y " * 30_000,
+        begin + f"\n{line}" * 300: "[secret]",
+    }
+    d = docs_of(spark, list(cases))
+    assert [r.text for r in secrets.without_secrets(d).orderBy("doc_id").collect()] == list(cases.values())
+    assert [r.text for r in secrets.without_secrets(d, rules=(secrets.KEY_BLOCK,)).orderBy("doc_id").collect()] == [re.sub(secrets.KEY_BLOCK.pattern, "[secret]", x) for x in cases]
+
+
 # decontamination
 def brute_hits(text, items, length=10):
     w, hit, seen = words(text), set(), set()
