@@ -132,14 +132,17 @@ def document_type(c: Column, document_types, triggers=TYPE_TRIGGERS) -> Column:
     return F.coalesce(*tests) if tests else F.lit(None).cast("string")
 
 
+#: Word edges, white space and digits as Python's re has them for str: combining marks are no word characters, superscripts are.
+_EDGE = r"(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))"
+_GAP = r"[\s\x1c-\x1f-]"
 # What is redacted, in this order, each on the text that the ones before left.
 PII = (
-    ("email", r"(?U)\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL]"),
-    ("iban", r"(?U)\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", "[IBAN]"),
-    ("dni", r"(?U)\b\d{8}[A-Z]\b", "[DNI]"),
-    ("nie", r"(?U)\b[XYZ]\d{7}[A-Z]\b", "[NIE]"),
-    ("nif_cif", r"(?U)\b[A-Z]\d{7}[0-9A-Z]\b", "[NIF_CIF]"),
-    ("phone", r"(?U)\b(?:\+?\d{1,3}[\s-]?)?(?:\d[\s-]?){8,14}\b", "[PHONE]"),
+    ("email", rf"(?U){_EDGE}[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[A-Za-z]{{2,}}{_EDGE}", "[EMAIL]"),
+    ("iban", rf"(?U){_EDGE}[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}{_EDGE}", "[IBAN]"),
+    ("dni", rf"(?U){_EDGE}\d{{8}}[A-Z]{_EDGE}", "[DNI]"),
+    ("nie", rf"(?U){_EDGE}[XYZ]\d{{7}}[A-Z]{_EDGE}", "[NIE]"),
+    ("nif_cif", rf"(?U){_EDGE}[A-Z]\d{{7}}[0-9A-Z]{_EDGE}", "[NIF_CIF]"),
+    ("phone", rf"(?U){_EDGE}(?:\+?\d{{1,3}}{_GAP}?)?(?:\d{_GAP}?){{8,14}}{_EDGE}", "[PHONE]"),
 )
 
 

@@ -1,6 +1,10 @@
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens import queries
 from ledgerlens.functions import dates, numbers, ocr, repair, text
 
 
@@ -56,6 +60,25 @@ def test_redaction_order(spark):
     assert [(r.kind, r.original) for r in log] == [("email", "a@b.es"), ("dni", "12345678Z")]
 
 
+PII = (
+    ("email", r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[A-Za-z]{2,}\b", "[EMAIL]"), ("iban", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", "[IBAN]"), ("dni", r"\b\d{8}[A-Z]\b", "[DNI]"),
+    ("nie", r"\b[XYZ]\d{7}[A-Z]\b", "[NIE]"), ("nif_cif", r"\b[A-Z]\d{7}[0-9A-Z]\b", "[NIF_CIF]"), ("phone", r"\b(?:\+?\d{1,3}[\s-]?)?(?:\d[\s-]?){8,14}\b", "[PHONE]"),
+)
+ODD = ["x a@b.es² y", "12345678Ź end", "é12345678Z 12345678Zé", "́a@b.es", "tel 600\x1c123\x1d456", "tel ٦٠٠ ١٢٣ ٤٥٦", "a@b.es‿", "ES9121000418450200051332Ⅰ", None, ""]
+
+
+def test_redaction_of_documents_equals_brute_force(spark, sf, tmp_path):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(-1 - i, x) for i, x in enumerate(ODD)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.redact_pii_counts(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, x in rows:
+        out, counts = x or "", {}
+        for kind, pattern, token in PII:
+            out, counts[f"n_{kind}"] = re.subn(pattern, token, out)
+        assert got[i].asDict() == {"doc_id": i, "redacted_sha256": hashlib.sha256(out.encode()).hexdigest(), **counts}, (i, out[:200])
+
+
 def test_pattern_values(spark):
     p = "^[XYZ0-9][0-9]{7}[A-Z]$"
     assert values(spark, ["Documento: 53864817D.", "none"], lambda c: text.pattern_value(c, p)) == ["53864817D", None]
