@@ -204,10 +204,10 @@ def _evaluated(spark, d):
     truth, guess = _truth_and_guess(spark, d)
     m = metrics.field_metrics(metrics.compare_by_truth(guess, truth, ["doc_id"]), ["doc_id"])
     docs = t(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
-    return m.join(docs, "doc_id").withColumns({"latency_s": F.col("n_chars") / 100.0, "ram_peak_mb": (F.col("doc_id") % 97).cast("double"), "config": "lang", "seed": (F.col("doc_id") % 3).cast("long")})
+    return m.join(docs, "doc_id").withColumns({"latency_s": F.col("n_chars") / 100.0, "ram_peak_mb": (F.col("doc_id") % 97).cast("double"), "config": F.concat(F.lit("C"), (F.col("doc_id") % 2 + 1).cast("string")), "seed": F.floor(F.col("doc_id") / 2) % 3})
 
 
-EV_SQL = f"""{TG_SQL}, v AS (SELECT e.*, lang, source, n_chars / 100.0::DOUBLE AS latency_s, (doc_id % 97)::DOUBLE AS ram_peak_mb, lang AS config, doc_id % 3 AS seed, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM e JOIN documents USING (doc_id))"""
+EV_SQL = f"""{TG_SQL}, v AS (SELECT e.*, lang, source, n_chars / 100.0::DOUBLE AS latency_s, (doc_id % 97)::DOUBLE AS ram_peak_mb, 'C' || (doc_id % 2 + 1) AS config, doc_id // 2 % 3 AS seed, coalesce(2 * p * r / nullif(p + r, 0), 0) AS f1 FROM e JOIN documents USING (doc_id))"""
 
 
 @query(f"""WITH {EV_SQL}, g AS (SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'overall' END AS grouping, coalesce(lang, source) AS key, count(*) AS runs, avg(f1) AS f1, avg(r) AS mr, avg(latency_s) AS l,
@@ -455,9 +455,9 @@ def manifest_grid(spark, d):
     return experiments.grid(a, b, c)
 
 
-@query("""SELECT doc_id, CASE WHEN a.doc_id IS NULL THEN 'right' WHEN b.doc_id IS NULL THEN 'left' ELSE 'both' END AS side FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 != 0) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b USING (doc_id)""")
+@query("""SELECT doc_id, CASE WHEN a.doc_id IS NULL THEN 'right' WHEN b.doc_id IS NULL THEN 'left' ELSE 'both' END AS side FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b USING (doc_id)""")
 def paired_unpaired(spark, d):
-    return stats.pairing(t(spark, d, "documents").where("doc_id % 3 != 0").select("doc_id"), t(spark, d, "labels").select("doc_id"), "doc_id")
+    return stats.pairing(t(spark, d, "documents").select("doc_id"), t(spark, d, "labels").select("doc_id"), "doc_id")
 
 
 @query("SELECT c_mktsegment AS option FROM customer UNION SELECT o_orderpriority FROM orders")

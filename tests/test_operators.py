@@ -164,3 +164,8 @@ def test_degraded_column(spark):
 def test_stream(spark, sf):
     got = logs.group_once(spark, sf, "events.parquet", "event_type", "value", 20.0)
     assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_pairing_has_one_sided_keys(spark):
+    a, b = spark.createDataFrame([(1,), (2,), (2,)], "k long"), spark.createDataFrame([(2,), (3,)], "k long")
+    assert sorted(map(tuple, stats.pairing(a, b, "k").collect())) == [(1, "left"), (2, "both"), (3, "right")]
