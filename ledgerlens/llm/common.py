@@ -53,6 +53,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes that a table may have, as reckoned from its rows, to be sent to every executor; larger ones are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def sendable(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table with the broadcast hint if the sum of row_bytes over all its rows is within the limit, else as it is."""
+    total = df.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,3 +88,31 @@ def fresh(name: str, columns: list[str]) -> str:
     while name.lower() in {c.lower() for c in columns}:
         name = "_" + name
     return name
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine, chunk: int = 64) -> Column:
+    """combine of each element of an array (none of them null) with all before it.
+
+    Pieces of ``chunk`` elements are folded apart and what stands before each piece is carried in, so that no
+    array grows element by element: a long array costs its length times the chunk, not its square.
+    """
+
+    def fold(a: Column) -> Column:
+        return F.aggregate(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), F.get(a, F.lit(0)), combine)
+
+    def pieces(a: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(a) / chunk).cast("int") - 1, F.lit(0))
+        cut = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(a, c * chunk + 1, F.lit(chunk)))
+        return F.transform(cut, lambda p: F.transform(p, lambda x, i: fold(F.slice(p, F.lit(1), i + 1))))
+
+    def carried(own: Column) -> Column:
+        ends = F.transform(own, lambda p: F.element_at(p, -1))
+        before = let(ends, lambda e: F.transform(e, lambda x, c: fold(F.slice(e, F.lit(1), c))))
+        return F.zip_with(own, before, lambda p, b: F.when(b.isNull(), p).otherwise(F.transform(p, lambda x: combine(b, x))))
+
+    return let(values, lambda a: F.when(F.size(a) > 0, F.flatten(let(pieces(a), carried))).otherwise(a))

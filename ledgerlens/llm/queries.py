@@ -71,7 +71,7 @@ def op5_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in documents, by way of a new ledger of blobs."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
-    base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE_RULES))
+    base = F.filter("spans", lambda s: F.get(F.array(*[F.lit(r in secrets.BASE_RULES) for r in secrets.RULES]), s["rank"]))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import packed, scratch_path
+from ledgerlens.llm.common import let, packed, running, scratch_path, sendable, written
 
 
 @dataclass(frozen=True)
@@ -60,81 +60,99 @@ KEY_BLOCK = SecretRule(
 #: What a text is freed from: with the rules that tell of secrets the one that spans whole keys.
 REMOVED_RULES = (*RULES, KEY_BLOCK)
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
+#: What the ledger keeps of a blob: for each rule version that has seen it the places found, which name no order of rules.
+PLACES = "array<struct<start:int,end:int>>"
+SCANS = f"array<struct<rule:string,places:{PLACES}>>"
 
 
-def _spans(text: Column, rule: SecretRule, rank: int) -> Column:
-    """Spans of one rule in code points. Pieces between the matches give the places."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    measured = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.measured)) if rule.measured else found
-    rows = F.arrays_zip(
-        F.transform(F.slice(F.split(text, rule.pattern), F.lit(1), F.size(found)), lambda x: F.char_length(x)).alias("before"),
-        F.transform(found, lambda x: F.char_length(x)).alias("long"),
-        F.transform(measured, lambda x: F.char_length(x)).alias("measured"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+def _places(x: Column) -> Column:
+    """array<struct<start,end>>, in code points, of the matches of one rule that are long enough. Pieces between the matches give the places."""
+    long = F.transform(x["found"], lambda m: F.char_length(m))
+    steps = F.zip_with(F.slice(x["between"], F.lit(1), F.size(x["found"])), long, lambda b, n: F.char_length(b) + n)
 
-    def step(a, x):
-        s = a["at"] + x["before"]
-        e = s + x["long"]
-        span = F.array(F.struct(s.alias("start"), F.lit(rank).alias("rank"), e.alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct(e.alias("at"), F.when(x["measured"] >= rule.min_length, F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+    def spans(n: Column) -> Column:
+        rows = F.zip_with(running(steps, lambda a, b: a + b), n, lambda e, n: F.struct((e - n).alias("start"), e.alias("end")))
+        kept = F.filter(F.arrays_zip(rows.alias("span"), x["measured"].alias("measured")), lambda r: F.char_length(r["measured"]) >= x["least"])
+        return F.transform(kept, lambda r: r["span"])
 
-    return F.aggregate(rows, start, step, lambda a: a["spans"])
+    return let(long, spans)
 
 
 def scan_text(text: Column, rules=RULES, wanted=lambda rule: F.lit(True)) -> Column:
-    """All spans of the rules in a text that is not null, by start and then by the rules' order."""
-    none = F.array().cast(SPANS)
-    parts = [
-        F.when(wanted(r) & text.rlike(r.hint or r.pattern), _spans(text, r, i)).otherwise(none) for i, r in enumerate(rules)
-    ]
-    return F.array_sort(F.concat(*parts))
+    """What each wanted rule that finds anything finds in a text that is not null: array<struct<rule,places>>."""
+    if not rules:
+        return F.array().cast(SCANS)
+
+    def matches(r: SecretRule) -> Column:
+        found = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))
+        measured = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(r.measured)) if r.measured else found
+        whole = F.struct(F.lit(r.key).alias("rule"), F.lit(r.min_length).alias("least"), found.alias("found"), measured.alias("measured"), F.split(text, r.pattern).alias("between"))
+        return F.when(wanted(r) & text.rlike(r.hint or r.pattern), whole)
+
+    met = F.filter(F.array(*[matches(r) for r in rules]), lambda x: x.isNotNull())
+    told = F.transform(met, lambda x: F.struct(x["rule"].alias("rule"), _places(x).alias("places")))
+    return F.filter(told, lambda x: F.size(x["places"]) > 0).cast(SCANS)
 
 
 def ledger_or_none(spark, ledger: str) -> DataFrame | None:
+    """blob, rules (the versions that one scan held it against) and scans (what those found) of a ledger that is there."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{ledger}/_SUCCESS")
     there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(f"blob string, rules array<string>, spans {SPANS}").parquet(ledger) if there else None
+    return spark.read.schema(f"blob string, rules array<string>, scans {SCANS}").parquet(ledger) if there else None
 
 
-def _seen(rows: DataFrame) -> DataFrame:
-    """One row for each blob of the ledger."""
-    return rows.groupBy("blob").agg(
-        F.flatten(F.collect_list("rules")).alias("seen"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")
-    )
+def findings(known: DataFrame, rules=RULES) -> DataFrame:
+    """(blob, spans) of the blobs of a ledger in which the given rule versions found anything.
 
+    Only those versions are reported, and a pair that the ledger holds more than once counts once. rank is a
+    rule's place among ``rules``, whatever the order was when the blob was scanned.
+    """
+    rules = tuple(rules)
+    if not rules:
+        return known.where("false").select("blob", F.array().cast(SPANS).alias("spans"))
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    asked = known.select("blob", F.explode(F.filter("scans", lambda s: F.array_contains(keys, s["rule"]))).alias("s"))
+    once = asked.groupBy("blob").agg(F.collect_set("s").alias("scans"))
 
-def scan_secrets(docs: DataFrame, ledger: str | None = None, rules=RULES, *, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: path_col, blob, spans array<struct<start,rank,end,kind>>.
+    def spans(s: Column) -> Column:
+        rank = F.array_position(keys, s["rule"]).cast("int") - 1
+        return F.transform(s["places"], lambda p: F.struct(p["start"].alias("start"), rank.alias("rank"), p["end"].alias("end"), F.get(kinds, rank).alias("kind")))
 
-    Offsets are code points, end exclusive. A null text counts as an empty one. Equal texts are one
-    blob, scanned once; repeated rows each get its findings. Rows with a null path keep it. An
-    empty table gives an empty result. Without ``ledger`` a new one is begun in the shared
-    folder. Findings of rules or versions other than the given ones stay in the ledger, unreported.
-    """
+    return once.select("blob", F.array_sort(F.flatten(F.transform("scans", spans))).cast(SPANS).alias("spans"))
+
+
+def scan_blobs(docs: DataFrame, ledger: str, rules=RULES, *, text_col: str = "text") -> DataFrame:
+    """Brings a ledger up to date with all texts of ``docs`` and returns the findings (blob, spans) of the given rule versions."""
     spark = docs.sparkSession
-    ledger = ledger or scratch_path(spark, "blobs")
-    addressed = docs.select(F.col(path_col).alias("_path"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    addressed = addressed.withColumn("blob", F.sha2("_text", 256))
-    blobs = addressed.select("blob", "_text").dropDuplicates(["blob"])
+    blobs = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("blob", F.sha2("_text", 256)).dropDuplicates(["blob"])
     before = ledger_or_none(spark, ledger)
-    keys = F.array(*[F.lit(r.key) for r in rules])
+    keys = F.array(*[F.lit(r.key) for r in rules]).cast("array<string>")
     if before is None:
         unseen = blobs.withColumn("todo", keys)
         wanted = lambda rule: F.lit(True)
     else:
-        unseen = blobs.join(_seen(before).select("blob", "seen"), "blob", "left")
-        unseen = unseen.withColumn("todo", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
+        seen = before.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        unseen = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
         unseen = unseen.where(F.size("todo") > 0)
         wanted = lambda rule: F.array_contains("todo", rule.key)
-    scanned = unseen.select("blob", F.col("todo").alias("rules"), scan_text(F.col("_text"), rules, wanted).alias("spans"))
-    scanned.write.mode("append").parquet(ledger)
-    known = ledger_or_none(spark, ledger)
-    known = known.where(F.size("spans") > 0)
-    own = F.array(*[F.lit(r.kind) for r in rules])
-    known = _seen(known).select("blob", F.filter("spans", lambda s: F.array_contains(own, s["kind"])).alias("spans"))
-    return addressed.drop("_text").join(known, "blob", "left").select(
+    unseen.select("blob", F.col("todo").alias("rules"), scan_text(F.col("_text"), rules, wanted).alias("scans")).write.mode("append").parquet(ledger)
+    return findings(ledger_or_none(spark, ledger), rules)
+
+
+def scan_secrets(docs: DataFrame, ledger: str | None = None, rules=RULES, *, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: path_col, blob, spans array<struct<start,rank,end,kind>>.
+
+    Offsets are code points, end exclusive. A null text counts as an empty one. Equal texts are one
+    blob, scanned once; repeated rows each get its findings. Rows with a null path keep it. An
+    empty table gives an empty result. Without ``ledger`` a new one is begun in the shared
+    folder. Findings of rules or versions other than the given ones stay in the ledger, unreported. Scans that
+    overlap, or that are repeated, may write a pair of blob and rule version twice; it is reported once.
+    """
+    known = scan_blobs(docs, ledger or scratch_path(docs.sparkSession, "blobs"), rules, text_col=text_col)
+    addressed = docs.select(F.col(path_col).alias("_path"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"))
+    return addressed.join(known, "blob", "left").select(
         F.col("_path").alias(path_col), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")
     )
 
@@ -143,24 +161,44 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Spans that are cut out of one piece of a text.
+GROUP = 64
+
+
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with its spans replaced; spans that overlap or touch are replaced as one."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with its spans, which stand by start, replaced; spans that overlap are replaced as one."""
+
+    def merged(own: Column) -> Column:
+        """array<struct<s,e,before>>: disjoint spans, each with the end of the one before it."""
+        reach = running(F.transform(own, lambda x: x["end"]), lambda a, x: F.greatest(a, x))
+
+        def firsts(far: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), far)  # before[i]: how far the spans ahead of the i-th reach
+            rows = F.zip_with(own, F.slice(before, F.lit(1), F.size(own)), lambda x, b: F.struct(x["start"].alias("s"), b.alias("before")))
+            heads = F.filter(rows, lambda x: x["s"] >= x["before"])
+            ends = lambda h: F.concat(F.transform(F.slice(h, F.lit(2), F.size(h) - 1), lambda x: x["before"]), F.array(F.element_at(far, -1)))
+            return let(heads, lambda h: F.zip_with(h, ends(h), lambda x, e: F.struct(x["s"].alias("s"), e.alias("e"), x["before"].alias("before"))))
+
+        return let(reach, firsts)
+
+    def piece(group: Column) -> Column:
+        # the text is gone through from its beginning once a group, not once a span
+        base = F.get(group, F.lit(0))["before"]
+        part = F.substring(text, base + 1, F.element_at(group, -1)["s"] - base)
+        kept = let(part, lambda t: F.array_join(F.transform(group, lambda x: F.substring(t, x["before"] - base + 1, x["s"] - x["before"])), mark))
+        return F.concat(kept, F.lit(mark))
 
-    def step(a, s):
-        fresh = s["start"] >= a["at"]
-        between = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        grown = F.when(fresh, F.concat(a["out"], F.array(between, F.lit(mark)))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), grown.alias("out"))
+    def told(own: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(own) / GROUP).cast("int") - 1), lambda c: F.slice(own, c * GROUP + 1, F.lit(GROUP)))
+        return F.concat(F.array_join(F.transform(groups, piece), ""), F.substring(text, F.element_at(own, -1)["e"] + 1, F.char_length(text)))
 
-    whole = F.aggregate(spans, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(merged(spans), told)).otherwise(text)
 
 
 def without_secrets(docs: DataFrame, ledger: str | None = None, rules=REMOVED_RULES, *, path_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """All rows of ``docs`` with their secrets replaced by a mark; length_col, if named, follows the new text."""
-    found = scan_secrets(docs, ledger, rules, path_col=path_col, text_col=text_col).where(F.size("spans") > 0)
-    found = found.groupBy("blob").agg(F.any_value("spans").alias("spans"))
+    found = written(scan_blobs(docs, ledger or scratch_path(docs.sparkSession, "blobs"), rules, text_col=text_col), "findings")
+    found = sendable(found, F.lit(128) + 64 * F.size("spans"))  # few texts hold any: the texts themselves needn't move
     text = F.col(f"row.`{text_col}`")
     rows = packed(docs, own=F.sha2(F.coalesce(text_col, F.lit("")), 256)).join(found, F.col("own") == F.col("blob"), "left")
     rows = rows.withColumn("new", F.when(F.col("spans").isNull(), text).otherwise(redacted(text, F.col("spans"))))
