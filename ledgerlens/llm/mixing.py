@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 The mix is cut into blocks of equal numbers of tokens. Sources get blocks by highest quotients
-(target / 1, 3, 5, ...), and so do the shards of each source. Within a shard the documents, in seeded
-order, make up one stream of tokens that is cut into its blocks; a seeded permutation
-of the blocks names those that the mix takes, each as often as the next one or once more.
+(target / 1, 3, 5, ...), and so do the shards of each source; what a source's whole blocks lack of its
+target, or have beyond it, goes to its shards as part of a block. Within a shard the documents, in seeded
+order, make up one stream of tokens that is cut into blocks, the last one as short as it has to be; a seeded
+permutation of the blocks is gone through, again and again if need be, until the shard's quota of tokens is met.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ BLOCK_TOKENS = 32
 #: Rows that a shard has, about; more only where there would be more than MOST_SHARDS, whose quotas the driver deals.
 SHARD_ROWS = 2_000
 MOST_SHARDS = 100_000
+#: Rows of sources or shards, of some 50 bytes, that are sent to every executor; more are joined by shuffle.
+FEW = 1_000_000
 SEED = 20_240_601
 
 
@@ -112,29 +115,40 @@ def sainte_lague(votes: list, seats: int, limits: list | None = None) -> list[in
             return got
 
 
-def shard_quotas(shards: list[tuple], source_targets: dict, block: int = BLOCK_TOKENS) -> dict:
-    """(source, shard) -> blocks that the mix takes of it; shards: (source, shard, tokens).
+def shard_quotas(shards: list[tuple], source_targets: dict, block: int = BLOCK_TOKENS, repeats: int = REPEATS) -> dict:
+    """(source, shard) -> tokens that the mix takes of it; shards: (source, shard, tokens).
 
-    A shard has ceil(tokens / block) blocks and gives each at most REPEATS times.
+    A shard gives as many blocks as hold ``repeats`` times its tokens. Quotas are whole blocks by highest quotients; the
+    tokens between a source's blocks and its target (rounded) are then added to its shards, or taken off, by
+    the most room first.
     """
     names = list(source_targets)
     seats = int(sum(source_targets.values()) // block)
     of: dict = {}
     for source, shard, size in shards:
         of.setdefault(source, []).append((shard, size))
-    limits = [REPEATS * sum(-(-size // block) for _, size in of.get(s, [])) for s in names]
+    limits = [sum(-(-repeats * size // block) for _, size in of.get(s, [])) for s in names]
     by_source = dict(zip(names, sainte_lague([source_targets[s] for s in names], seats, limits), strict=True))
     out = {}
     for source, own in of.items():
         own.sort()
-        limit = [REPEATS * -(-size // block) for _, size in own]
-        for (shard, _), q in zip(own, sainte_lague([size for _, size in own], by_source[source], limit), strict=True):
-            out[source, shard] = q
+        room = [repeats * size for _, size in own]
+        got = sainte_lague([size for _, size in own], by_source[source], [-(-r // block) for r in room])
+        tokens = [min(block * g, r) for g, r in zip(got, room, strict=True)]
+        lack = round(source_targets[source]) - sum(tokens)
+        spare = (lambda k: room[k] - tokens[k]) if lack > 0 else (lambda k: tokens[k])
+        for k in sorted(range(len(own)), key=lambda k: (-spare(k), k)):
+            step = min(abs(lack), spare(k))
+            tokens[k] += step if lack > 0 else -step
+            lack -= step if lack > 0 else -step
+            if not lack:
+                break
+        out.update({(source, shard): t for (shard, _), t in zip(own, tokens, strict=True)})
     return out
 
 
 def _taken(sizes, quota: int, seed: int, block: int):
-    """Tokens taken of each document of one shard, in the given order."""
+    """Tokens taken of each document of one shard, in the given order: ``quota`` in all."""
     import numpy as np
 
     sizes = np.asarray(sizes, dtype=np.int64)
@@ -142,21 +156,24 @@ def _taken(sizes, quota: int, seed: int, block: int):
     if not total:
         return np.zeros(len(sizes), dtype=np.int64)
     n = -(-total // block)
-    times, rest = divmod(quota, n)
-    # i -> (a i + c) mod n permutes the blocks; those below rest are taken once more
+    times, rest = divmod(quota, total)
+    # i -> (a i + c) mod n permutes the blocks; in that order they are taken once more, the last of them in part
     a = 1 + (seed * 2654435761) % max(1, n - 1) if n > 1 else 1
     while math.gcd(a, n) != 1:
         a += 1
     places = (a * np.arange(n, dtype=object) + seed) % n if a * n > 2**62 else (a * np.arange(n, dtype=np.int64) + seed % n) % n
-    chosen = (places < rest).astype(np.int64)
-    edges = np.arange(n + 1, dtype=np.int64) * total // n
-    covered = np.concatenate(([0], np.cumsum(chosen * np.diff(edges))))
+    edges = np.minimum(np.arange(n + 1, dtype=np.int64) * block, total)
+    order = np.argsort(places.astype(np.int64), kind="stable")
+    long = np.diff(edges)[order]
+    before = np.cumsum(long) - long
+    chosen = np.zeros(n, dtype=np.int64)
+    chosen[order] = np.clip(rest - before, 0, long)  # tokens of each block, from its beginning
+    covered = np.concatenate(([0], np.cumsum(chosen)))
     ends = np.cumsum(sizes)
 
     def upto(x):
-        at = np.searchsorted(edges, x, side="right") - 1
-        inside = np.minimum(at, n - 1)
-        return covered[at] + np.where(at < n, chosen[inside] * (x - edges[at]), 0)
+        at = np.minimum(x // block, n - 1)
+        return covered[at] + np.minimum(chosen[at], x - edges[at])
 
     return times * sizes + upto(ends) - upto(ends - sizes)
 
@@ -165,33 +182,41 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """One row per row of ``docs``: id_col, size, source_size, target, taken.
 
     A null text has size 0; rows with a null source make up one source, which stands last. Nothing is
-    taken of documents without words. Rows that are equal in id, source and size are told apart by
-    no more than their order, which changes no result. An empty table gives an empty result. The
-    driver holds a number for each source and each shard; shards have about ``shard_rows`` rows, or
+    taken of documents without words, and all that is taken of a source is its target, rounded. Rows that are
+    equal in id, source and size are told apart by no more than their order, which changes no result; they are
+    counted before they are dealt out, at most ``shard_rows`` of them to one place. An empty table gives an empty
+    result. The driver holds a number for each source and each shard; shards have about ``shard_rows`` rows, or
     more where the table has more than ``most_shards`` times as many.
     """
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_tokens(F.col(text_col)).alias("size"))
-    sized = written(sized, "sizes")
-    rows = {r["_source"]: r for r in sized.groupBy("_source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
+    spark = docs.sparkSession
+    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), n_tokens(F.col(text_col)).alias("size"))
+    sized = written(sized.groupBy("_source", "_id", "size").agg(F.count("*").alias("copies")), "sizes")
+    rows = {r["_source"]: r for r in sized.groupBy("_source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.sum("copies").alias("n")).collect()}
     sizes = {s: r["size"] for s, r in rows.items()}
     wanted = targets(sizes)
-    spark = docs.sparkSession
     shard_rows = max(shard_rows, -(-sum(r["n"] for r in rows.values()) // most_shards))
     # every source is dealt to as many shards as its rows ask for
     known = [(s, sizes[s], float(wanted[s]), max(1, -(-rows[s]["n"] // shard_rows))) for s in sizes]
-    names = spark.createDataFrame(known, "_s string, source_size long, target double, shards int") if known else spark.createDataFrame([], "_s string, source_size long, target double, shards int")
-    placed = sized.join(F.broadcast(names) if len(known) < 100_000 else names, sized["_source"].eqNullSafe(names["_s"])).drop("_s")
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("_id", "size", F.lit(seed)), F.col("shards")).cast("int"))
-    shards = [(r["_source"], r["shard"], r["n"]) for r in placed.groupBy("_source", "shard").agg(F.sum("size").alias("n")).collect()] if known else []
+    names = spark.createDataFrame(known, "_s string, source_size long, target double, shards int")
+    placed = sized.join(F.broadcast(names) if len(known) < FEW else names, sized["_source"].eqNullSafe(names["_s"])).drop("_s")
+    lots = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / shard_rows)),
+        lambda i: F.struct(i.alias("lot"), F.least(F.lit(shard_rows), F.col("copies") - i * shard_rows).alias("copies")),
+    )
+    placed = placed.withColumn("own", F.explode(lots)).withColumn("copies", F.col("own.copies"))
+    placed = placed.withColumn("order", F.xxhash64("_id", "size", "own.lot", F.lit(seed))).drop("own")
+    placed = placed.withColumn("shard", F.pmod(F.col("order"), F.col("shards")).cast("int"))
+    shards = [(r["_source"], r["shard"], r["n"]) for r in placed.groupBy("_source", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()]
     quotas = shard_quotas(shards, wanted, block)
     quota = spark.createDataFrame([(s, k, int(q)) for (s, k), q in quotas.items()], "_s string, _k int, quota long")
-    placed = placed.join(F.broadcast(quota) if len(quotas) < 100_000 else quota, placed["_source"].eqNullSafe(quota["_s"]) & (placed["shard"] == quota["_k"])).drop("_s", "_k")
+    placed = placed.join(F.broadcast(quota) if len(quotas) < FEW else quota, placed["_source"].eqNullSafe(quota["_s"]) & (placed["shard"] == quota["_k"])).drop("_s", "_k")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def one(pdf):
         import xxhash
 
-        pdf = pdf.assign(_order=[xxhash.xxh64_intdigest(f"{i}:{seed}") for i in pdf["_id"]]).sort_values(["_order", "_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["order", "_id", "size"], kind="stable")
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])]
         own = int(xxhash.xxh64_intdigest(f"{pdf['_source'].iloc[0]}:{pdf['shard'].iloc[0]}:{seed}") >> 20)
         pdf["taken"] = _taken(pdf["size"].to_numpy(), int(pdf["quota"].iloc[0]), own, block)
         return pdf[["_id", "size", "source_size", "target", "taken"]]
