@@ -1,27 +1,32 @@
 """Language ID by language-bitmask n-gram filters.
 
-For each language the frequent n-grams (4 bytes of UTF-8, letters lower-cased, all else a space) go
+For each language the n-grams (4 bytes of UTF-8, letters lower-cased, all else a space) that it contains go
 into one slice of a bit-sliced Bloom filter: row ``h`` holds, in bit l, whether language l has set
 position h. One lookup, an AND of two rows, returns all languages that contain the n-gram. A
 document counts, per language, how many of its n-grams the language contains; the count is
 corrected for the slice's false positives, and the largest share decides.
+
+A language contains an n-gram that makes up at least SHARE of its own ones, and at least RELATIVE of the share
+that it has where it is most frequent. Both are shares, so a small language keeps what a large one does, and
+a language has 1 / SHARE n-grams at most, however much it was learned from. The filter's rows are as many
+as the n-grams ask for. They are put together on the executors: the driver gets the filter alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ledgerlens.llm.common import written
+
 UNDETERMINED = "und"
-LOG_ROWS = 20
-#: N-grams that a language's filter takes at most, its most frequent ones: the model's size, whatever the corpus.
-FILTER_GRAMS = 60_000
-#: An n-gram is a language's if it is there at least this often, as a share of where it is most frequent.
-RELATIVE = 0.1
-LEAST_COUNT = 3
+#: Logarithm of the filter's rows, least and most: about 4 rows for each n-gram of the language that contains most.
+LOG_ROWS = (12, 22)
+#: What an n-gram's share in a language is at least, and as part of its largest share in any language.
+SHARE, RELATIVE = 1e-6, 0.1
 #: Text that is counted, and that is scored, at once; scoring takes about 60 bytes for each byte of it.
 COUNT_BYTES, SCORE_BYTES = 4 << 20, 1 << 20
 
@@ -45,20 +50,20 @@ def _codes(data: bytes):
     return a[:-3] | a[1:-2] << np.uint32(8) | a[2:-1] << np.uint32(16) | a[3:] << np.uint32(24)
 
 
-def _rows(codes):
+def _rows(codes, log_rows: int):
     """The two filter rows of each n-gram."""
     import numpy as np
 
     x = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    mask = np.uint64((1 << LOG_ROWS) - 1)
-    return (x >> np.uint64(44)) & mask, (x >> np.uint64(20)) & mask
+    mask = np.uint64((1 << log_rows) - 1)
+    return (x >> np.uint64(42)) & mask, (x >> np.uint64(20)) & mask
 
 
 @dataclass
 class LanguageFilters:
-    """languages: in order of their bits; rows: uint64[2 ** LOG_ROWS, words]; fill: set share of each slice."""
+    """languages: in order of their bits; rows: uint64[a power of 2, words]; fill: set share of each slice."""
 
     languages: list[str]
     rows: object
@@ -74,7 +79,7 @@ class LanguageFilters:
         ends = np.cumsum(lengths)
         starts = ends - lengths
         codes = _codes(b"".join(parts))
-        one, two = _rows(codes)
+        one, two = _rows(codes, (len(self.rows) - 1).bit_length())
         n = lengths - 3
         out = np.zeros((len(parts), len(self.languages)))
         for word in range(self.rows.shape[1]):
@@ -117,24 +122,45 @@ def gram_counts(labelled: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", filter_grams: int = FILTER_GRAMS) -> LanguageFilters:
-    """Filters from all rows of ``labelled`` with a language. The driver gets ``filter_grams`` n-grams a language at most."""
+def contained(counts: DataFrame, totals: DataFrame, share: float = SHARE, relative: float = RELATIVE) -> DataFrame:
+    """(lang, gram) of the n-grams that each language contains, of counts (lang, gram, n) and totals (lang, total)."""
+    shares = counts.join(F.broadcast(totals), "lang").select("gram", F.struct((F.col("n") / F.col("total")).alias("p"), "lang").alias("x"))
+    grams = shares.where(F.col("x.p") >= share).groupBy("gram").agg(F.collect_list("x").alias("xs"), F.max("x.p").alias("most"))  # a row for each language at most
+    return grams.select("gram", F.explode("xs").alias("x"), "most").where(F.col("x.p") >= relative * F.col("most")).select("x.lang", "gram")
+
+
+def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", share: float = SHARE, relative: float = RELATIVE) -> LanguageFilters:
+    """Filters of all languages of ``labelled``; rows without a language don't count, null texts count as empty.
+
+    The driver gets a number for each language and the filter: 8 bytes a row for each 64 languages, 32 MB at most.
+    """
     import numpy as np
 
-    grams = gram_counts(labelled, lang_col, text_col)
-    grams = grams.where(F.col("n") >= LEAST_COUNT).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
-    grams = grams.withColumn("most", F.max("p").over(Window.partitionBy("gram"))).where(F.col("p") >= RELATIVE * F.col("most"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    got = grams.withColumn("r", F.row_number().over(order)).where(F.col("r") <= filter_grams).select("lang", "gram").toPandas()
-    languages = sorted(got["lang"].unique())
-    rows = np.zeros((1 << LOG_ROWS, max(1, -(-len(languages) // 64))), dtype=np.uint64)
-    fill = []
-    for i, lang in enumerate(languages):
-        one, two = _rows(got.loc[got["lang"] == lang, "gram"].to_numpy().astype(np.uint32))
-        bit = np.uint64(1 << (i % 64))
-        for at in (one, two):
-            rows[at.astype(np.int64), i // 64] |= bit
-        fill.append(float(((rows[:, i // 64] & bit) != 0).mean()))
+    spark = labelled.sparkSession
+    counts = written(gram_counts(labelled, lang_col, text_col), "grams")
+    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
+    languages = sorted(totals)
+    if not languages:
+        return LanguageFilters([], np.zeros((1 << LOG_ROWS[0], 1), dtype=np.uint64), [])
+    grams = written(contained(counts, spark.createDataFrame(list(totals.items()), "lang string, total long"), share, relative), "contained")
+    most = max((r["n"] for r in grams.groupBy("lang").agg(F.count("*").alias("n")).collect()), default=1)
+    log_rows = min(LOG_ROWS[1], max(LOG_ROWS[0], (4 * most - 1).bit_length()))
+    place = {lang: i for i, lang in enumerate(languages)}
+
+    def batches(parts):
+        import pyarrow as pa
+
+        for batch in parts:
+            at = np.array([place[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
+            both = np.concatenate(_rows(batch.column(1).to_numpy().astype(np.uint32), log_rows)).astype(np.int64)
+            at = np.concatenate([at, at])
+            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array((at // 64).astype(np.int32)), pa.array((np.uint64(1) << (at % 64).astype(np.uint64)).view(np.int64))], names=["at", "word", "bits"])
+
+    # every slice's row is set once, so no more rows come back than the filter has
+    got = grams.mapInArrow(batches, "at long, word int, bits long").groupBy("at", "word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = np.zeros((1 << log_rows, -(-len(languages) // 64)), dtype=np.uint64)
+    rows[got["at"].to_numpy(), got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    fill = [float(((rows[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(languages))]
     return LanguageFilters(languages, rows, fill)
 
 
@@ -142,10 +168,10 @@ def identify(docs: DataFrame, filters: LanguageFilters, *, text_col: str = "text
     """All columns of ``docs``, then pred_col and score_col; columns of those names are replaced.
 
     score is the corrected share of the text's n-grams that the language contains. Null texts and
-    those without a letter are `und` with score 0, as is everything if no language was learned.
-    Ties go to the language that sorts first. Repeated rows stay; empty tables stay empty.
+    those without a letter are `und` with score 0, as is everything if no language was learned; every other
+    text gets a learned language. Ties go to the language that sorts first. Repeated rows stay; empty tables stay empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.rows, filters.fill))  # 8 MB for each 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.rows, filters.fill))  # 32 MB at most for each 64 languages
     keep = [c for c in docs.columns if c not in (pred_col, score_col)]
     docs = docs.select(*keep)
     at = keep.index(text_col)

@@ -318,7 +318,7 @@ def test_filters_return_all_languages(spark):
     rows = [("en", "the cat and the dog " * 20), ("de", "der hund und die katze " * 20), ("xx", "the hund " * 40), (None, "zzz")]
     filters = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
     assert filters.languages == ["de", "en", "xx"]
-    one, two = langid._rows(langid._codes(b" the"))
+    one, two = langid._rows(langid._codes(b" the"), (len(filters.rows) - 1).bit_length())
     mask = int((filters.rows[one, 0] & filters.rows[two, 0])[0])
     assert mask == 0b110  # en and xx contain it
     d = docs_of(spark, ["the dog", "die katze", "12 34", "É", *EDGES]).withColumn("score", F.lit("old"))
@@ -330,6 +330,56 @@ def test_filters_return_all_languages(spark):
     assert langid.identify(d.where("false"), filters).count() == 0
 
 
+def brute_model(rows, share, relative):
+    """language -> the n-grams that it contains."""
+    counts: dict = {}
+    for lang, text in rows:
+        if lang is not None:
+            data = langid._normal(text)
+            data = data.ljust(4)
+            own = counts.setdefault(lang, {})
+            for i in range(len(data) - 3):
+                own[data[i : i + 4]] = own.get(data[i : i + 4], 0) + 1
+    shares = {lang: {g: n / sum(own.values()) for g, n in own.items()} for lang, own in counts.items()}
+    most: dict = {}
+    for own in shares.values():
+        for g, p in own.items():
+            most[g] = max(most.get(g, 0), p)
+    return {lang: {g for g, p in own.items() if p >= share and p >= relative * most[g]} for lang, own in shares.items()}
+
+
+def test_filters_and_scores_equal_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.lang, r.text) for r in d.collect()]
+    want = brute_model(rows, langid.SHARE, langid.RELATIVE)
+    counts = langid.gram_counts(d, "lang", "text")
+    # texts of one batch are set apart by spaces, which n-grams of the brute force don't reach over
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    got: dict = {}
+    for r in langid.contained(counts, totals).collect():
+        got.setdefault(r.lang, set()).add(int(r.gram).to_bytes(4, "little"))
+    for lang, own in want.items():
+        assert len(own ^ got[lang]) <= 0.02 * len(own)
+    filters = langid.fit(d)
+    for r in langid.identify(d, filters).collect():
+        data = langid._normal(r.text).ljust(4)
+        grams = [data[i : i + 4] for i in range(len(data) - 3)]
+        share = {lang: sum(g in own for g in grams) / len(grams) for lang, own in got.items()}
+        if any(c.isalpha() for c in r.text or ""):
+            assert abs(r.score - max(share.values())) < 0.05 and share[r.lang_pred] >= max(share.values()) - 0.05
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [("xx", "Ab")]
+    d = docs_of(spark, ["Ab", "something else", "12", None])
+    got = langid.identify(d, langid.fit(spark.createDataFrame(rows, "lang string, text string"))).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["xx", "xx", "und", "und"]
+    rows = [("en", "the cat and the dog " * 5_000), ("xx", "qua zor"), ("yy", None), ("zz", "")]
+    filters = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert filters.languages == ["en", "xx", "yy", "zz"]
+    assert [r.lang_pred for r in langid.identify(docs_of(spark, ["qua zor", "the dog"]), filters).orderBy("doc_id").collect()] == ["xx", "en"]
+
+
 def test_many_languages(spark):
     rows = [(f"l{i:03d}", f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{chr(97 + i % 26)} " * 30) for i in range(70)]
     filters = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
