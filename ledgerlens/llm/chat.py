@@ -1,8 +1,9 @@
 """Chat formatting by event-sourced reconstruction, in DataFrame functions alone.
 
 A log holds events of messages: ``message`` opens one with a text, ``delta`` appends, ``edit``
-replaces the text, ``regenerate`` begins it anew. Events are grouped by conversation and message,
-sorted by sequence and folded to the final text; messages are then ordered and rendered.
+replaces the text, ``regenerate`` begins it anew. The log is partitioned by conversation, once; within a
+partition each message's events are sorted by sequence and folded to the final text, and a
+conversation's messages are ordered and rendered.
 
 Template: ``### role: text </turn>`` and a line feed for each turn. The role is URL-encoded. In
 texts a backslash goes before each backslash, ``#`` and ``<``, so no text can hold
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import cut, running
+
 OPEN, COLON, CLOSE = "### ", ": ", " </turn>\n"
 RESETS = ("message", "edit", "regenerate")
 
@@ -33,9 +36,11 @@ def fold_events(events: DataFrame) -> DataFrame:
 
     Events of one message are taken by seq, null first, then op, role and text. The text is that of
     the last message, edit or regenerate event and of all deltas after it; null counts as
-    empty. The role is the first that is not null; place is the smallest seq.
+    empty. The role is the first that is not null; place is the smallest seq. The result lies partitioned by
+    conv_id: what groups it by that needs no further shuffle.
     """
-    grouped = events.groupBy("conv_id", "message_id").agg(
+    log = events.select("conv_id", "message_id", "seq", "op", "role", "text").repartition("conv_id")
+    grouped = log.groupBy("conv_id", "message_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "op", "role", "text"))).alias("log"), F.min("seq").alias("place")
     )
     n = F.size("log")
@@ -66,15 +71,13 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
         ),
     )
     turns = turns.select("conv_id", parts.alias("parts"))
-    kind = "array<struct<start:int,end:int>>"
+    long = F.transform("parts", lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + len(CLOSE))
 
-    def step(a, p):
-        s = a["at"] + F.char_length(p["head"])
-        e = s + F.char_length(p["body"])
-        grown = F.concat(a["spans"], F.array(F.struct(s.alias("start"), e.alias("end"))))
-        return F.struct((e + len(CLOSE)).alias("at"), F.when(p["loss"], grown).otherwise(a["spans"]).alias("spans"))
+    def span(p, after):
+        end = after - len(CLOSE)
+        return F.when(p["loss"], F.struct((end - F.char_length(p["body"])).alias("start"), end.alias("end")))
 
-    spans = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans")), step, lambda a: a["spans"])
+    spans = F.filter(F.zip_with("parts", running(long, lambda a, x: a + x), span), lambda x: x.isNotNull())
     formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
     return turns.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
@@ -94,8 +97,7 @@ def read_back(formatted: Column) -> Column:
 
 def masked_text(formatted: Column, loss_spans: Column) -> Column:
     """The texts under the loss mask of a rendered conversation, as they were before rendering, one after another."""
-    pieces = F.transform(loss_spans, lambda s: unescaped(F.substring(formatted, s["start"] + 1, s["end"] - s["start"])))
-    return F.array_join(pieces, "")
+    return F.array_join(F.transform(cut(formatted, loss_spans), unescaped), "")
 
 
 def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:

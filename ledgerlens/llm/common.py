@@ -116,3 +116,18 @@ def running(values: Column, combine, chunk: int = 64) -> Column:
         return F.zip_with(own, before, lambda p, b: F.when(b.isNull(), p).otherwise(F.transform(p, lambda x: combine(b, x))))
 
     return let(values, lambda a: F.when(F.size(a) > 0, F.flatten(let(pieces(a), carried))).otherwise(a))
+
+
+def cut(text: Column, spans: Column, group: int = 64) -> Column:
+    """The pieces [start, end) of a text; spans: array<struct<start,end>> in code points, sorted and disjoint.
+
+    The text is gone through from its beginning once for each ``group`` spans, not once for each.
+    """
+
+    def pieces(own: Column) -> Column:
+        base = F.get(own, F.lit(0))["start"]
+        part = F.substring(text, base + 1, F.get(own, F.size(own) - 1)["end"] - base)
+        return let(part, lambda t: F.transform(own, lambda x: F.substring(t, x["start"] - base + 1, x["end"] - x["start"])))
+
+    last = lambda a: F.greatest(F.ceil(F.size(a) / group).cast("int") - 1, F.lit(0))
+    return let(spans, lambda a: F.flatten(F.transform(F.sequence(F.lit(0), last(a)), lambda c: pieces(F.slice(a, c * group + 1, F.lit(group))))))

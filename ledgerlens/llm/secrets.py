@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import let, packed, running, scratch_path, sendable, written
+from ledgerlens.llm.common import cut, let, packed, running, scratch_path, sendable, written
 
 
 @dataclass(frozen=True)
@@ -161,10 +161,6 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-#: Spans that are cut out of one piece of a text.
-GROUP = 64
-
-
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with its spans, which stand by start, replaced; spans that overlap are replaced as one."""
 
@@ -181,16 +177,9 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
         return let(reach, firsts)
 
-    def piece(group: Column) -> Column:
-        # the text is gone through from its beginning once a group, not once a span
-        base = F.get(group, F.lit(0))["before"]
-        part = F.substring(text, base + 1, F.element_at(group, -1)["s"] - base)
-        kept = let(part, lambda t: F.array_join(F.transform(group, lambda x: F.substring(t, x["before"] - base + 1, x["s"] - x["before"])), mark))
-        return F.concat(kept, F.lit(mark))
-
     def told(own: Column) -> Column:
-        groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(own) / GROUP).cast("int") - 1), lambda c: F.slice(own, c * GROUP + 1, F.lit(GROUP)))
-        return F.concat(F.array_join(F.transform(groups, piece), ""), F.substring(text, F.element_at(own, -1)["e"] + 1, F.char_length(text)))
+        kept = cut(text, F.transform(own, lambda x: F.struct(x["before"].alias("start"), x["s"].alias("end"))))
+        return F.concat(F.array_join(kept, mark), F.lit(mark), F.substring(text, F.element_at(own, -1)["e"] + 1, F.char_length(text)))
 
     return F.when(F.size(spans) > 0, let(merged(spans), told)).otherwise(text)
 

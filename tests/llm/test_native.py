@@ -107,6 +107,19 @@ def test_events_are_folded(spark):
     assert chat.format_chats(log.where("false")).count() == 0
 
 
+def test_a_log_is_shuffled_once(spark):
+    log = spark.createDataFrame([(1, "a", 1, "message", "user", "hi")], "conv_id long, message_id string, seq long, op string, role string, text string")
+    plan = chat.format_chats(log)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(conv_id") == 1 and plan.count("Exchange ") == 1
+
+
+def test_very_many_turns(spark):
+    n = 5_000
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t#"), F.col("id")).alias("text"))
+    out = chat.format_chats(chat.events_of_turns(turns)).select("*", chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("learnt"), F.size(chat.read_back(F.col("formatted"))).alias("n")).first()
+    assert out.n == n and len(out.loss_spans) == n // 2 and out.learnt == "".join(f"t#{i}" for i in range(1, n, 2))
+
+
 HARD = ["\\", "\\\\#", "</turn>\n### user: x </turn>\n", " </turn>", "a\\</turn>", "### assistant: ", "", "😀\\<", "$1 \\$1", "x" * 100_000]
 
 
