@@ -1,9 +1,14 @@
 """Benchmark decontamination by winnowing, in DataFrame functions alone.
 
-A window is ``length`` consecutive words. Its fingerprint is the smallest hash of
-the k-word grams inside it, so equal windows have equal fingerprints and every
-shared span of at least ``length`` words is found. Fingerprint hits are extended
-to whole windows and compared word by word.
+Texts are sequences of words, fingerprints are hashes of k consecutive words. Of each window of
+``length`` words the smallest hash is kept together with its place, and where neighbouring windows keep the same
+one it is kept once: about a quarter of all places. Equal windows keep equal hashes, so every shared span of at
+least ``length`` words shares a kept fingerprint. Fingerprints of items and documents are joined, and a hit
+is extended, word by word, to each window around it; windows that an item has as well are occurrences, and
+overlapping ones make up whole spans.
+
+An item of fewer words than ``length`` is one window of its own length. All lengths are winnowed in one
+pass over the documents.
 """
 
 from __future__ import annotations
@@ -11,76 +16,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import packed, plain_words, written
+from ledgerlens.llm.common import let, packed, plain_words, running, sendable, written
 
 GRAM = 4
 WINDOW_WORDS = 10
-#: Benchmark windows that one broadcast holds (about 100 bytes each); more go in further blocks.
+#: Benchmark windows that one broadcast holds (about 200 bytes each); more are joined by shuffle.
 BLOCK_WINDOWS = 500_000
+#: A kept fingerprint is a long: 33 bits of hash above the 30 bits of its place.
+PLACE_BITS, HASH_BITS = 30, 33
+#: A code that no place has; it marks a document's own row.
+MARK = -1
 
 
-def _pairwise(a: Column, shift: int, combine) -> Column:
-    """combine(a[i], a[i + shift]) for every i that has both."""
-    n = F.greatest(F.size(a) - shift, F.lit(0))
-    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(1 + shift), n), combine)
+def _coded(words: Column, k: int) -> Column:
+    """For each run of k words its hash and place in one long; a shorter text has none."""
+    hashed = lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, k)]).bitwiseAND((1 << HASH_BITS) - 1)
+    every = F.transform(words, lambda w, i: F.shiftleft(hashed(w, i), PLACE_BITS).bitwiseOR(i.cast("long")))
+    return F.slice(every, F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(0))) if k > 1 else every
+
 
+def _least(a: Column, shift: int) -> Column:
+    """The lesser of a[i] and a[i + shift] for every i that has both."""
+    n = F.greatest(F.size(a) - shift, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(1 + shift), n), lambda x, y: F.least(x, y))
+
+
+def winnowed(df: DataFrame, words: str, lengths: list[int], out: str, gram: int = GRAM) -> DataFrame:
+    """Adds ``out`` array<long>: the codes that windows of any of ``lengths`` words keep, each once."""
+    steps: dict[str, Column] = {}
+    kept: list[str] = []
+    for k in sorted({min(gram, n) for n in lengths}):
+        steps[f"_g{k}_1"] = _coded(F.col(words), k)
+        for span in sorted({n - k + 1 for n in lengths if min(gram, n) == k}):  # minima over as many grams
+            reach = 1
+            while reach < span:
+                shift = min(reach, span - reach)
+                steps.setdefault(f"_g{k}_{reach + shift}", _least(F.col(f"_g{k}_{reach}"), shift))
+                reach += shift
+            kept.append(f"_g{k}_{span}")
+    for name, c in steps.items():
+        df = df.withColumn(name, c)
+    return df.withColumn(out, F.array_distinct(F.concat(*map(F.col, kept)))).drop(*steps)
 
-def _doubled(a: Column, span: int, name: str, steps: list[tuple[str, Column]], combine) -> Column:
-    """Combines span consecutive elements with as few passes as possible; steps gets the passes."""
-    reach = 1
-    while reach < span:
-        shift = min(reach, span - reach)
-        steps.append((f"{name}{reach + shift}", _pairwise(a, shift, combine)))
-        a, reach = F.col(f"{name}{reach + shift}"), reach + shift
-    return a
 
+def fingerprint(code: Column) -> Column:
+    return F.shiftright(code, PLACE_BITS)
 
-def _grams(hashes: Column, k: int, name: str, steps: list[tuple[str, Column]]) -> Column:
-    """Hashes of k consecutive words."""
-    out, reach = hashes, 1
-    while reach < k:
-        shift = min(reach, k - reach)
-        # halves may overlap for k = 3: order and place still decide the value
-        steps.append((f"{name}{reach + shift}", _pairwise(out, shift, lambda x, y: F.xxhash64(x, y))))
-        out, reach = F.col(f"{name}{reach + shift}"), reach + shift
-    return out
 
+def place(code: Column) -> Column:
+    return code.bitwiseAND((1 << PLACE_BITS) - 1).cast("int")
 
-def window_fingerprints(df: DataFrame, words: str, length: int, out: str, gram: int = GRAM) -> DataFrame:
-    """Adds ``out``: for each window start the smallest k-gram hash in the window.
 
-    A row with fewer than ``length`` words gets an empty array.
-    """
-    k = min(gram, length)
-    steps: list[tuple[str, Column]] = [("_h1", F.transform(F.col(words), lambda w: F.xxhash64(w)))]
-    grams = _grams(F.col("_h1"), k, "_h", steps)
-    mins = _doubled(grams, length - k + 1, "_m", steps, lambda x, y: F.least(x, y))
-    for name, c in steps:
-        df = df.withColumn(name, c)
-    return df.withColumn(out, mins).drop(*[n for n, _ in steps])
+def windows_around(words: Column, at: Column, n: Column, gram: int = GRAM) -> Column:
+    """array<struct<at,window>>: the windows of n words that hold the k words at the place, by where they start and a digest of their words."""
+    first = F.greatest(at - (n - F.least(F.lit(gram), n)), F.lit(0))
+    last = F.least(at, F.size(words) - n)
+    starts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda s: F.struct(s.alias("at"), F.sha2(F.array_join(F.slice(words, s + 1, n), " "), 256).alias("window")))
 
 
-def benchmark_windows(items: DataFrame, id_col: str, text_col: str, length: int = WINDOW_WORDS) -> DataFrame:
-    """(item, len, fp, window): each distinct window of each item.
+def benchmark_windows(items: DataFrame, id_col: str, text_col: str, length: int = WINDOW_WORDS, gram: int = GRAM) -> tuple[list[int], DataFrame, DataFrame]:
+    """The windows' lengths, the kept fingerprints (fp, len) and the windows (window, len, items), written.
 
-    An item of fewer words than ``length``, but not none, is one window of its own length.
+    An item of fewer words than ``length``, but not none, is one window of its own length. window is the digest of
+    its words; items are the ids, as sorted strings, of those that have it.
     """
-    base = items.select(F.col(id_col).alias("item"), plain_words(F.col(text_col)).alias("words"))
-    base = base.where(F.size("words") > 0)
-    parts = []
-    lengths = sorted(r[0] for r in base.select(F.least(F.size("words"), F.lit(length))).distinct().collect())
-    for n in lengths or [length]:
-        own = base.where(F.size("words") >= n if n == length else F.size("words") == n)
-        own = window_fingerprints(own, "words", n, "fps")
-        parts.append(
-            own.select("item", "words", F.posexplode_outer("fps").alias("at", "fp")).select(
-                "item", F.lit(n).alias("len"), "fp", F.array_join(F.slice("words", F.col("at") + 1, F.lit(n)), " ").alias("window")
-            )
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    base = items.select(F.col(id_col).cast("string").alias("item"), plain_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    base = written(base.withColumn("len", F.least(F.size("words"), F.lit(length))), "items")
+    lengths = sorted(r["len"] for r in base.select("len").distinct().collect())  # ``length`` numbers at most
+    prints = None
+    for n in lengths:
+        own = winnowed(base.where(F.col("len") == n), "words", [n], "codes", gram).select(F.explode(F.transform("codes", fingerprint)).alias("fp"), "len")
+        prints = own if prints is None else prints.unionByName(own)
+    prints = prints if lengths else items.sparkSession.createDataFrame([], "fp long, len int")
+    each = base.select("item", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("len") + 1), lambda s: F.sha2(F.array_join(F.slice("words", s, F.col("len")), " "), 256))).alias("window"))
+    windows = each.groupBy("window", "len").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return lengths, written(prints.distinct(), "prints"), written(windows, "windows")
 
 
 def find_contamination(
@@ -92,6 +103,7 @@ def find_contamination(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     length: int = WINDOW_WORDS,
+    gram: int = GRAM,
     block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, text_key (a hash of the text), n_words, n_hit, hit_spans, items, contaminated.
@@ -100,91 +112,72 @@ def find_contamination(
     ids, as sorted strings, whose windows occur. Null and word-less texts have no words and
     no hits; repeated rows each get their result; an empty table gives an empty result; other
     columns are not looked at. Items whose id is null count for n_hit but are not listed.
+
+    With up to ``block_windows`` windows in the benchmark its fingerprints are sent to all executors and documents
+    are probed and extended where they are read. Beyond that fingerprints are joined by shuffle, and of the
+    documents those with hits are read again.
     """
-    windows = written(benchmark_windows(items, item_id_col, item_text_col, length), "bench")
-    sizes = {r["len"]: r["n"] for r in windows.groupBy("len").agg(F.count("*").alias("n")).collect()}
+    lengths, prints, windows = benchmark_windows(items, item_id_col, item_text_col, length, gram)
+    few = windows.count() <= block_windows
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), plain_words(F.col(text_col)).alias("words"))
-    # each document also yields one row that marks it, whether it has hits or not
-    hits = None
-    for n, count in sorted(sizes.items()) or [(length, 1)]:
-        blocks = -(-count // block_windows)
-        for block in range(blocks):
-            own = windows.where((F.col("len") == n) & (F.pmod(F.xxhash64("window"), F.lit(blocks)) == block))
-            found = _hits(keyed, own, n, mark=hits is None)
-            hits = found if hits is None else hits.unionByName(found)
-    listed = windows.groupBy("window").agg(F.collect_set(F.col("item").cast("string")).alias("own_items"))
-    few = sum(sizes.values()) <= block_windows
-    hits = hits.join(F.broadcast(listed) if few else listed, "window", "left")
-    marks = F.col("n_words").isNotNull()
-    per_doc = hits.groupBy("_id", "_key").agg(
+    coded = winnowed(keyed, "words", lengths or [length], "codes", gram)
+    # each document also has one row that marks it, whether it has hits or not
+    every = coded.select("_id", "_key", "words", F.explode(F.concat(F.array(F.lit(MARK).cast("long")), F.col("codes"))).alias("code"))
+    if few:
+        marked = prints.unionByName(docs.sparkSession.range(1).select(F.lit(MARK).cast("long").alias("fp"), F.lit(0).alias("len")))
+        hits = every.withColumn("fp", fingerprint(F.col("code"))).join(F.broadcast(marked), "fp")
+        near = F.when(F.col("len") == 0, F.array(F.struct(F.lit(-1).alias("at"), F.lit("").alias("window")))).otherwise(windows_around(F.col("words"), place(F.col("code")), F.col("len"), gram))
+        seen = hits.select("_id", "_key", F.when(F.col("len") == 0, F.size("words").cast("long")).alias("n_words"), "len", F.explode(near).alias("w"))
+        seen = seen.select("_id", "_key", "n_words", "len", "w.at", "w.window")
+        blank = docs.sparkSession.range(1).select(F.lit("").alias("window"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("items"))
+        found = seen.join(F.broadcast(windows.unionByName(blank)), ["window", "len"])
+    else:
+        codes = every.select("_id", "_key", "code").where(F.col("code") != MARK).withColumn("fp", fingerprint(F.col("code")))
+        hits = codes.join(prints, "fp").groupBy("_id", "_key").agg(F.collect_set(F.struct("code", "len")).alias("hits"))
+        hits = hits.select(F.col("_id").alias("_hit_id"), F.col("_key").alias("_hit_key"), "hits")
+        again = keyed.join(hits, F.col("_id").eqNullSafe(F.col("_hit_id")) & (F.col("_key") == F.col("_hit_key")))
+        near = again.select("_id", "_key", "words", F.explode("hits").alias("h"))
+        near = near.select("_id", "_key", F.col("h.len").alias("len"), F.explode(windows_around(F.col("words"), place(F.col("h.code")), F.col("h.len"), gram)).alias("w"))
+        found = near.select("_id", "_key", F.lit(None).cast("long").alias("n_words"), "len", "w.at", "w.window").join(windows, ["window", "len"])
+        own = keyed.select("_id", "_key", F.size("words").cast("long").alias("n_words"), F.lit(0).alias("len"), F.lit(-1).alias("at"), F.array().cast("array<string>").alias("items"))
+        found = found.select(*own.columns).unionByName(own)
+    mark = F.col("n_words").isNotNull()
+    per_doc = found.groupBy("_id", "_key").agg(
         F.max("n_words").alias("n_words"),
-        F.count_if(marks).alias("copies"),
-        F.array_sort(F.collect_set(F.when(~marks, F.struct(F.col("at").alias("s"), (F.col("at") + F.col("len")).alias("e"))))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("own_items")))).alias("items"),
+        F.count_if(mark).alias("copies"),
+        F.array_sort(F.collect_set(F.when(~mark, F.struct(F.col("at").alias("s"), (F.col("at") + F.col("len")).alias("e"))))).alias("spans"),
+        F.collect_set(F.when(~mark, F.col("items"))).alias("items"),
     )
     merged = per_doc.withColumn("hit_spans", _merged(F.col("spans")))
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["s"]).cast("long"))
-    out = merged.select("_id", "n_words", n_hit.alias("n_hit"), "hit_spans", "items", (F.size("hit_spans") > 0).alias("contaminated"), "_key", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    out = merged.select(
+        "_id", "n_words", n_hit.alias("n_hit"), "hit_spans", F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"), (F.size("hit_spans") > 0).alias("contaminated"), "_key",
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"),
+    )
     return out.select(F.col("_id").alias(id_col), F.col("_key").alias("text_key"), "n_words", "n_hit", "hit_spans", "items", "contaminated")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs."""
     found = find_contamination(docs, items, id_col=id_col, text_col=text_col, **options).where("contaminated")
-    bad = found.select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
+    bad = written(found.select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct(), "contaminated")
+    bad = sendable(bad, F.lit(64) + F.coalesce(F.length(F.col("_bad_id").cast("string")), F.lit(0)))  # where they are few, the documents stay where they are
     rows = packed(docs, id=F.col(id_col), text_key=F.xxhash64(text_col))
     same = rows["id"].eqNullSafe(bad["_bad_id"]) & (rows["text_key"] == bad["_bad_key"])
     return rows.join(bad, same, "left_anti").select("row.*")
 
 
-#: A fingerprint that no window is looked up by: its rows mark documents. A window that happens to
-#: have it is still told apart by its words.
-MARK = -(2**63)
-
-
-def _hits(keyed: DataFrame, windows: DataFrame, n: int, mark: bool) -> DataFrame:
-    """(_id, _key, n_words, at, len, window) for each place of a window in the documents.
+def _merged(spans: Column) -> Column:
+    """Sorted [s, e) ranges as disjoint ranges; those that touch are one."""
 
-    The fingerprints of all windows are generated and probed within one stage; the words
-    of a window are put together for hits alone. With ``mark`` each document has one row
-    more, with n_words and an empty window.
-    """
-    fps = window_fingerprints(keyed, "words", n, "fps")
-    prints, texts = windows.select("fp").distinct(), windows.select("window").distinct()
-    every = F.col("fps")
-    if mark:
-        spark = keyed.sparkSession
-        every = F.concat(F.array(F.lit(MARK)), F.col("fps"))
-        prints = prints.union(spark.range(1).select(F.lit(MARK).alias("fp")))
-        texts = texts.union(spark.range(1).select(F.lit("").alias("window")))
-    # the outer form: a plain posexplode makes Catalyst push size(fps) > 0 down, with all passes written out again
-    seen = fps.select("_id", "_key", "words", F.posexplode_outer(every).alias("place", "fp"))
-    seen = seen.join(F.broadcast(prints), "fp", "left_semi")
-    is_mark = (F.col("place") == 0) if mark else F.lit(False)
-    at = (F.col("place") - 1) if mark else F.col("place")
-    window = F.when(is_mark, F.lit("")).otherwise(F.array_join(F.slice("words", F.greatest(at, F.lit(0)) + 1, F.lit(n)), " "))
-    # never null, and known to be: else the join puts every window together to test it for null
-    window = F.coalesce(window, F.lit(""))
-    whole = seen.select("_id", "_key", F.when(is_mark, F.size("words").cast("long")).alias("n_words"), at.alias("at"), window.alias("window"))
-    found = whole.join(F.broadcast(texts), "window", "left_semi")
-    return found.select("_id", "_key", "n_words", "at", F.lit(n).alias("len"), "window")
+    def joined(own: Column) -> Column:
+        def parts(reach: Column) -> Column:
+            before = F.concat(F.array(F.lit(-1)), reach)
+            rows = F.zip_with(own, F.slice(before, F.lit(1), F.size(own)), lambda x, b: F.struct(x["s"].alias("s"), b.alias("b")))
+            heads = F.filter(rows, lambda x: x["s"] > x["b"])
+            ends = lambda h: F.concat(F.transform(F.slice(h, F.lit(2), F.size(h) - 1), lambda x: x["b"]), F.array(F.get(reach, F.size(reach) - 1)))
+            return let(heads, lambda h: F.zip_with(h, ends(h), lambda x, e: F.struct(x["s"].alias("s"), e.alias("e"))))
 
+        return let(running(F.transform(own, lambda x: x["e"]), lambda a, x: F.greatest(a, x)), parts)
 
-def _merged(spans: Column) -> Column:
-    """Sorted [s, e) ranges as disjoint ranges."""
-    kind = "array<struct<s:int,e:int>>"
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))
-
-    def step(a, x):
-        apart = x["s"] > a["e"]
-        flushed = F.when(a["s"] >= 0, F.concat(a["done"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"))))).otherwise(a["done"])
-        return F.struct(
-            F.when(apart, flushed).otherwise(a["done"]).alias("done"),
-            F.when(apart, x["s"]).otherwise(a["s"]).alias("s"),
-            F.when(apart, x["e"]).otherwise(F.greatest(a["e"], x["e"])).alias("e"),
-        )
-
-    def last(a):
-        return F.when(a["s"] >= 0, F.concat(a["done"], F.array(F.struct(a["s"].alias("s"), a["e"].alias("e"))))).otherwise(a["done"])
-
-    return F.aggregate(spans, start, step, last)
+    return F.when(F.size(spans) > 0, let(spans, joined)).otherwise(spans)

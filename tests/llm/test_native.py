@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import pytest
@@ -276,6 +277,38 @@ def test_windows_equal_brute_force(spark):
             assert (r.n_words, r.n_hit, list(r["items"]), r.contaminated) == (*want, want[1] > 0), texts[r.doc_id]
 
 
+def test_items_of_all_lengths_in_one_scan(spark, tmp_path):
+    rng = random.Random(4)
+    line = lambda n: " ".join(rng.choice("abcdefg") + rng.choice("xyz") for _ in range(n))
+    items = [(n, line(n)) for n in range(1, 13)] + [(n + 100, line(n)) for n in range(3, 40, 5)]
+    texts = [line(300) for _ in range(20)] + [f"{line(30)} {t} {line(5)} {t}" for _, t in items]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/docs")
+    d, b = spark.read.parquet(f"{tmp_path}/docs"), spark.createDataFrame(items, "item_id long, text string")
+    for blocks in (500_000, 0):
+        found = winnowing.find_contamination(d, b, block_windows=blocks)
+        for r in found.collect():
+            want = brute_hits(texts[r.doc_id], items)
+            assert (r.n_words, r.n_hit, list(r["items"])) == want, texts[r.doc_id]
+        scans = found._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+        assert blocks == 0 or scans == 3  # the documents once, fingerprints and windows
+
+
+def test_few_places_are_kept(spark):
+    text = " ".join(f"w{i}" for i in range(20_000))
+    own = winnowing.winnowed(docs_of(spark, [text, "a " * 12, "a b", None]).select("doc_id", common.plain_words(F.col("text")).alias("words")), "words", [10], "codes")
+    n = [r.n for r in own.select("doc_id", F.size("codes").alias("n")).orderBy("doc_id").collect()]
+    assert 0.22 < n[0] / 20_000 < 0.28 and n[1] == 3 and n[2:] == [0, 0]
+
+
+def test_very_long_words_and_many_hits(spark):
+    base = "one two three four five six seven eight nine ten"
+    huge = "x" * 1_000_000
+    b = spark.createDataFrame([(1, base), (2, f"{huge} {base} {huge}")], "item_id long, text string")
+    got = winnowing.find_contamination(docs_of(spark, [f"{base} y " * 3_000, f"a {base} {huge} b", huge]), b).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, list(r["items"])) for r in got] == [(33_000, 30_000, ["1", "2"]), (13, 11, ["1", "2"]), (1, 0, [])]
+    assert len(got[0].hit_spans) == 3_000
+
+
 def test_empty_tables(spark):
     d, none = docs_of(spark, ["some text", None]), spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.n_hit, r.contaminated) for r in winnowing.find_contamination(d, none).orderBy("doc_id").collect()] == [(2, 0, False), (0, 0, False)]
