@@ -15,7 +15,7 @@ def connected(links: DataFrame) -> DataFrame:
 
     Links may be repeated, in either direction, or from a node to itself; null ends don't link.
     Each round is a table in the shared folder; a hub's links are never gathered in one
-    row: its smallest neighbour is an aggregate, joined back. No links give no rows.
+    row: its smallest neighbour is an aggregate, joined back, and a join that is skewed by a hub can be split. No links give no rows.
     """
     spark = links.sparkSession
     now = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -31,9 +31,9 @@ def connected(links: DataFrame) -> DataFrame:
         if said == state or not said[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = said
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # each link's larger end goes to the smallest neighbour of the smaller one; a hub is the smaller end of its links
+        low = now.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
+        large = now.join(low, now["v"] == low["c"], "left").select("u", F.coalesce("m", "v").alias("v"))
         # each node of `large` now points to smaller ones alone
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))

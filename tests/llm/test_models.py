@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -290,6 +291,34 @@ def test_large_runs_keep_all_links(monkeypatch):
     assert len(set(root)) == len(set(want)) and all((root[i] == root[j]) == (want[i] == want[j]) for i in range(0, len(fps), 7) for j in range(len(fps)))
 
 
+def test_a_hot_key_is_linked_in_seconds():
+    rng = np.random.default_rng(2)
+    n = 100_000
+    spread = np.unique(rng.integers(0, 2**32, n, dtype=np.uint64))  # the low 32 bits vary, the key's 31 are the same
+    tight = np.unique(rng.integers(0, 2**19, n, dtype=np.uint64))
+    chain = np.array([(1 << (i + 1)) - 1 for i in range(32)], dtype=np.uint64)  # each one bit from the next
+    for fps in (spread, tight, np.concatenate([spread[spread > 2**31], chain[:30]])):
+        start = time.perf_counter()
+        own, root = simhash.linked_in_run(np.unique(fps))
+        assert time.perf_counter() - start < 60
+        fps = np.unique(fps)
+        # every link of a few hundred of them is kept, and no component is larger than its links make it
+        for i in range(0, len(fps), max(1, len(fps) // 300)):
+            near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= simhash.BITS)
+            assert (root[near] == root[i]).all()
+        lone = np.flatnonzero(np.bincount(root, minlength=len(fps))[root] == 1)[:200]
+        assert all((np.bitwise_count(fps ^ fps[i]) <= simhash.BITS).sum() == 1 for i in lone)
+
+
+def test_deduplicated_with_columns_of_any_type(spark):
+    rows = [(1, "a b c", {"k": 2}, b"x"), (1, "a b c", {"k": 1}, b"x"), (2, "A b c", {"k": 0}, None), (None, "d e f g", None, b"y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>, raw binary").withColumn("v", F.parse_json(F.lit('{"z": 1}')))
+    got = simhash.deduplicated(d)
+    assert got.dtypes == d.dtypes and sorted((r.doc_id or 0, r.extra) for r in got.drop("v").collect()) == [(0, None), (1, {"k": 1})]
+    same = d.unionByName(d)
+    assert simhash.deduplicated(same).count() == 2
+
+
 def test_near_duplicate_rows(spark):
     d = docs_of(spark, [*EDGES, "same  TEXT here"], [9, 8, 7, 6, 5, 4, 4, None])
     got = simhash.near_duplicates(d).collect()
