@@ -64,6 +64,28 @@ def test_licence_places_and_templates(spark):
     assert [r.n_words for r in got[5:]] == [0, 0, 0, 1, 30_000, 3, 3] and len(got) == len(texts)
 
 
+def test_whole_licences_with_changes(spark):
+    edited = licences.words_of(licences.MIT)
+    edited.insert(12, "certain")
+    del edited[60]
+    edited[100] = "goods"
+    broken = [w for w in licences.words_of(licences.MIT) if w != "hereby"]
+    texts = [licences.MIT, "x " * 50 + " ".join(edited) + " y", " ".join(broken), "// SPDX-License-Identifier: Apache-2.0", licences.BSD + licences.BSD_3, licences.GPL.upper(), licences.MIT[: len(licences.MIT) // 3], (licences.ISC + "\n") * 30]
+    got = licences.scan_licences(docs_of(spark, texts)).orderBy("doc_id").collect()
+    labels = [{m.label for m in r.matches} for r in got]
+    assert [("mit-text" in x) for x in labels] == [True, True, False, False, False, False, False, False]
+    whole = [(m["at"], m.agreed) for m in got[1].matches if m.label == "mit-text"]
+    assert len(whole) == 1 and abs(whole[0][0] - 50) <= licences.DRIFT and 0.9 < whole[0][1] <= 1
+    assert labels[3] >= {"apache-2.0".join(["spdx-", ""]), "spdx"} and "spdx-mit" not in labels[3]
+    assert labels[4] == {"bsd", "bsd-3"} and {"gpl", "gpl-header"} <= labels[5] and "mit-grant" in labels[6]
+    assert sum(m.label == "isc" for m in got[7].matches) == 30
+
+
+def test_licences_in_many_equal_rows(spark):
+    d = spark.range(500).select(F.lit(1).alias("doc_id"), F.lit("MIT License").alias("text"))
+    assert [(r.n_words, [(m.label, m["at"]) for m in r.matches]) for r in licences.scan_licences(d).collect()] == [(2, [("mit", 0)])] * 500
+
+
 def test_licences_of_an_empty_table(spark):
     assert licences.scan_licences(docs_of(spark, [])).count() == 0
 
