@@ -1,5 +1,6 @@
 """Tokens, mixing, quality, neighbours, near-duplicates and languages against brute force and round trips."""
 
+import math
 import random
 import re
 import time
@@ -169,6 +170,36 @@ def test_quality_on_held_out_labels(spark, sf):
     assert sum(model["passed"]) > 0  # the views did teach each other
 
 
+def test_the_surest_of_all_documents_are_passed(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs_of(spark, EDGES, [None] * len(EDGES)).select("doc_id", "text", "lang", "source", F.lit(None).cast("long").alias("n_chars")))
+    known = labels.select(F.col("doc_id").alias("_id")).distinct()
+    rows = cotraining._rows(docs, "doc_id", "text", "lang", "source", "n_chars")
+    rng = np.random.default_rng(5)
+    weights = [rng.normal(size=cotraining.BINS + 1) * 3, rng.normal(size=12 + 2 * cotraining.SOURCE_BINS + 1) * 2]
+    counts = {1: 7, 0: 4}
+    got = sorted(tuple(r)[:3] for r in cotraining.surest(rows.repartition(5), known, weights, counts).collect())
+    ids = {r[0] for r in known.collect()}
+    own = {r.key: r for r in rows.collect() if r._id not in ids}
+    want = []
+    for v, of in enumerate((lambda r: cotraining.content_features(r.text), lambda r: cotraining.page_features(r.text, r.lang, r.source, r.length))):
+        p = {k: 1 / (1 + math.exp(-float(np.clip(cotraining.margins(of(r)[None], weights[v])[0], -30, 30)))) for k, r in own.items()}
+        for y in (1, 0):
+            sure = sorted(((-(x if y else 1 - x), k) for k, x in p.items() if (x if y else 1 - x) >= cotraining.SURE))
+            want += [(v, y, k) for _, k in sure[: counts[y]]]
+    assert got == sorted(want) and len(got) > 8
+
+
+def test_quality_query_scores_equal_brute_force(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = cotraining.fit_quality(docs, labels)
+    texts = {r.doc_id: r for r in docs.collect()}
+    for r in queries.op5_cotrained_quality(spark, sf).collect():
+        d = texts[r.doc_id]
+        views = [x[None] for x in (cotraining.content_features(d.text), cotraining.page_features(d.text, d.lang, d.source, d.n_chars))]
+        assert np.allclose([r.content_score, r.page_score, r.score], [float(x[0]) for x in cotraining.score_views(model, *views)], atol=1e-5) and r.keep == (r.score >= 0.5)
+
+
 def test_quality_edges(spark):
     d = docs_of(spark, EDGES)
     none = spark.createDataFrame([], "doc_id long, quality int")
