@@ -234,6 +234,39 @@ def test_neighbour_recall(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("shape", ["spread", "clustered", "dense"])
+def test_most_rows_are_left_out(shape):
+    rng = np.random.default_rng(3)
+    n, dim = 6_000, 48
+    v = rng.normal(size=(n, dim))
+    if shape != "spread":
+        v[: n if shape == "clustered" else n // 3] = (rng.normal(size=(40 if shape == "clustered" else 1, dim)).repeat(n, 0)[:n] if shape == "dense" else rng.normal(size=(40, dim))[rng.integers(0, 40, n)])[: n if shape == "clustered" else n // 3]
+        v[: n if shape == "clustered" else n // 3] += rng.normal(size=(n if shape == "clustered" else n // 3, dim)) * 0.3
+    p = v[rng.choice(n, permutation.PIVOTS, replace=False)]
+    near = np.argsort((p * p).sum(1) - 2 * v @ p.T, axis=1)[:, : permutation.PREFIX].astype(np.int32)
+    ids, asking, reached = np.arange(n), np.arange(0, n, 60), []
+    q, c, _ = permutation._search_shard(ids, v, near, v[asking], near[asking], len(p), 11, permutation.RERANK_SHARE, permutation.LEAST_RERANK, reached)
+    true = np.argsort(((v[asking][:, None] - v[None]) ** 2).sum(-1), axis=1)[:, :11]
+    recall = np.mean([len(set(c[q == i]) & set(t)) / 11 for i, t in enumerate(true)])
+    assert recall >= 0.9 and np.mean([r / m for _, r, m in reached]) < 0.15
+
+
+def test_neighbours_in_several_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    own = [sorted(map(tuple, permutation.search(df, F.col("vec_id") % 3 == 0, block=b).collect())) for b in (16, permutation.BLOCK)]
+    assert own[0] == own[1] and len(own[0]) == 1_000
+    want = exact(rows, [r for r in rows if r[0] % 3 == 0], 10)
+    assert sum(len({x[2] for x in own[0] if x[0] == q} & set(w)) for q, w in want.items()) >= 990
+
+
+def test_another_vector_under_the_same_id(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.5]), (1, [3.0, 0.0])], "vec_id long, embedding array<double>")
+    got = permutation.search(df, F.col("embedding")[1] == 0.5).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(0, 1, 0), (0, 2, 1)]
+
+
 def test_neighbour_edges(spark):
     rows = [(0, [1.0, 0.0]), *[(i, [0.5, 0.5]) for i in range(1, 40)], (100, [0.5, 0.5]), (200, [0.0, 0.0]), (300, None), (400, [float("nan"), 1.0]), (500, [1.0, None]), (600, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("pivot", F.lit(1))
