@@ -20,28 +20,34 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: A digit with a letter behind it that OCR may have put for one; nothing is repaired where there is none.
+REPAIRABLE = r"(?U)[0-9][\s€$]*[oOqQiIlLzZsSbBeE]"
+#: A number with one separator at most: it is decimal.
+SIMPLE = r"\A[-+]?[0-9]+(?:[.,][0-9]+)?\z"
+
+
 def parse_number(c: Column, repair: bool = True) -> Column:
     """A double of a local number text such as 2.445,37 EUR; null where it is none.
 
     Two or more separators: the last is decimal if one or two digits follow, else all are for
-    thousands. A single separator is always decimal.
+    thousands. A single separator is always decimal. Texts that are plain numbers, which most are, take no more than one look.
     """
-    s = F.regexp_replace(F.regexp_replace(strip(c), "[€$]", ""), r"(?U)\s+", "")
+    bare = lambda x: F.regexp_replace(x, r"[^0-9,.+-]", "")
+    kept = bare(c)
     if repair:
+        s = F.regexp_replace(F.regexp_replace(strip(c), "[€$]", ""), r"(?U)\s+", "")
         for digit, wrong in OCR_DIGITS.items():
             s = F.regexp_replace(s, rf"(?<=[0-9])[{wrong}](?=[0-9,.+-])", digit)
-    s = F.regexp_replace(s, r"[^0-9,.+-]", "")
-    return let(F.regexp_replace(s, r"(?<=[0-9])[,.](?=[,.])", ""), _read_number)
+        kept = F.when(c.rlike(REPAIRABLE), bare(s)).otherwise(kept)
+    read = let(F.regexp_replace(kept, r"(?<=[0-9])[,.](?=[,.])", ""), _read_number)
+    return F.when(c.rlike(SIMPLE), F.replace(c, F.lit(","), F.lit(".")).try_cast("double")).otherwise(read)
 
 
 def _read_number(s: Column) -> Column:
     sign, body = F.regexp_extract(s, r"\A([-+]?)", 1), F.regexp_replace(s, r"\A[-+]", "")
-    separators = F.char_length(F.regexp_replace(s, r"[^,.]", ""))
-    whole = F.regexp_replace(F.regexp_replace(body, r"[,.][0-9]{1,2}\z", ""), r"[,.]", "")
-    compact = F.concat(sign, F.regexp_replace(body, r"[,.]", ""))
-    plain = s.rlike(PLAIN)
+    whole = F.translate(F.regexp_replace(body, r"[,.][0-9]{1,2}\z", ""), ",.", "")
     cents = F.concat(sign, whole, F.lit("."), F.regexp_extract(body, r"[,.]([0-9]{1,2})\z", 1))
-    out = F.when(plain & (separators <= 1), F.replace(s, F.lit(","), F.lit("."))).when(body.rlike(CENTS), cents).when(plain, compact)
+    out = F.when(s.rlike(SIMPLE), F.replace(s, F.lit(","), F.lit("."))).when(body.rlike(CENTS), cents).when(s.rlike(PLAIN), F.concat(sign, F.translate(body, ",.", "")))
     return out.try_cast("double")
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space at the ends, of any script. trim() strips spaces alone.
 ENDS = r"(?U)\A\s+|\s+\z"
+# Texts that stand for nothing, and what counts as a word.
 NULL_TOKENS = ("null", "none", "no encontrado", "no encontrado.", "n/a", "na")
 WORD_LIKE = r"[A-Za-z0-9ÁÉÍÓÚÜÑáéíóúüñ]{2,}"
 
@@ -66,6 +67,19 @@ def signal_score(c: Column) -> Column:
     return letters(t) * 1.6 + digits(t) * 0.7 + matches(t, WORD_LIKE) * 7.5 - signs * 2.0
 
 
+def signal_counts(texts: DataFrame, text: str) -> DataFrame:
+    """Adds n_letters, n_digits, n_words and n_signs of a text column, each worked out once for all that is told from them."""
+    t = texts.withColumn("_t", squeezed(F.coalesce(F.col(text), F.lit(""))))
+    signs = F.char_length(F.regexp_replace("_t", r"(?U)[\p{L}\p{N}\s]", ""))
+    return t.withColumns({"n_letters": letters(F.col("_t")), "n_digits": digits(F.col("_t")), "n_words": matches(F.col("_t"), WORD_LIKE), "n_signs": signs}).drop("_t")
+
+
+def signal_of_counts() -> tuple[Column, Column, Column]:
+    """(score, meaningful, extractable) of the columns that signal_counts adds."""
+    score = F.col("n_letters") * 1.6 + F.col("n_digits") * 0.7 + F.col("n_words") * 7.5 - F.col("n_signs") * 2.0
+    return score, (F.col("n_words") >= 4) & (score >= 35.0), (F.col("n_words") >= 3) & (F.col("n_letters") + F.col("n_digits") >= 12)
+
+
 def is_meaningful(c: Column, min_words: int = 4, min_score: float = 35.0) -> Column:
     t = squeezed(F.coalesce(c, F.lit("")))
     return (t != "") & (matches(t, WORD_LIKE) >= min_words) & (signal_score(c) >= min_score)
@@ -167,9 +181,11 @@ def chunks(c: Column, size: int = 1200, overlap: int = 200) -> Column:
     if overlap >= size:
         overlap = max(0, size // 4)
     step = size - overlap
-    n = F.char_length(t)
-    last = F.greatest(F.ceil((n - size) / F.lit(step)), F.lit(0)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.substring(t, i * step + 1, F.lit(size))))
+    last = F.greatest(F.ceil((F.char_length(t) - size) / F.lit(step)), F.lit(0)).cast("int")
+    # the text is cut once into pieces of a step; each chunk is the piece and the beginning of what follows
+    cut = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    whole = lambda a, i: F.substring(F.array_join(F.slice(a, i + 1, F.lit(-(-size // step))), ""), 1, size)
+    pieces = F.get(F.transform(F.array(cut), lambda a: F.transform(F.sequence(F.lit(0), last), lambda i: strip(whole(a, i)))), F.lit(0))
     return F.filter(pieces, lambda x: x != "")
 
 
@@ -206,3 +222,25 @@ def evidence_page(evidence: Column, pages: Column) -> Column:
 
 def money_es(c: Column) -> Column:
     return F.translate(F.format_number(c, 2), ",.", ".,")
+
+
+# What a file's name says of its kind, in order; and of which schema a folder is.
+NAME_KINDS = ("scanned_blurry_pdf", "native_pdf", "image_photo", "image_handwritten")
+IMAGE_ENDS = (".jpg", ".jpeg", ".png", ".webp")
+FOLDERS = {"caso_uso_1_auditoria_hipotecaria": "credito_hipotecario", "caso_uso_2_auditoria_fiscal": "auditoria_fiscal", "caso_uso_3_kyc_onboarding": "kyc_onboarding"}
+
+
+def kind_of_name(name: Column) -> Column:
+    """The kind of document that a file name tells of: a named kind, else image or pdf by its end, else unknown."""
+    n = F.lower(F.coalesce(name, F.lit("")))
+    out = None
+    for kind in NAME_KINDS:
+        out = F.when(F.contains(n, F.lit(kind)), kind) if out is None else out.when(F.contains(n, F.lit(kind)), kind)
+    ends = reduce(lambda a, b: a | b, [n.endswith(e) for e in IMAGE_ENDS])
+    return out.when(ends, "image").when(n.endswith(".pdf"), "pdf").otherwise("unknown")
+
+
+def schema_of_path(path: Column, folders: dict[str, str] = FOLDERS) -> Column:
+    """The schema of the first folder of a path that has one; null if none has."""
+    of = lambda part: F.coalesce(*[F.when(F.contains(part, F.lit(k)), v) for k, v in folders.items()])
+    return F.get(F.filter(F.transform(F.split(path, "/"), of), lambda x: x.isNotNull()), F.lit(0))

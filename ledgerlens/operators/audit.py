@@ -55,8 +55,22 @@ def score_of(completeness: Column, valid: Column, confidence: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(confidence.isNull(), plain).otherwise(known)))
 
 
-def completeness_of(schema: Schema, columns: list[str], extra: list[str] = ()) -> Column:
+def fields_of_present(schema: Schema, present: Column) -> Column:
+    """array<string>: the fields that a case with documents of these types is held to: theirs and those of no type, or all if that leaves none."""
+    every = F.array(*[F.lit(f.name) for f in schema.fields])
+    parts = [F.when(F.array_contains(present, f.document_type) if f.document_type else F.lit(True), F.lit(f.name)) for f in schema.fields]
+    own = F.array_compact(F.array(*parts))
+    return F.when(F.coalesce(F.size(present) > 0, F.lit(False)) & (F.size(own) > 0), own).otherwise(every)
+
+
+def completeness_of(schema: Schema, columns: list[str], extra: list[str] = (), held_to: str | None = None) -> Column:
     filled = F.lit(0)
+    if held_to:
+        for name in (f.name for f in schema.fields if f.name in columns):
+            c = F.col(name).cast("string")
+            there = ~is_empty(F.coalesce(c, F.col(RAW + name)) if RAW + name in columns else c)
+            filled = filled + (there & F.array_contains(held_to, name)).cast("int")
+        return filled / F.greatest(F.size(held_to), F.lit(1))
     for name in [*(f.name for f in schema.fields if f.name in columns), *extra]:
         c = F.col(name).cast("string")
         filled = filled + (~is_empty(F.coalesce(c, F.col(RAW + name)) if RAW + name in columns else c)).cast("int")
@@ -95,20 +109,32 @@ def markdown(schema: Schema) -> Column:
     return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
 
 
-def audit(records: DataFrame, schema: Schema, *, as_of: datetime.date | None = None, details: str | None = None) -> DataFrame:
+def audit(records: DataFrame, schema: Schema, *, as_of: datetime.date | None = None, details: str | None = None, present: str | None = None) -> DataFrame:
     """Normalizes, validates and audits raw records.
 
     Adds changes, autocorrections, issues, valid, rules, score, status, state and report. details: a
     column map<string, struct<..., confidence double, ...>>, for the score. Fields of the schema
-    that are no columns count as null. as_of stands for today, so that runs repeat.
+    that are no columns count as null. as_of stands for today, so that runs repeat. present: a column array<string>,
+    the document types of the record; fields of other types aren't asked for.
     """
     out = validate(normalize(records, schema), schema)
+    if present:
+        out = out.withColumn("_held_to", fields_of_present(schema, F.col(present)))
+        out = out.withColumn("issues", F.filter("issues", lambda i: F.array_contains("_held_to", i["field"])))
+        out = out.withColumn("valid", ~F.exists("issues", lambda x: x["level"] == "error"))
     columns = out.columns
     out = apply_rules(out, schema.rules, record_context(schema, columns, as_of))
     confidence = mean_confidence(F.col(details)) if details else F.lit(None).cast("double")
-    out = out.withColumn("score", score_of(completeness_of(schema, columns), F.col("valid"), confidence))
+    out = out.withColumn("score", score_of(completeness_of(schema, columns, held_to="_held_to" if present else None), F.col("valid"), confidence))
     out = out.withColumn("status", status_of(F.col("valid"), F.col("rules"))).withColumn("state", document_state(F.col("valid"), F.col("issues"), F.col("rules")))
-    return out.withColumn("report", markdown(schema))
+    return out.withColumn("report", markdown(schema)).drop("_held_to")
+
+
+def rule_holds(records: DataFrame, rules, context: dict[str, Value], keys: list[str]) -> DataFrame:
+    """One row for each rule of each record: keys, rule_id, holds. Nothing else of a rule is carried through the records."""
+    ids = F.array(*[F.lit(r.id) for r in rules])
+    rows = records.select(*keys, F.posexplode(F.array(*[compile_rule(r.expression, context) for r in rules])).alias("_at", "holds"))
+    return rows.select(*keys, F.get(ids, F.col("_at")).alias("rule_id"), "holds")
 
 
 def rule_rows(records: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import text
 from ledgerlens.operators.audit import audit
 from ledgerlens.operators.extract import extract
-from ledgerlens.operators.merge import fill_missing, lengthen, merge_fields, widen
+from ledgerlens.operators.merge import fill_missing, fold_fields, lengthen, present_types, widen
 from ledgerlens.plans.builtin import SCHEMAS
 from ledgerlens.plans.schema import Schema
+from ledgerlens.sources.tables import written
 
 RESULT = ("document_type", "schema_name", "n_prefilled", "valid", "score", "status", "state", "issues", "changes", "autocorrections", "rules", "report", "extracted")
 
@@ -20,26 +21,46 @@ RESULT = ("document_type", "schema_name", "n_prefilled", "valid", "score", "stat
 def audit_texts(docs: DataFrame, schemas: dict[str, Schema] | None = None, *, keys: list[str], text_col: str = "text", redact: bool = False, as_of: datetime.date | None = None, provider=None) -> DataFrame:
     """keys and the audit of each text: classified, extracted by its schema, normalized, validated, audited.
 
-    extracted holds the raw fields as JSON, as their names differ by schema. One scan a schema,
-    each filtered to its own documents.
+    extracted holds the raw fields as JSON, as their names differ by schema. Texts are read, redacted and classified
+    once, and each schema's fields extracted once from its own documents: both are tables in the shared folder.
     """
     schemas = schemas or SCHEMAS
     base = docs.select(*keys, (text.redact(F.col(text_col))[0] if redact else F.col(text_col)).alias("text"))
-    base = base.withColumn("schema_name", text.classify(F.col("text")))
+    base = written(base.withColumn("schema_name", text.classify(F.col("text"))), "classified")
     out = None
     for name, schema in schemas.items():
         own = base.where(F.col("schema_name") == name).withColumn("document_type", text.document_type(F.col("text"), schema.document_types))
         raw = extract(own, schema, provider=provider)
         fields = [f.name for f in schema.fields]
-        raw = raw.withColumn("extracted", F.to_json(F.struct(*fields)))
-        part = audit(raw, schema, as_of=as_of).select(*keys, *RESULT)
+        raw = written(raw.withColumn("extracted", F.to_json(F.struct(*fields))), "extracted")
+        part = audit(raw, schema, as_of=as_of, details="details").select(*keys, *RESULT)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def audit_cases(docs: DataFrame, schema: Schema, *, case: str = "case_id", order: str = "doc_index", text_col: str = "text", as_of: datetime.date | None = None) -> DataFrame:
-    """One audited record a case file: its documents' raw fields merged, then normalized, validated and audited."""
-    found = extract(docs, schema, text_col=text_col)
-    rows = lengthen(found, schema, [case, order]).withColumn("confidence", F.lit(None).cast("double")).select(case, order, "field", "value", "confidence")
-    merged = fill_missing(merge_fields(rows, case, order), schema, case)
-    return audit(widen(merged, schema, case), schema, as_of=as_of)
+def audit_cases(docs: DataFrame, schema: Schema, *, case: str = "case_id", order: str = "doc_index", text_col: str = "text", name_col: str | None = None, as_of: datetime.date | None = None, provider=None) -> DataFrame:
+    """One audited record a case file: its documents' raw fields merged by confidence, then normalized, validated and audited.
+
+    A case is held to the fields of the document types it has, and its score counts the merged fields' confidences.
+    """
+    typed = docs.withColumn("document_type", text.document_type(F.col(text_col), schema.document_types))
+    found = written(extract(typed, schema, text_col=text_col, name_col=name_col, provider=provider), "extracted")
+    rows = lengthen(found.withColumnRenamed("details", "_details"), schema, [case, order, "_details"])
+    detail = F.col("_details")[F.col("field")]
+    rows = rows.select(case, order, "field", "value", detail["confidence"].alias("confidence"), detail.isNotNull().alias("has_detail"))
+    merged = fill_missing(fold_fields(rows, case, order), schema, case)
+    details = merged.where("value is not null and confidence is not null").groupBy(F.col(case).alias("_case")).agg(
+        F.map_from_entries(F.collect_list(F.struct("field", F.struct("confidence")))).alias("details")
+    )
+    types = present_types(found, case, order).withColumnRenamed(case, "_typed")
+    wide = widen(merged, schema, case)
+    wide = wide.join(details, wide[case].eqNullSafe(details["_case"]), "left").join(types, wide[case].eqNullSafe(types["_typed"]), "left").drop("_case", "_typed")
+    wide = wide.withColumns({"types": F.coalesce("types", F.array().cast("array<string>")), "details": F.coalesce("details", F.create_map().cast("map<string,struct<confidence:double>>"))})
+    return audit(written(wide, "merged"), schema, as_of=as_of, details="details", present="types")
+
+
+def case_kind(docs: DataFrame, case: str = "case_id", order: str = "doc_index", text_col: str = "text", kinds=None, default: str | None = None) -> DataFrame:
+    """(case, schema_name): the kind of a case file, told from all its documents' texts in order, each separated by a blank line."""
+    own = docs.groupBy(case).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(text_col, F.lit("")).alias("t")))), lambda x: x["t"]), "\n\n").alias("_all"))
+    more = {"otherwise": default} if default else {}
+    return own.select(case, text.classify(F.col("_all"), kinds, **more).alias("schema_name"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.numbers import f1_of, p95_exclusive, strict_number
+from ledgerlens.functions.numbers import f1_of, strict_number
 from ledgerlens.functions.text import is_empty, values_equal
+from ledgerlens.operators.stats import p95_rows
 
 TOLERANCE = 0.01
 
@@ -108,12 +109,30 @@ def micro(matches: Column, predicted: Column, truth: Column, prefix: str = "micr
     return [p.alias(f"{prefix}precision"), r.alias(f"{prefix}recall"), _f1(p, r).alias(f"{prefix}f1")]
 
 
+def micro_rules(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Sums of the rule counts of documents, and accuracy and coverage as ratios of the sums."""
+    counts = ("rules_total", "rules_gt_evaluable", "rules_pred_evaluable", "rules_matches")
+    a = rows.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+    return a.withColumns({"micro_rules_accuracy": _ratio(F.col("rules_matches"), F.col("rules_pred_evaluable")), "micro_rules_coverage": _ratio(F.col("rules_pred_evaluable"), F.col("rules_total"))})
+
+
+def recalculated(rows: DataFrame, by: list[str], seed: str = "seed", seeds: int = 3) -> DataFrame:
+    """Micro figures of summed tp, fp and fn, and the share of exact documents as the mean over seeds by unique documents.
+
+    rows has tp, fp, fn, document_correct and rules_accuracy; a group whose rows are no multiple of ``seeds`` fails the query.
+    """
+    tp, fp, fn = (F.coalesce(F.sum(c), F.lit(0)) for c in ("tp", "fp", "fn"))
+    a = rows.groupBy(*by).agg(F.count("*").alias("rows"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.count_if("document_correct").alias("_right"), F.avg("rules_accuracy").alias("rules_accuracy"))
+    whole = F.assert_true(F.col("rows") % seeds == 0, F.lit(f"rows are no multiple of {seeds}"))
+    a = a.where(whole.isNull()).withColumns({"unique_documents": (F.col("rows") / seeds).cast("long"), "precision": _ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": _ratio(F.col("tp"), F.col("tp") + F.col("fn")), "perfect_mean": F.col("_right") / seeds})
+    return a.withColumns({"f1": _f1(F.col("precision"), F.col("recall")), "emr_pct": F.col("perfect_mean") / F.col("unique_documents") * 100.0}).drop("_right")
+
+
 SUMMARY = [
     lambda: F.count("*").alias("runs"),
     lambda: F.avg("f1").alias("macro_f1"),
     lambda: F.avg("match_rate").alias("macro_match_rate"),
     lambda: F.avg("latency_s").alias("avg_latency_s"),
-    lambda: p95_exclusive(F.collect_list("latency_s")).alias("p95_latency_s"),
     lambda: F.avg("ram_peak_mb").alias("avg_ram_peak_mb"),
     lambda: F.count_if("document_correct").alias("documents_correct"),
     lambda: _ratio(F.count_if("document_correct"), F.count("*")).alias("exact_match_rate"),
@@ -121,7 +140,7 @@ SUMMARY = [
 
 
 def summarize(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Macro and micro figures over all rows and by each column alone, in one pass.
+    """Macro and micro figures over all rows and by each column alone, in one pass, and the 95th percentile of the latency in another.
 
     grouping is `overall` or the column's name; key its value as text, null for overall.
     """
@@ -138,7 +157,11 @@ def summarize(rows: DataFrame, by: list[str]) -> DataFrame:
         own = every ^ (1 << (len(by) - 1 - i))
         name = name.when(F.col("gid") == own, b)
         key = F.when(F.col("gid") == own, F.col(b)).otherwise(key)
-    return out.withColumns({"grouping": name, "key": key}).drop("gid", *by)
+    out = out.withColumns({"grouping": name, "key": key}).drop("gid", *by)
+    places = [F.struct(F.lit("overall").alias("_g"), F.lit(None).cast("string").alias("_k")), *[F.struct(F.lit(b).alias("_g"), F.col(b).alias("_k")) for b in by]]
+    late = p95_rows(base.select("latency_s", F.inline(F.array(*places))), ["_g", "_k"], "latency_s").select("_g", "_k", F.col("p95").alias("p95_latency_s"))
+    own = (out["grouping"] == late["_g"]) & out["key"].eqNullSafe(late["_k"])
+    return out.join(late, own, "left").drop("_g", "_k").withColumn("p95_latency_s", F.coalesce("p95_latency_s", F.lit(0.0)))
 
 
 def with_all_keys(summary: DataFrame, grouping: str, keys: list[str]) -> DataFrame:
@@ -153,6 +176,27 @@ def error_counts(compared: DataFrame) -> DataFrame:
     return a.where("errors > 0").withColumn("error_rate", F.col("errors") / F.col("checked"))
 
 
+def top_errors(counts: DataFrame, n: int = 10) -> DataFrame:
+    """The n fields with most errors, ties by name."""
+    return counts.orderBy(F.desc("errors"), "field").limit(n)
+
+
+def rule_outcomes(reports: DataFrame, keys: list[str], report: str = "report") -> DataFrame:
+    """(keys, rule_id, holds) of reports as JSON: their list decision_rules, or the one inside ``json`` if that is an object.
+
+    A rule is named by its id, else its expression, else its description, else itself; what it says is null unless a boolean.
+    Of rules of one name in a report the last counts; what is no object is left out.
+    """
+    v = F.try_parse_json(F.col(report))
+    inner, outer = (F.try_variant_get(v, p, "array<variant>") for p in ("$.json.decision_rules", "$.decision_rules"))
+    nested = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.json", "variant")).startswith("OBJECT"), F.lit(False))
+    each = reports.select(*keys, F.posexplode(F.when(nested, inner).otherwise(outer)).alias("_at", "_r")).where(F.schema_of_variant("_r").startswith("OBJECT"))
+    said = lambda name: F.nullif(F.trim(F.try_variant_get("_r", f"$.{name}", "string")), F.lit(""))
+    holds = F.when(F.schema_of_variant(F.try_variant_get("_r", "$.cumple", "variant")) == "BOOLEAN", F.try_variant_get("_r", "$.cumple", "boolean"))
+    named = each.select(*keys, "_at", F.coalesce(said("id"), said("expresion"), said("descripcion"), F.to_json("_r")).alias("rule_id"), holds.alias("holds"))
+    return named.groupBy(*keys, "rule_id").agg(F.max_by("holds", "_at").alias("holds"))
+
+
 def native_against_degraded(rows: DataFrame, kind: str = "file_type", native: str = "native_pdf") -> DataFrame:
     """F1, exact matches, latency and memory of native and other rows and their differences, in one row."""
     test = F.col(kind).eqNullSafe(F.lit(native))

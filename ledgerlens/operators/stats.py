@@ -117,6 +117,17 @@ def histogram(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return want.join(have, column, "left").select(column, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def state_ratios(rows: DataFrame, by: list[str], state: str, states: list[str]) -> DataFrame:
+    """Rows of each group, and count and share of each of the given states."""
+    count = lambda s: F.count_if(F.col(state) == s)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *[count(s).alias(f"n_{s.lower()}") for s in states], *[(count(s) / F.count("*")).alias(f"{s.lower()}_ratio") for s in states])
+
+
+def in_plain_order(rows: DataFrame, column: str) -> DataFrame:
+    """Sorted by the column whatever its case, then as it is."""
+    return rows.orderBy(F.lower(column), column)
+
+
 def nested_counts(rows: DataFrame, outer: str, inner: str) -> DataFrame:
     """map<inner, count> of each outer value."""
     own = rows.groupBy(outer, inner).agg(F.count("*").alias("n"))
@@ -146,6 +157,29 @@ def confusion_from_rates(precision: Column, recall: Column, predicted: Column, t
     return tp, F.greatest(predicted - tp, F.lit(0.0)), F.greatest(truth - tp, F.lit(0.0))
 
 
+def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """by and, for each name, the value that stands at a place (from 1, a Column of the count _n) among a group's sorted values; nulls don't count.
+
+    Values are counted before they are shuffled and summed up in order, so no group becomes an array. Places beyond the
+    ends have nothing.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by)
+    ranked = counts.withColumns({"_n": F.sum("_c").over(w), "_to": F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))})
+    there = lambda place: (place > F.col("_to") - F.col("_c")) & (place <= F.col("_to"))
+    return ranked.groupBy(*by).agg(F.max("_n").alias("n"), *[F.max(F.when(there(c), F.col(value))).alias(name) for name, c in places.items()])
+
+
+def p95_rows(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, n, p95 (the last of 20 exclusive quantiles; of one value that value, two may extrapolate) and p95_index, the value at 0.95 (n - 1), rounded down."""
+    n = F.col("_n")
+    j = F.greatest(F.lit(1), F.least(F.floor((n + 1) * 19 / 20), n - 1))
+    own = order_statistics(rows, by, value, {"_lo": j, "_hi": j + 1, "p95_index": F.floor((n - 1) * 0.95) + 1})
+    j = F.greatest(F.lit(1), F.least(F.floor((F.col("n") + 1) * 19 / 20), F.col("n") - 1))
+    d = (F.col("n") + 1) * 19 - j * 20
+    return own.withColumn("p95", F.when(F.col("n") == 1, F.col("_lo")).otherwise((F.col("_lo") * (20 - d) + F.col("_hi") * d) / 20)).drop("_lo", "_hi")
+
+
 def kpis(rows: DataFrame, valid: str, means: list[str], maxima: list[str] = ()) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if(valid).alias("n_valid"), F.round(F.try_divide(F.count_if(valid), F.count("*")), 4).alias("valid_rate"), *[F.round(F.avg(m), 4).alias(f"avg_{m}") for m in means], *[F.round(F.max(m), 4).alias(f"max_{m}") for m in maxima])
 

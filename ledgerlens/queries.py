@@ -55,7 +55,7 @@ LINE_RULES = (
 def _ruled(spark, d):
     li = t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     li = li.withColumn("price_or_null", F.when(F.col("l_quantity") % 7 != 0, F.col("l_extendedprice")))
-    return audit.apply_rules(li, LINE_RULES, columns_context(li))
+    return li
 
 
 RULED_SQL = """SELECT l_orderkey, l_linenumber, l_returnflag, u.rule_id, u.holds FROM (
@@ -70,12 +70,14 @@ RULED_SQL = """SELECT l_orderkey, l_linenumber, l_returnflag, u.rule_id, u.holds
 
 @query(RULED_SQL.replace("l_returnflag, u.", "u.", 1))
 def rule_outcomes_lineitem(spark, d):
-    return audit.rule_rows(_ruled(spark, d), ["l_orderkey", "l_linenumber"]).drop("severity")
+    li = _ruled(spark, d)
+    return audit.rule_holds(li, LINE_RULES, columns_context(li), ["l_orderkey", "l_linenumber"])
 
 
 @query(f"SELECT l_returnflag, rule_id, count(*) AS n, count(*) FILTER (holds) AS passed, count(*) FILTER (NOT holds) AS failed, count(*) FILTER (holds IS NULL) AS unknown FROM ({RULED_SQL}) GROUP BY ALL")
 def rule_pass_rate_by_flag(spark, d):
-    rows = audit.rule_rows(_ruled(spark, d), ["l_returnflag"])
+    li = _ruled(spark, d)
+    rows = audit.rule_holds(li, LINE_RULES, columns_context(li), ["l_returnflag"])
     return rows.groupBy("l_returnflag", "rule_id").agg(F.count("*").alias("n"), F.count_if("holds").alias("passed"), F.count_if(~F.col("holds")).alias("failed"), F.count_if(F.col("holds").isNull()).alias("unknown"))
 
 
@@ -269,8 +271,10 @@ def rule_metrics(spark, d):
 @query("""WITH x AS (SELECT event_type, list_sort(list(value)) AS x FROM events GROUP BY 1), h AS (SELECT *, len(x) AS n, greatest(1, least(19 * (len(x) + 1) // 20, len(x) - 1)) AS j FROM x)
     SELECT event_type, round((x[j] * (20 - (19 * (n + 1) - 20 * j)) + x[j + 1] * (19 * (n + 1) - 20 * j)) / 20, 6) AS p95, x[floor(0.95 * (n - 1))::INT + 1] AS p95_index, round(list_median(x), 6) AS p50 FROM h""".replace("list_median(x)", "list_aggregate(x, 'median')"))
 def p95_by_type(spark, d):
-    g = t(spark, d, "events").groupBy("event_type").agg(F.collect_list("value").alias("x"), F.median("value").alias("p50"))
-    return g.select("event_type", F.round(numbers.p95_exclusive(F.col("x")), 6).alias("p95"), numbers.p95_by_index(F.col("x")).alias("p95_index"), F.round("p50", 6).alias("p50"))
+    e = t(spark, d, "events").select("event_type", "value")
+    middle = stats.order_statistics(e, ["event_type"], "value", {"lo": F.floor((F.col("_n") + 1) / 2), "hi": F.floor(F.col("_n") / 2) + 1})
+    both = stats.p95_rows(e, ["event_type"], "value").join(middle.select("event_type", F.round((F.col("lo") + F.col("hi")) / 2, 6).alias("p50")), "event_type")
+    return both.select("event_type", F.round("p95", 6).alias("p95"), "p95_index", "p50")
 
 
 @query("""SELECT coalesce(CASE WHEN event_type != 'error' THEN event_type END, 'desconocido') AS kind, count(*) AS n, count(*) FILTER (value > 20) AS n_valid, round(count(*) FILTER (value > 20) / count(*), 4) AS valid_rate, round(avg(value), 4) AS avg_value FROM events GROUP BY 1""")
@@ -345,14 +349,15 @@ def classify_documents(spark, d):
     length(regexp_replace(t, '[\p{L}\p{N}\s]', '', 'g')) AS s, len(regexp_extract_all(t, '[A-Za-z0-9ÁÉÍÓÚÜÑáéíóúüñ]{2,}')) AS w FROM x), z AS (SELECT *, l * 1.6::DOUBLE + n * 0.7::DOUBLE + w * 7.5::DOUBLE - s * 2.0::DOUBLE AS sc FROM y)
     SELECT doc_id, round(sc, 4) AS score, w >= 4 AND sc >= 35 AS meaningful, w >= 3 AND l + n >= 12 AS extractable FROM z""")
 def text_signal_score(spark, d):
-    c = F.col("text")
-    return t(spark, d, "documents").select("doc_id", F.round(text.signal_score(c), 4).alias("score"), text.is_meaningful(c).alias("meaningful"), text.has_extractable_signal(c).alias("extractable"))
+    score, meaningful, extractable = text.signal_of_counts()
+    counted = text.signal_counts(t(spark, d, "documents").select("doc_id", "text"), "text")
+    return counted.select("doc_id", F.round(score, 4).alias("score"), meaningful.alias("meaningful"), extractable.alias("extractable"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[A-Za-z]{2,}\b')) AS n_email, sha256(regexp_replace(text, '\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[A-Za-z]{2,}\b', '[EMAIL]', 'g')) AS redacted_sha256 FROM documents WHERE length(text) = strlen(text) AND NOT regexp_matches(text, '[0-9]{8}')""")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[A-Za-z]{2,}\b')) AS n_email, sha256(regexp_replace(text, '\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[A-Za-z]{2,}\b', '[EMAIL]', 'g')) AS redacted_sha256 FROM documents""")
 def redact_emails_ascii(spark, d):
-    """Texts of ASCII without long digit runs: there the word edges of both engines agree."""
-    docs = t(spark, d, "documents").where((F.char_length("text") == F.octet_length("text")) & ~F.col("text").rlike("[0-9]{8}"))
+    """E-mail addresses alone, of all documents; redact_pii_counts has all kinds."""
+    docs = t(spark, d, "documents")
     _, found = text.redact(F.col("text"))
     email = text.PII[0]
     return docs.select("doc_id", F.size(F.filter(found, lambda x: x["kind"] == "email")).cast("long").alias("n_email"), F.sha2(F.regexp_replace("text", email[1], email[2]), 256).alias("redacted_sha256"))
@@ -487,3 +492,56 @@ def priority_sort_limit(spark, d):
 def stream_log_groups(spark, d):
     """The log groups as a stream: the events file is read as a stream and aggregated to the end."""
     return logs.group_once(spark, f"{d}", "events.parquet", "event_type", "value", 20.0)
+
+
+@query("""WITH r AS (SELECT doc_id, u.* FROM labels, LATERAL (VALUES ('a', quality = 1), ('b', CASE WHEN toxic = 0 THEN true END)) AS u(rule_id, h)), x AS (SELECT doc_id % 4 AS grp, count(*) AS rules_total, count(h) AS rules_pred_evaluable, count(*) FILTER (h = (doc_id % 2 = 0)) AS rules_matches FROM r GROUP BY 1)
+    SELECT grp, rules_total::BIGINT AS rules_total, rules_total::BIGINT AS rules_gt_evaluable, rules_pred_evaluable::BIGINT AS rules_pred_evaluable, rules_matches::BIGINT AS rules_matches, round(rules_matches / rules_pred_evaluable, 6) AS micro_rules_accuracy, round(rules_pred_evaluable / rules_total, 6) AS micro_rules_coverage FROM x""")
+def micro_rule_metrics(spark, d):
+    labels = t(spark, d, "labels")
+    p = labels.select("doc_id", _unfold(["rule_id", "holds"], ("a", F.col("quality") == 1), ("b", F.when(F.col("toxic") == 0, True))))
+    g = labels.select("doc_id", _unfold(["rule_id", "holds"], ("a", F.col("doc_id") % 2 == 0), ("b", F.col("doc_id") % 2 == 0)))
+    m = metrics.micro_rules(metrics.rule_metrics(p, g, ["doc_id"]).withColumn("grp", F.col("doc_id") % 4), ["grp"])
+    return m.withColumns({c: F.round(c, 6) for c in ("micro_rules_accuracy", "micro_rules_coverage")})
+
+
+@query("""WITH r AS (SELECT l_returnflag AS mode, l_orderkey, s.seed, (l_linenumber + s.seed) % 3 AS tp, l_linenumber % 2 AS fp, (l_linenumber + 1) % 2 AS fn, (l_linenumber + s.seed) % 4 = 0 AS ok, l_discount AS acc FROM lineitem, (VALUES (0), (1), (2)) s(seed)),
+    a AS (SELECT mode, count(*) AS rows, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count(*) FILTER (ok) AS good, avg(acc) AS acc FROM r GROUP BY 1)
+    SELECT mode, rows, tp, fp, fn, rows // 3 AS unique_documents, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round(good / 3, 6) AS perfect_mean, round(good / 3 / (rows // 3) * 100, 6) AS emr_pct, round(acc, 6) AS rules_accuracy FROM a""")
+def recalculated_by_mode(spark, d):
+    li = t(spark, d, "lineitem").select("l_returnflag", "l_linenumber", "l_discount", F.explode(F.array(*map(F.lit, range(3)))).alias("seed"))
+    n, s = F.col("l_linenumber").cast("long"), F.col("seed")
+    rows = li.select(F.col("l_returnflag").alias("mode"), "seed", ((n + s) % 3).alias("tp"), (n % 2).alias("fp"), ((n + 1) % 2).alias("fn"), ((n + s) % 4 == 0).alias("document_correct"), F.col("l_discount").alias("rules_accuracy"))
+    r = metrics.recalculated(rows, ["mode"])
+    return r.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "perfect_mean", "emr_pct", "rules_accuracy")})
+
+
+@query("""SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_f, count(*) FILTER (o_orderstatus = 'P') AS n_p, round(count(*) FILTER (o_orderstatus = 'F') / count(*), 6) AS f_ratio, round(count(*) FILTER (o_orderstatus = 'P') / count(*), 6) AS p_ratio FROM orders GROUP BY 1""")
+def state_ratios_by_customer(spark, d):
+    r = stats.state_ratios(t(spark, d, "orders").select("o_custkey", "o_orderstatus"), ["o_custkey"], "o_orderstatus", ["F", "P"])
+    return r.withColumns({c: F.round(c, 6) for c in ("f_ratio", "p_ratio")})
+
+
+@query(f"""WITH {TG_SQL} SELECT field, count(*) FILTER (NOT eq) AS errors, count(*) AS checked, round(count(*) FILTER (NOT eq) / count(*), 6) AS error_rate FROM c GROUP BY 1 HAVING count(*) FILTER (NOT eq) > 0 ORDER BY errors DESC, field LIMIT 2""")
+def top_error_fields(spark, d):
+    truth, guess = _truth_and_guess(spark, d)
+    return metrics.top_errors(metrics.error_counts(metrics.compare_by_truth(guess, truth, ["doc_id"])), 2).withColumn("error_rate", F.round("error_rate", 6))
+
+
+NAMES_SQL = """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'A/caso_uso_1_auditoria_hipotecaria/x_NATIVE_pdf_' WHEN 1 THEN 'caso_uso_2_auditoria_fiscal_b/scanned_blurry_pdf' WHEN 2 THEN 'z/caso_uso_3_kyc_onboarding/y/image_photo' WHEN 3 THEN 'q/image_handwritten' ELSE 'plain/' END || doc_id || CASE doc_id % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.pdf' ELSE '.txt' END AS path FROM documents"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN contains(p, 'scanned_blurry_pdf') THEN 'scanned_blurry_pdf' WHEN contains(p, 'native_pdf') THEN 'native_pdf' WHEN contains(p, 'image_photo') THEN 'image_photo' WHEN contains(p, 'image_handwritten') THEN 'image_handwritten' WHEN p LIKE '%.png' THEN 'image' WHEN p LIKE '%.pdf' THEN 'pdf' ELSE 'unknown' END AS kind,
+    CASE WHEN contains(path, 'caso_uso_1_auditoria_hipotecaria') THEN 'credito_hipotecario' WHEN contains(path, 'caso_uso_2_auditoria_fiscal') THEN 'auditoria_fiscal' WHEN contains(path, 'caso_uso_3_kyc_onboarding') THEN 'kyc_onboarding' END AS schema_name FROM (SELECT *, lower(path) AS p FROM ({NAMES_SQL}))""")
+def kinds_of_names(spark, d):
+    i = F.col("doc_id")
+    head = F.when(i % 7 == 0, "A/caso_uso_1_auditoria_hipotecaria/x_NATIVE_pdf_").when(i % 7 == 1, "caso_uso_2_auditoria_fiscal_b/scanned_blurry_pdf").when(i % 7 == 2, "z/caso_uso_3_kyc_onboarding/y/image_photo").when(i % 7 == 3, "q/image_handwritten").otherwise("plain/")
+    path = F.concat(head, i.cast("string"), F.when(i % 4 == 0, ".PNG").when(i % 4 == 1, ".pdf").otherwise(".txt"))
+    return t(spark, d, "documents").select("doc_id", text.kind_of_name(path).alias("kind"), text.schema_of_path(path).alias("schema_name"))
+
+
+@query("""SELECT event_id, rule_id, holds FROM events, LATERAL (VALUES ('R1', CASE WHEN event_id % 5 != 0 THEN value > 20 END), ('a > b', event_type = 'click')) AS u(rule_id, holds) WHERE event_id % 6 != 5""")
+def report_rule_outcomes(spark, d):
+    said = F.when(F.col("event_id") % 5 == 0, F.lit('"yes"')).otherwise((F.col("value") > 20).cast("string"))
+    rules = F.format_string('[{"id": " R1 ", "cumple": %s}, 7, {"expresion": "a > b", "cumple": %s}]', said, (F.col("event_type") == "click").cast("string"))
+    report = F.when(F.col("event_id") % 6 == 5, F.lit('{"json": {"decision_rules": 3}, "decision_rules": [{"id": "x"}]}')).when(F.col("event_id") % 2 == 0, F.format_string('{"json": {"decision_rules": %s}}', rules)).otherwise(F.format_string('{"decision_rules": %s}', rules))
+    return metrics.rule_outcomes(t(spark, d, "events").select("event_id", report.alias("report")), ["event_id"])

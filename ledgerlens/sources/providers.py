@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.text import is_meaningful
+from ledgerlens.sources.tables import written
 
 MODES = {"auto": ("embedded", "ocr", "vision"), "pypdf_only": ("embedded",), "ocr_only": ("ocr",), "vlm_only": ("vision",)}
 
@@ -47,11 +48,13 @@ def _reader(p: TextProvider):
 def read_texts(docs: DataFrame, providers: list[TextProvider], mode: str = "auto", content: str = "content") -> DataFrame:
     """Adds text and method. A reader that fails gives an empty text and the method ``<name>_failed``."""
     order = MODES.get(mode, MODES["auto"])
-    own = [p for p in providers if p.name in order]
+    own = sorted((p for p in providers if p.name in order), key=lambda p: order.index(p.name))
     left = docs.withColumns({"text": F.lit(""), "method": F.lit("none")})
     done = None
-    for p in sorted(own, key=lambda p: order.index(p.name)):
+    for p in own:
+        # each reader's texts are written, so that it sees a document once, whatever is asked of the result
         tried = left.withColumn("_r", _reader(p)(F.col(content))).withColumns({"text": F.col("_r.text"), "method": F.col("_r.method")}).drop("_r")
+        tried = written(tried, f"read-{p.name}")
         good = tried.where(is_meaningful(F.col("text")))
         done = good if done is None else done.unionByName(good)
         left = tried.where(~is_meaningful(F.col("text")))

@@ -20,8 +20,8 @@ def union_rows(*tables: DataFrame) -> DataFrame:
 
 
 def write_mismatches(metrics: DataFrame, path: str, key: str) -> None:
-    """The mismatch list of each document in a folder of its own."""
-    metrics.select(key, F.to_json("mismatches").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    """The mismatch list of each document as a line of JSON with its key, not as a folder for each document."""
+    metrics.select(key, "mismatches").write.mode("overwrite").json(path)
 
 
 def as_document(df: DataFrame, key: str, value_columns: list[str]) -> DataFrame:
