@@ -24,11 +24,11 @@ from ledgerlens.llm.common import written
 
 UNDETERMINED = "und"
 #: Logarithm of the filter's rows, least and most: about 4 rows for each n-gram of the language that contains most.
-LOG_ROWS = (12, 22)
+LOG_ROWS = (12, 20)
 #: What an n-gram's share in a language is at least, and as part of its largest share in any language.
 SHARE, RELATIVE = 1e-6, 0.1
 #: Text that is counted, and that is scored, at once; scoring takes about 60 bytes for each byte of it.
-COUNT_BYTES, SCORE_BYTES = 4 << 20, 1 << 20
+COUNT_BYTES, SCORE_BYTES = 4 << 20, 1 << 19
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -132,7 +132,7 @@ def contained(counts: DataFrame, totals: DataFrame, share: float = SHARE, relati
 def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", share: float = SHARE, relative: float = RELATIVE) -> LanguageFilters:
     """Filters of all languages of ``labelled``; rows without a language don't count, null texts count as empty.
 
-    The driver gets a number for each language and the filter: 8 bytes a row for each 64 languages, 32 MB at most.
+    The driver gets a number for each language and the filter: 8 bytes a row for each 64 languages, 8 MB at most.
     """
     import numpy as np
 
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, *, text_col: str = "text
     those without a letter are `und` with score 0, as is everything if no language was learned; every other
     text gets a learned language. Ties go to the language that sorts first. Repeated rows stay; empty tables stay empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.rows, filters.fill))  # 32 MB at most for each 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.rows, filters.fill))  # 8 MB at most for each 64 languages
     keep = [c for c in docs.columns if c not in (pred_col, score_col)]
     docs = docs.select(*keep)
     at = keep.index(text_col)
