@@ -170,11 +170,11 @@ def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[st
     return ranked.groupBy(*by).agg(F.max("_n").alias("n"), *[F.max(F.when(there(c), F.col(value))).alias(name) for name, c in places.items()])
 
 
-def p95_rows(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, n, p95 (the last of 20 exclusive quantiles; of one value that value, two may extrapolate) and p95_index, the value at 0.95 (n - 1), rounded down."""
+def p95_rows(rows: DataFrame, by: list[str], value: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """by, n, p95 (the last of 20 exclusive quantiles; of one value that value, two may extrapolate), p95_index, the value at 0.95 (n - 1), rounded down, and what stands at more places."""
     n = F.col("_n")
     j = F.greatest(F.lit(1), F.least(F.floor((n + 1) * 19 / 20), n - 1))
-    own = order_statistics(rows, by, value, {"_lo": j, "_hi": j + 1, "p95_index": F.floor((n - 1) * 0.95) + 1})
+    own = order_statistics(rows, by, value, {"_lo": j, "_hi": j + 1, "p95_index": F.floor((n - 1) * 0.95) + 1, **(more or {})})
     j = F.greatest(F.lit(1), F.least(F.floor((F.col("n") + 1) * 19 / 20), F.col("n") - 1))
     d = (F.col("n") + 1) * 19 - j * 20
     return own.withColumn("p95", F.when(F.col("n") == 1, F.col("_lo")).otherwise((F.col("_lo") * (20 - d) + F.col("_hi") * d) / 20)).drop("_lo", "_hi")
