@@ -169,3 +169,19 @@ def test_stream(spark, sf):
 def test_pairing_has_one_sided_keys(spark):
     a, b = spark.createDataFrame([(1,), (2,), (2,)], "k long"), spark.createDataFrame([(2,), (3,)], "k long")
     assert sorted(map(tuple, stats.pairing(a, b, "k").collect())) == [(1, "left"), (2, "both"), (3, "right")]
+
+
+def test_provided_json_is_matched_to_names(spark):
+    df = spark.createDataFrame([(1, "uno dos tres cuatro cinco seis")], "doc_id int, text string")
+    provide = lambda d: d.withColumn("provided", F.lit('{"Num-Factura": "P", "other": 3}'))
+    r = extract.extract(df, INVOICE, provider=provide).first()
+    assert (r.backend, r.num_factura, r.nif_emisor) == ("provider", "P", None)
+    assert r.details["num_factura"].confidence == extract.PREFILL_CONFIDENCE and set(r.details) == {"num_factura"}
+    empty = df.select(extract.all_empty(["text"]).alias("a"), extract.all_empty([]).alias("b")).first()
+    assert (empty.a, empty.b) == (False, True)
+
+
+def test_rule_outcomes_of_broken_reports(spark):
+    reports = [(1, '{"decision_rules": [{"id": "", "expresion": " e ", "cumple": null}, {"descripcion": "d", "cumple": 1}, {"id": "x", "cumple": true}, {"id": "x", "cumple": false}]}'), (2, "no json"), (3, None), (4, '{"json": {}, "decision_rules": [{"id": "y"}]}')]
+    got = metrics.rule_outcomes(spark.createDataFrame(reports, "k int, report string"), ["k"]).collect()
+    assert sorted((r.k, r.rule_id, r.holds) for r in got) == [(1, "d", None), (1, "e", None), (1, "x", False)]
