@@ -193,3 +193,17 @@ def close_match(words: list[str], cutoff: float = 0.3):
 def python_round(values: pd.Series, digits: pd.Series) -> pd.Series:
     """Half to even on the binary value, where a tie's last cent matters: round() rounds the decimal text."""
     return pd.Series([None if pd.isna(v) else round(float(v), int(d)) for v, d in zip(values, digits, strict=True)])
+
+
+def coerced_payload(payload):
+    """struct<fields: map<string,string>, details: map<string,string>> of what an extractor gave as JSON.
+
+    An object with both ``fields`` and ``details``, objects or nothing, gives these; any other object is the fields
+    itself; all else gives two empty maps. Values that are no texts stand as JSON.
+    """
+    v = F.try_parse_json(payload)
+    form = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    held = lambda path: F.coalesce(form(path).startswith("OBJECT") | (form(path) == "VOID"), F.lit(False))
+    part = lambda path: F.coalesce(F.try_variant_get(v, path, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    both = held("$.fields") & held("$.details")
+    return F.struct(F.when(both, part("$.fields")).otherwise(part("$")).alias("fields"), F.when(both, part("$.details")).otherwise(F.create_map().cast("map<string,string>")).alias("details"))

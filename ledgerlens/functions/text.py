@@ -244,3 +244,8 @@ def schema_of_path(path: Column, folders: dict[str, str] = FOLDERS) -> Column:
     """The schema of the first folder of a path that has one; null if none has."""
     of = lambda part: F.coalesce(*[F.when(F.contains(part, F.lit(k)), v) for k, v in folders.items()])
     return F.get(F.filter(F.transform(F.split(path, "/"), of), lambda x: x.isNotNull()), F.lit(0))
+
+
+def first_of(values: Column, *keys: str) -> Column:
+    """What a map has at the first of the keys where it is not empty; else ''."""
+    return F.coalesce(*[F.nullif(values[k], F.lit("")) for k in keys], F.lit(""))

@@ -95,6 +95,20 @@ def document_state(valid: Column, issues: Column, rules: Column) -> Column:
     return F.when(F.coalesce(broken, F.lit(False)), "CRITICO").when(F.size(issues) > 0, "REVISAR").when(valid, "OK").otherwise("REVISAR")
 
 
+# What is said of each state.
+STATE_TEXTS = {"OK": "OK - Valido", "CRITICO": "CRITICO - Regla critica", "REVISAR": "REVISAR - Revision manual"}
+
+
+def summary_rows(audited: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, state, state_text, reason, n_issues, rules_ok, rules_total and what there is of valid and score, of audited records."""
+    n = F.size("issues")
+    reason = F.when(F.col("state") == "CRITICO", "Fallo de regla critica").when(n > 0, F.concat(n.cast("string"), F.lit(" incidencia(s)")))
+    reason = reason.when(F.coalesce("valid", F.lit(False)), "Validacion correcta").otherwise("Pendiente de revision")
+    said = F.create_map(*[F.lit(x) for pair in STATE_TEXTS.items() for x in pair])
+    kept = F.filter("rules", lambda r: F.coalesce(r["holds"], F.lit(False)))
+    return audited.select(*keys, "state", said[F.col("state")].alias("state_text"), reason.alias("reason"), "valid", n.cast("long").alias("n_issues"), "score", F.size(kept).cast("long").alias("rules_ok"), F.size("rules").cast("long").alias("rules_total"))
+
+
 def markdown(schema: Schema) -> Column:
     """The readable report; its wording is fixed."""
     issue = F.transform("issues", lambda i: F.concat(F.lit("- ["), i["level"], F.lit("] "), i["field"], F.lit(": "), i["message"]))

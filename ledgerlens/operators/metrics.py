@@ -6,6 +6,8 @@ stand in long form: keys, field, value (text), and number where a value is one.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,16 +141,16 @@ SUMMARY = [
 ]
 
 
-def summarize(rows: DataFrame, by: list[str]) -> DataFrame:
+def summarize(rows: DataFrame, by: list[str], more: Iterable[Column] = ()) -> DataFrame:
     """Macro and micro figures over all rows and by each column alone, in one pass, and the 95th percentile of the latency in another.
 
-    grouping is `overall` or the column's name; key its value as text, null for overall.
+    grouping is `overall` or the column's name; key its value as text, null for overall. more: further aggregates.
     """
     cols = [F.col(b).cast("string").alias(b) for b in by]
     base = rows.select(*[c for c in rows.columns if c not in by], *cols)
     sets = [[], *[[F.col(b)] for b in by]]
     out = base.groupingSets(sets, *[F.col(b) for b in by]).agg(
-        *[make() for make in SUMMARY], *micro(F.col("exact_matches"), F.col("fields_pred_present"), F.col("fields_gt_present")), F.grouping_id(*by).alias("gid")
+        *[make() for make in SUMMARY], *more, *micro(F.col("exact_matches"), F.col("fields_pred_present"), F.col("fields_gt_present")), F.grouping_id(*by).alias("gid")
     )
     every = (1 << len(by)) - 1
     name = F.when(F.col("gid") == every, "overall")
@@ -209,3 +211,38 @@ def targets_met(figures: DataFrame, targets: dict[str, tuple[str, float]]) -> Da
     """metric, value, goal, met of one row of figures; targets: column -> ('>=' or '<=', goal)."""
     rows = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"), F.lit(float(g)).alias("goal"), (F.col(n) >= g if op == ">=" else F.col(n) <= g).alias("met")) for n, (op, g) in targets.items()]
     return figures.select(F.inline(F.array(*rows)))
+
+
+def backend_figures() -> list[Column]:
+    """Figures of who read a group's documents and how their rules fared, to be asked of summarize by ``more``."""
+    by = F.col("extractor_backend")
+    rate = lambda c: F.coalesce(F.avg(F.coalesce(F.col(c), F.lit(0.0))), F.lit(0.0)).alias(f"avg_{c}")
+    return [F.count_if(by == "llm").alias("runs_llm"), F.count_if(by == "heuristic").alias("runs_heuristic"), F.count_if("llm_returned_empty").alias("llm_returned_empty_count"), rate("rules_accuracy"), rate("rules_coverage")]
+
+
+def evaluation_groups(rows: DataFrame, key: str, unknown: str = "desconocido") -> DataFrame:
+    """Documents, exact ones and their share, mean F1 and match rate, and sums of fields, by key; null and empty keys are ``unknown``."""
+    name = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit(unknown))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.groupBy(name.alias(key)).agg(
+        F.count("*").alias("n"),
+        F.count_if("exact_match").alias("n_exact"),
+        F.round(F.count_if("exact_match") / F.count("*"), 4).alias("exact_match_rate"),
+        F.round(F.avg("f1"), 4).alias("avg_f1"),
+        F.round(F.avg("match_rate"), 4).alias("avg_match_rate"),
+        total("fields_total").alias("fields_total"),
+        total("fields_matched").alias("fields_matched"),
+    )
+
+
+def reader_matrix(rows: DataFrame, kind: str = "doc_type", reader: str = "ocr_backend") -> DataFrame:
+    """Runs, micro figures of fields and rules, latency and exact documents of each kind of document under each reader."""
+    s = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.groupBy(kind, reader).agg(
+        F.count("*").alias("runs"),
+        *micro(F.col("exact_matches"), F.col("fields_pred_present"), F.col("fields_gt_present")),
+        _ratio(s("rules_matches"), s("rules_pred_evaluable")).alias("micro_rules_accuracy"),
+        _ratio(s("rules_pred_evaluable"), s("rules_total")).alias("micro_rules_coverage"),
+        F.avg("latency_s").alias("avg_latency_s"),
+        (F.count_if("document_correct") / F.count("*")).alias("document_exact_match"),
+    )

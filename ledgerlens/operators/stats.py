@@ -189,3 +189,8 @@ def pairing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a, b = left.select(key).distinct(), right.select(key).distinct()
     paired = a.join(b, key, "left_semi").withColumn("side", F.lit("both"))
     return paired.unionAll(a.join(b, key, "left_anti").withColumn("side", F.lit("left"))).unionAll(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
+
+
+def in_states(rows: DataFrame, state: str, wanted: list[str] = ()) -> DataFrame:
+    """Rows in one of the wanted states; all if none is named."""
+    return rows.where(F.col(state).isin(*wanted)) if wanted else rows

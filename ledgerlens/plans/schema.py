@@ -157,3 +157,27 @@ def infer_schema(name: str, example: dict) -> Schema:
 
 
 __all__ = ["Constraint", "DecisionRule", "Field", "Schema", "infer_schema", "load_schema", "schema_from", "schema_tables", "type_of"]
+
+
+# What a model is told of the form of its answer, before and after the fields.
+ANSWER_FORM = (
+    "Devuelve SOLO JSON válido (RFC 8259).",
+    "Usa comillas dobles para claves y strings. No uses comas finales ni comentarios.",
+    "No incluyas comentarios (// o /* */) ni texto fuera del JSON.",
+    "Para números: NO uses separadores de miles (ni '.' ni ','). Usa '.' solo como separador decimal.",
+    "Si el número aparece en formato local (ej: 5.489,11), envíalo como string.",
+    "Devuelve un ÚNICO objeto JSON (dict) con claves=nombre_del_campo y valores=valor_extraído.",
+    'Formato: { "campo_1": valor, "campo_2": valor, ... }',
+    "Los nombres de las claves deben coincidir exactamente con estos campos:",
+)
+ANSWER_END = "Si no encuentras un valor, usa null."
+
+
+def instructions(schema: Schema) -> str:
+    """What a model is told to give: the form of the answer and the schema's fields, with the values that an enum allows."""
+    told = []
+    for f in schema.fields:
+        allowed = next(iter(f.values("enum")), None)
+        plain = isinstance(allowed, (list, tuple)) and allowed and all(isinstance(x, (str, int, float, bool)) for x in allowed)
+        told.append(f'- "{f.name}" ({f.type}) requerido={f.required}' + (f" valores_permitidos={[str(x) for x in allowed]}" if plain else ""))
+    return "\n".join([*ANSWER_FORM, *told, ANSWER_END])

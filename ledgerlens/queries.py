@@ -7,8 +7,8 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions import dates, numbers, text
-from ledgerlens.operators import audit, experiments, merge, metrics, retrieve, stats
+from ledgerlens.functions import dates, numbers, repair, text
+from ledgerlens.operators import audit, experiments, merge, metrics, readings, retrieve, stats
 from ledgerlens.operators.validate import issue_rows, validate
 from ledgerlens.plans.rules import columns_context, compile_rule, with_today
 from ledgerlens.plans.schema import Constraint, DecisionRule, Field, Schema
@@ -544,3 +544,111 @@ def report_rule_outcomes(spark, d):
     rules = F.format_string('[{"id": " R1 ", "cumple": %s}, 7, {"expresion": "a > b", "cumple": %s}]', said, (F.col("event_type") == "click").cast("string"))
     report = F.when(F.col("event_id") % 6 == 5, F.lit('{"json": {"decision_rules": 3}, "decision_rules": [{"id": "x"}]}')).when(F.col("event_id") % 2 == 0, F.format_string('{"json": {"decision_rules": %s}}', rules)).otherwise(F.format_string('{"decision_rules": %s}', rules))
     return metrics.rule_outcomes(t(spark, d, "events").select("event_id", report.alias("report")), ["event_id"])
+
+
+def _signal_sql(source: str, column: str = "text") -> str:
+    """CTEs x, y and z: z has the source's columns, sc (its signal) and w (its words)."""
+    return rf"""x AS (SELECT *, trim(regexp_replace(coalesce({column}, ''), '\s+', ' ', 'g')) AS _t FROM {source}), y AS (SELECT *, length(regexp_replace(_t, '[^\p{{L}}]', '', 'g')) AS l, length(regexp_replace(_t, '[^0-9]', '', 'g')) AS n,
+    length(regexp_replace(_t, '[\p{{L}}\p{{N}}\s]', '', 'g')) AS s, len(regexp_extract_all(_t, '[A-Za-z0-9ÁÉÍÓÚÜÑáéíóúüñ]{{2,}}')) AS w FROM x), z AS (SELECT *, l * 1.6::DOUBLE + n * 0.7::DOUBLE + w * 7.5::DOUBLE - s * 2.0::DOUBLE AS sc FROM y)"""
+
+
+@query(f"""WITH {_signal_sql("documents")}, r AS (SELECT doc_id // 4 AS page, text, sc + (doc_id % 5) * 0.25::DOUBLE * 40 AS sc, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY sc + (doc_id % 5) * 0.25::DOUBLE * 40 DESC, doc_id) AS k FROM z)
+    SELECT page, round(sc, 4) AS score, sha256(CASE WHEN sc > 0 THEN coalesce(text, '') ELSE '' END) AS text_sha256 FROM r WHERE k = 1""")
+def best_readings(spark, d):
+    docs = t(spark, d, "documents").select(F.floor(F.col("doc_id") / 4).alias("page"), F.col("doc_id").alias("candidate"), "text", F.array(F.col("doc_id") % 5 * F.lit(0.25)).alias("confidences"))
+    return readings.best_reading(docs, ["page"]).select("page", F.round("score", 4).alias("score"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(r"""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS n_lines, CASE event_id % 3 WHEN 0 THEN event_type || chr(10) || 'b' WHEN 1 THEN 'x' || event_type || chr(10) || 'plain' || chr(10) || 'c' ELSE '' END AS text, CASE event_id % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 0.75 ELSE 0 END::DOUBLE AS scores FROM events""")
+def reader_lines(spark, d):
+    kind = F.col("event_type")
+    listed = F.format_string('{"rec_texts": ["%s", " ", null, "b"], "rec_scores": [1, 1, 1, 0.5]}', kind)
+    boxed = F.format_string('[[[[0, 0], ["x%s", 0.5]], [[0, 0], " plain "], [[1]], [[0], 7], [[0], ["", 0.9]]], {"rec_texts": ["c"], "rec_scores": [0.25]}, 3]', kind)
+    output = F.when(F.col("event_id") % 3 == 0, listed).when(F.col("event_id") % 3 == 1, boxed).otherwise("no json")
+    e = t(spark, d, "events").select("event_id", "event_type").withColumn("lines", readings.lines_of(output))
+    said, scores = readings.reading_of(F.col("lines"))
+    return e.select("event_id", F.size("lines").cast("long").alias("n_lines"), said.alias("text"), F.aggregate(scores, F.lit(0.0), lambda a, x: a + x).alias("scores"))
+
+
+@query("""SELECT doc_id // 3 AS page, doc_id % 3 AS position, strlen(text) AS n_bytes FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY strlen(text) DESC, doc_id) AS k FROM documents WHERE strlen(text) > 0) WHERE k = 1""")
+def largest_page_images(spark, d):
+    images = t(spark, d, "documents").select(F.floor(F.col("doc_id") / 3).alias("page"), (F.col("doc_id") % 3).alias("position"), F.encode("text", "UTF-8").alias("content"))
+    return readings.largest_images(images, ["page"]).select("page", "position", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+@query(f"""WITH p AS (SELECT doc_id // 4 AS doc, doc_id % 4 AS page, doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(coalesce(text, ''), 1, 20) ELSE coalesce(text, '') END AS ocr FROM documents), {_signal_sql("p", "ocr")},
+    q AS (SELECT doc, page, w < 4 OR sc < 35 AS back, CASE WHEN w >= 4 AND sc >= 35 THEN ocr WHEN doc_id % 7 = 0 THEN '' ELSE 'seen ' || doc_id END AS said FROM z),
+    d AS (SELECT doc, count(*) AS n_images, bool_or(back) AS back, string_agg(said, chr(10) || chr(10) ORDER BY page) FILTER (said != '') AS said FROM q GROUP BY 1)
+    SELECT doc, 4::BIGINT AS n_pages, n_images, CASE WHEN NOT back THEN 'easyocr' WHEN said IS NULL THEN 'vision' ELSE 'easyocr+vision' END AS method, sha256(coalesce(regexp_replace(said, '^\\s+|\\s+$', '', 'g'), '')) AS text_sha256 FROM d
+    UNION ALL SELECT -1, 4, 0, 'vision', sha256('')""")
+def scanned_document_texts(spark, d):
+    i = F.col("doc_id")
+    whole = F.coalesce("text", F.lit(""))
+    pages = t(spark, d, "documents").select(F.floor(i / 4).alias("doc"), (i % 4).alias("page"), "doc_id", F.when(i % 3 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("ocr"))
+    read = readings.page_texts(pages, second=lambda p: p.withColumn("seen", F.when(i % 7 != 0, F.format_string(" seen %d ", i))))
+    docs = pages.select("doc").distinct().union(spark.range(-1, 0)).withColumn("n_pages", F.lit(4).cast("long"))
+    return readings.document_texts(docs, read, "doc", readings.DEFAULT_READER).select("doc", "n_pages", "n_images", "method", F.sha2("text", 256).alias("text_sha256"))
+
+
+def _with_backends(rows: DataFrame) -> DataFrame:
+    i = F.col("doc_id")
+    backend = F.when(i % 3 == 0, "llm").when(i % 3 == 1, "heuristic").otherwise("none")
+    return rows.withColumns({"extractor_backend": backend, "llm_returned_empty": i % 5 == 0, "rules_total": F.lit(4), "rules_pred_evaluable": i % 4, "rules_matches": F.floor(i % 4 / 2), "rules_accuracy": i % 4 / 4.0, "rules_coverage": F.when(i % 6 > 0, 0.5)})
+
+
+@query(f"""WITH {EV_SQL} SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' ELSE 'overall' END AS grouping, lang AS key, count(*) AS runs, count(*) FILTER (doc_id % 3 = 0) AS runs_llm, count(*) FILTER (doc_id % 3 = 1) AS runs_heuristic, count(*) FILTER (doc_id % 5 = 0) AS llm_returned_empty_count,
+    round(avg(doc_id % 4 / 4.0), 6) AS avg_rules_accuracy, round(avg(CASE WHEN doc_id % 6 > 0 THEN 0.5 ELSE 0 END), 6) AS avg_rules_coverage FROM v GROUP BY GROUPING SETS ((), (lang))""")
+def backend_summary(spark, d):
+    s = metrics.summarize(_with_backends(_evaluated(spark, d)), ["lang"], metrics.backend_figures())
+    return s.select("grouping", "key", "runs", "runs_llm", "runs_heuristic", "llm_returned_empty_count", F.round("avg_rules_accuracy", 6).alias("avg_rules_accuracy"), F.round("avg_rules_coverage", 6).alias("avg_rules_coverage"))
+
+
+@query(f"""WITH {EV_SQL}, b AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'llm' WHEN 1 THEN 'heuristic' ELSE 'none' END AS extractor_backend, doc_id % 4 AS pe, doc_id % 4 // 2 AS ma FROM v)
+    SELECT lang, extractor_backend, count(*) AS runs, round(coalesce(sum(exact_matches) / nullif(sum(fields_pred_present), 0), 0), 6) AS micro_precision, round(sum(exact_matches) / sum(fields_gt_present), 6) AS micro_recall, round(2.0 * sum(exact_matches) / (sum(fields_pred_present) + sum(fields_gt_present)), 6) AS micro_f1,
+    round(coalesce(sum(ma) / nullif(sum(pe), 0), 0), 6) AS micro_rules_accuracy, round(sum(pe) / (4 * count(*)), 6) AS micro_rules_coverage, round(avg(latency_s), 6) AS avg_latency_s, round(count(*) FILTER (document_correct) / count(*), 6) AS document_exact_match FROM b GROUP BY 1, 2""")
+def reader_benchmark(spark, d):
+    m = metrics.reader_matrix(_with_backends(_evaluated(spark, d)), "lang", "extractor_backend")
+    return m.withColumns({c: F.round(c, 6) for c in ("micro_precision", "micro_recall", "micro_f1", "micro_rules_accuracy", "micro_rules_coverage", "avg_latency_s", "document_exact_match")})
+
+
+@query(f"""WITH {EV_SQL} SELECT coalesce(nullif(source, ''), 'desconocido') AS source, count(*) AS n, count(*) FILTER (document_correct) AS n_exact, round(count(*) FILTER (document_correct) / count(*), 4) AS exact_match_rate, round(avg(f1), 4) AS avg_f1, round(avg(r), 4) AS avg_match_rate, sum(fields_total)::BIGINT AS fields_total, sum(exact_matches)::BIGINT AS fields_matched FROM v GROUP BY 1""")
+def evaluation_by_source(spark, d):
+    rows = _evaluated(spark, d).withColumns({"exact_match": F.col("document_correct"), "fields_matched": F.col("exact_matches")})
+    return metrics.evaluation_groups(rows, "source")
+
+
+@query("""WITH c AS (SELECT o_orderkey AS case_index, CASE o_orderkey % 3 WHEN 0 THEN 'credito_hipotecario' WHEN 1 THEN 'auditoria_fiscal' ELSE 'kyc_onboarding' END AS s, CASE o_orderkey % 3 WHEN 0 THEN 'Hipotecario' WHEN 1 THEN 'Auditoria fiscal' ELSE 'KYC / onboarding' END AS lab,
+    CASE o_custkey % 4 WHEN 0 THEN 'native_pdf' WHEN 1 THEN 'scanned_blurry_pdf' WHEN 2 THEN 'image_photo' ELSE 'image_handwritten' END AS v, CASE WHEN o_custkey % 4 < 2 THEN '.pdf' ELSE '.png' END AS x, CASE WHEN o_orderstatus = 'F' THEN 'conforme' ELSE 'no_conforme' END AS k, o_orderpriority[1]::INT <= 2 AS ready FROM orders)
+    SELECT case_index, s || '_' || v || '_' || k || '_' || lpad(case_index::VARCHAR, greatest(3, length(case_index::VARCHAR))::INT, '0') AS id, lab || ' - ' || v || ' - ' || k || ' - ' || lpad(case_index::VARCHAR, greatest(3, length(case_index::VARCHAR))::INT, '0') AS name,
+    CASE WHEN ready THEN 'data/o' || case_index || '.pdf' ELSE 'test_data/experimentos_120/' || s || '/' || v || '/' || k || '/o' || case_index || '_' || v || '_' || k || x END AS file_path, CASE WHEN ready AND k = 'conforme' THEN 'ready' ELSE 'pending_adjustment' END AS ground_truth_status,
+    CASE WHEN ready THEN 'ready' ELSE 'pending_generation' END AS acquisition_status, CASE s WHEN 'auditoria_fiscal' THEN 4 ELSE 5 END::BIGINT AS n_norms, CASE WHEN k = 'conforme' THEN 0 ELSE 3 END::BIGINT AS n_breaks, CASE WHEN ready THEN 0 ELSE CASE v WHEN 'scanned_blurry_pdf' THEN 3 WHEN 'native_pdf' THEN 1 ELSE 2 END END::BIGINT AS n_notes FROM c""")
+def manifest_case_entries(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    of = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
+    cases = t(spark, d, "orders").select(
+        k.alias("case_index"), of(("credito_hipotecario", "auditoria_fiscal", "kyc_onboarding"), k % 3).alias("schema_name"), of(("native_pdf", "scanned_blurry_pdf", "image_photo", "image_handwritten"), c % 4).alias("variant"),
+        of((".pdf", ".pdf", ".png", ".png"), c % 4).alias("extension"), F.when(F.col("o_orderstatus") == "F", "conforme").otherwise("no_conforme").alias("compliance"), F.format_string("data/o%d.pdf", k).alias("source_pdf_path"), (F.substring("o_orderpriority", 1, 1).cast("int") <= 2).alias("ready"),
+    )
+    e = experiments.case_entries(cases)
+    number = F.regexp_extract("source_pdf_path", r"o(\d+)\.pdf", 1).cast("long")
+    return e.select(number.alias("case_index"), "id", "name", "file_path", "ground_truth_status", "acquisition_status", *[F.size(a).cast("long").alias(b) for a, b in (("legal_basis", "n_norms"), ("rule_break_plan", "n_breaks"), ("generation_notes", "n_notes"))])
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'samples/caso_uso_1_auditoria_hipotecaria/ground_truth_esp_' || doc_id || '.json' WHEN doc_id % 4 = 1 THEN 'high/a/f' || doc_id || '.json' ELSE 'samples/z/f' || doc_id || '_ground_truth.json' END AS truth_path FROM documents WHERE doc_id % 4 != 3""")
+def truths_of_logs(spark, d):
+    i = F.col("doc_id")
+    docs = t(spark, d, "documents").select("doc_id", F.when(i % 4 == 0, F.format_string("x/contrato_hipoteca_esp_%d.pdf", i)).otherwise(F.format_string("f%d.png", i)).alias("file_name"))
+    path = lambda form, root: F.struct(F.format_string(form, i).alias("path"), F.lit(root).alias("root"))
+    of_contract = F.array(path("base/contrato_hipoteca_esp_%d.json", 2), path("samples/caso_uso_1_auditoria_hipotecaria/ground_truth_esp_%d.json", 0))
+    of_file = F.array(path("samples/z/f%d_ground_truth.json", 0), path("base/b/f%d_ground_truth.json", 2))
+    truths = docs.where(i % 4 != 3).select(F.inline(F.when(i % 4 == 0, of_contract).when(i % 4 == 1, F.concat(of_file, F.array(path("high/b/f%d.json", 1), path("high/a/f%d.json", 1), path("base/f%d.json", 2)))).otherwise(of_file)))
+    return experiments.found_truths(docs, truths, "doc_id")
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN event_type WHEN 4 THEN '7' ELSE NULL END AS a, CASE event_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 2 ELSE 0 END::BIGINT AS n_fields, CASE event_id % 5 WHEN 0 THEN 1 ELSE 0 END::BIGINT AS n_details FROM events""")
+def coerced_payloads(spark, d):
+    e, kind = F.col("event_id") % 5, F.col("event_type")
+    payload = F.when(e == 0, F.format_string('{"fields": {"a": "%s", "b": null}, "details": {"a": {"confidence": 1}}}', kind)).when(e == 1, F.format_string('{"a": "%s"}', kind))
+    payload = payload.when(e == 2, "[1]").when(e == 3, '{"fields": null, "details": {}}').otherwise('{"fields": 3, "a": 7}')
+    p = t(spark, d, "events").select("event_id", repair.coerced_payload(payload).alias("p"))
+    return p.select("event_id", F.col("p.fields")["a"].alias("a"), F.size("p.fields").cast("long").alias("n_fields"), F.size("p.details").cast("long").alias("n_details"))
