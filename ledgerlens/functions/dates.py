@@ -12,10 +12,11 @@ FALSE_WORDS = ("false", "f", "0", "no", "n")
 
 
 def parse_date(c: Column) -> Column:
-    """A date of yyyy-MM-dd, yyyyMMdd, d/M/yyyy or d-M-yyyy; null where it is none."""
+    """A date of yyyy-MM-dd, yyyyMMdd or d/M/yyyy, each stroke of which may be a dash; null where it is none."""
     s = strip(c)
-    tries = ((r"\A\d{4}-\d{2}-\d{2}\z", "yyyy-MM-dd"), (r"\A\d{8}\z", "yyyyMMdd"), (r"\A\d{1,2}/\d{1,2}/\d{4}\z", "d/M/yyyy"), (r"\A\d{1,2}-\d{1,2}-\d{4}\z", "d-M-yyyy"))
-    return F.coalesce(*[F.when(s.rlike(p), F.try_to_timestamp(s, F.lit(f))).cast("date") for p, f in tries])
+    local = F.translate(s, "-", "/")
+    tries = ((s, r"\A\d{4}-\d{2}-\d{2}\z", "yyyy-MM-dd"), (s, r"\A\d{8}\z", "yyyyMMdd"), (local, r"\A\d{1,2}/\d{1,2}/\d{4}\z", "d/M/yyyy"))
+    return F.coalesce(*[F.when(x.rlike(p), F.try_to_timestamp(x, F.lit(f))).cast("date") for x, p, f in tries])
 
 
 def parse_iso_date(c: Column) -> Column:

@@ -32,8 +32,8 @@ def squeezed(c: Column) -> Column:
 
 
 def for_compare(c: Column) -> Column:
-    """Stripped, single-spaced, lower case; the form in which texts are compared."""
-    return F.lower(squeezed(c))
+    """Stripped, single-spaced, lower case, with ss for ß and one form of s and of sigma; the form in which texts are compared."""
+    return F.replace(F.translate(F.lower(squeezed(c)), "ſς", "sσ"), F.lit("ß"), F.lit("ss"))
 
 
 def texts_equal(a: Column, b: Column) -> Column:

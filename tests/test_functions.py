@@ -117,3 +117,8 @@ def test_degradation_repeats():
     t = "Precio 1.234,56 € – Oficina " * 40
     assert repair.degrade_text(t, 7) == repair.degrade_text(t, 7)
     assert len({repair.degrade_text(t, s) for s in range(8)}) > 1
+
+
+def test_mixed_strokes_and_folded_letters(spark):
+    assert values(spark, ["25/03-2026", "1-2/2026", "31/02-2026", None], lambda c: dates.parse_date(c).cast("string")) == ["2026-03-25", "2026-02-01", None, None]
+    assert values(spark, ["Straße", "ſo ΟΔΟΣ", "οδος"], text.for_compare) == ["strasse", "so οδοσ", "οδοσ"]
