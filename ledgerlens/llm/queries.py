@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, cotraining, langid, licences, mixing, permutation, secrets, simhash, tokens
+from ledgerlens.llm import bpe, chat, cotraining, interaction, langid, licences, mixing, permutation, resampling, secrets, simhash, tokens
 from ledgerlens.llm.common import table
 from ledgerlens.llm.winnowing import find_contamination
 
@@ -116,6 +116,25 @@ def op10_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", away.alias("held_out"), "text"), filters).drop("text")
 
 
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over documents, in all orders, by language."""
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_inverted_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn towards the benchmark's distribution of words."""
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the documents' ids and of what they decode to."""
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")), text_col="decoded")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_offset_attribution": op1_offset_attribution,
     "op2_positional_licences": op2_positional_licences,
@@ -127,8 +146,67 @@ QUERIES = {
     "op8_simhash_variants": op8_simhash_variants,
     "op9_winnowing_decontamination": op9_winnowing_decontamination,
     "op10_bitmask_language": op10_bitmask_language,
+    "op11_filter_interaction": op11_filter_interaction,
+    "op12_inverted_resampling": op12_inverted_resampling,
+    "op13_streaming_bpe": op13_streaming_bpe,
 }
 
+
+def _interaction_sql() -> str:
+    """Masks by string functions, orders by a recursion over the letters that are left."""
+    letters = "".join(interaction.FILTERS)
+    bit = lambda x: f"(1 << (strpos('{letters}', {x})::INT - 1))"
+    return f"""
+        WITH RECURSIVE x AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        y AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM x),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                     (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+                     + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t))::INT
+                     + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask
+              FROM y LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+        o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || f FROM o, unnest(string_split('{letters}', '')) AS u(f) WHERE strpos(filter_order, f) = 0),
+        s AS (SELECT filter_order, step, filter_order[step] AS f, {bit("filter_order[step]")} AS own,
+                     coalesce(list_sum(list_transform(string_split(filter_order[1:step - 1], ''), lambda z: CASE WHEN z = '' THEN 0 ELSE {bit("z")} END)), 0)::INT AS before
+              FROM o, unnest(range(1, {len(letters) + 1})) AS v(step) WHERE length(filter_order) = {len(letters)}),
+        r AS (SELECT part, filter_order, step, f,
+                     coalesce(sum(n) FILTER (mask & (own | before) = 0), 0)::BIGINT AS kept,
+                     coalesce(sum(n) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS removed,
+                     coalesce(sum(n) FILTER (mask & own > 0 AND mask & before > 0), 0)::BIGINT AS redundant,
+                     coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+                     coalesce(sum(good) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+                     coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+              FROM c, s GROUP BY ALL)
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"""
+
+
+def _resampling_sql() -> str:
+    """CRC-32 by its table, which the reflected polynomial gives; it is worked out once for each distinct word."""
+    words = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    n = resampling.BUCKETS
+    return f"""
+        WITH RECURSIVE steps(i, c, k) AS (SELECT i::BIGINT, i::BIGINT, 0 FROM range(256) AS r(i)
+                    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+        crcs AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM steps WHERE k = 8),
+        d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {words("text")} AS w FROM documents),
+        dw AS MATERIALIZED (SELECT rid, u.word AS word, count(*) AS n FROM d, unnest(w) AS u(word) GROUP BY ALL),
+        bw AS MATERIALIZED (SELECT u.word AS word, count(*) AS n FROM (SELECT {words("text")} AS w FROM benchmark), unnest(w) AS u(word) GROUP BY ALL),
+        v AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+        e AS MATERIALIZED (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda p: ('0x' || substr(h, 2 * p::INT + 1, 2))::BIGINT)),
+                     lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % {n} AS bucket FROM v, crcs),
+        s AS (SELECT bucket, sum(n) AS s FROM dw JOIN e USING (word) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS t FROM bw JOIN e USING (word) GROUP BY bucket),
+        g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + {n})::DOUBLE
+                     / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + {n})::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+        m AS (SELECT rid, sum(n * gain)::BIGINT AS total FROM dw JOIN e USING (word) JOIN g USING (bucket) GROUP BY rid),
+        z AS (SELECT rid, doc_id, len(w)::BIGINT AS n_features, CASE WHEN len(w) > 0 THEN floor(total::DOUBLE / len(w))::BIGINT ELSE 0 END AS weight,
+                     ('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (rid)),
+        q AS (SELECT *, weight + floor(-1000 * ln(-ln((h::DOUBLE + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score, n_features >= {resampling.LEAST_WORDS} AS able FROM z),
+        k AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST, rid) AS place, sum(able::INT) OVER () AS many FROM q)
+        SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= many * {resampling.PERCENT} // 100 THEN place END AS rank FROM k"""
+
+
 def _secrets_sql() -> str:
     """The same rules by DuckDB's own pattern functions; places from the pieces between matches."""
     parts = []
@@ -162,6 +240,8 @@ ORACLE = {
                sum(4 + length(url_encode(role)) + 2 + length(text) + 9 + length(regexp_replace(text, '[^\\#<]', '', 'g')))::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
     "op6_blob_ledger_secrets": _secrets_sql(),
+    "op11_filter_interaction": _interaction_sql(),
+    "op12_inverted_resampling": _resampling_sql(),
     "op9_winnowing_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
