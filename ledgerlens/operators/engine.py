@@ -17,6 +17,8 @@ from ledgerlens.sources.tables import written
 
 RESULT = ("document_type", "schema_name", "n_prefilled", "valid", "score", "status", "state", "issues", "changes", "autocorrections", "rules", "report", "extracted")
 
+CASE_RESULT = ("types", "valid", "score", "status", "state", "issues", "changes", "autocorrections", "rules", "report")
+
 
 def audit_texts(docs: DataFrame, schemas: dict[str, Schema] | None = None, *, keys: list[str], text_col: str = "text", redact: bool = False, as_of: datetime.date | None = None, provider=None) -> DataFrame:
     """keys and the audit of each text: classified, extracted by its schema, normalized, validated, audited.
@@ -59,8 +61,34 @@ def audit_cases(docs: DataFrame, schema: Schema, *, case: str = "case_id", order
     return audit(written(wide, "merged"), schema, as_of=as_of, details="details", present="types")
 
 
-def case_kind(docs: DataFrame, case: str = "case_id", order: str = "doc_index", text_col: str = "text", kinds=None, default: str | None = None) -> DataFrame:
-    """(case, schema_name): the kind of a case file, told from all its documents' texts in order, each separated by a blank line."""
-    own = docs.groupBy(case).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(text_col, F.lit("")).alias("t")))), lambda x: x["t"]), "\n\n").alias("_all"))
-    more = {"otherwise": default} if default else {}
-    return own.select(case, text.classify(F.col("_all"), kinds, **more).alias("schema_name"))
+# Words anywhere in a case that make it a mortgage, before any other kind is looked at.
+MORTGAGE_SIGNALS = ("hipoteca", "hipotecario", "irpf", "modelo 100", "cirbe", "incidencias", "nota simple", "registro de la propiedad", "préstamo", "prestamo")
+
+
+def case_kind(docs: DataFrame, case: str = "case_id", text_col: str = "text", first: tuple[str, tuple[str, ...]] = ("credito_hipotecario", MORTGAGE_SIGNALS), kinds: dict | None = None, otherwise: str = "credito_hipotecario") -> DataFrame:
+    """(case, schema_name): the kind of a case file, told from all its documents together.
+
+    A case with one of the ``first`` kind's signals is of that kind; otherwise the first of ``kinds`` with a keyword counts, as for one
+    text. Texts that are null or blank say nothing; a case of nothing but those is ``otherwise``. Every word is looked for in the documents
+    and the finds are gathered, not the texts: a keyword that a document's end and the next one's beginning make together, which needs
+    the line feed between them, is none of the lists'.
+    """
+    kinds = kinds or text.KEYWORDS
+    t = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    told = [(first[0], first[1]), *kinds.items()]
+    finds = docs.groupBy(case).agg(*[F.max(text.contains_any(t, words)).alias(f"_{i}") for i, (_, words) in enumerate(told)])
+    kind = F.coalesce(*[F.when(F.col(f"_{i}"), name) for i, (name, _) in enumerate(told)], F.lit(otherwise))
+    return finds.select(case, kind.alias("schema_name"))
+
+
+def audit_case_files(docs: DataFrame, schemas: dict[str, Schema] | None = None, *, case: str = "case_id", order: str = "doc_index", text_col: str = "text", name_col: str | None = None, as_of: datetime.date | None = None, provider=None) -> DataFrame:
+    """case, schema_name and the audit of each case file, held to the schema of its kind. Cases of a kind without a schema are left out."""
+    schemas = schemas or SCHEMAS
+    kinds = case_kind(docs, case, text_col).withColumnRenamed(case, "_case")
+    told = written(docs.join(kinds, docs[case].eqNullSafe(kinds["_case"])).drop("_case"), "kinds")
+    out = None
+    for name, schema in schemas.items():
+        own = audit_cases(told.where(F.col("schema_name") == name).drop("schema_name"), schema, case=case, order=order, text_col=text_col, name_col=name_col, as_of=as_of, provider=provider)
+        part = own.select(case, F.lit(name).alias("schema_name"), *CASE_RESULT)
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.ranges import ranged, running_totals
+
 #: Student's t for 95 % and two degrees of freedom. Fixed value.
 T_TWO = 4.3026527299
 
@@ -140,8 +142,25 @@ def priority(column: Column, order: list[str], last: int = 99) -> Column:
 
 
 def running_mean(rows: DataFrame, value: str, order: list[str], by: list[str] = ()) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({f"running_{value}": F.avg(value).over(w), "running_n": F.count("*").over(w)})
+    """Adds running_<value>, the mean of a column's values up to each row, and running_n, the rows up to it, within each group or over all rows.
+
+    Over all rows the totals are carried from range to range of the order, so no task sees them all. Nulls count as rows and
+    not in the mean; before the first value it is null. Rows that the order leaves equal come in any order.
+    """
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({f"running_{value}": F.avg(value).over(w), "running_n": F.count("*").over(w)})
+    sums = {"_total": F.col(value).cast("double"), "_there": F.col(value).isNotNull().cast("long"), "running_n": F.lit(1).cast("long")}
+    own = running_totals(rows, sums, [F.col(c) for c in order])
+    return own.withColumn(f"running_{value}", F.try_divide("_total", "_there")).drop("_total", "_there")
+
+
+def progress(rows: DataFrame, seconds: str, order: list[str]) -> DataFrame:
+    """running_mean of the seconds that documents took, n_left and eta_<seconds>: what the documents that are left will take at that mean."""
+    own = running_mean(rows, seconds, order)
+    total = rows.agg(F.count("*").alias("_all"))  # one row
+    left = F.col("_all") - F.col("running_n")
+    return own.join(F.broadcast(total)).withColumns({"n_left": left, f"eta_{seconds}": left * F.col(f"running_{seconds}")}).drop("_all")
 
 
 def sum_after_triggers(rows: DataFrame, trigger: Column, value: str, order: list[str], by: list[str], ahead: int = 4) -> DataFrame:
@@ -158,16 +177,29 @@ def confusion_from_rates(precision: Column, recall: Column, predicted: Column, t
 
 
 def order_statistics(rows: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
-    """by and, for each name, the value that stands at a place (from 1, a Column of the count _n) among a group's sorted values; nulls don't count.
+    """by, n and, for each name, the value that stands at a place (from 1, a Column of the count _n) among a group's sorted values; nulls don't count.
 
-    Values are counted before they are shuffled and summed up in order, so no group becomes an array. Places beyond the
-    ends have nothing.
+    A selection in two passes, so that a group of any size is spread over tasks. Values are counted, and dealt out by ranges of (group, value). The
+    first pass adds up each group's counts in each range, which says in which range a place lies; the second puts only the values of such
+    ranges in order. Places beyond the ends have nothing; groups without a value are left out; nulls in ``by`` are a group.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumns({"_n": F.sum("_c").over(w), "_to": F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))})
-    there = lambda place: (place > F.col("_to") - F.col("_c")) & (place <= F.col("_to"))
-    return ranked.groupBy(*by).agg(F.max("_n").alias("n"), *[F.max(F.when(there(c), F.col(value))).alias(name) for name, c in places.items()])
+    key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key.alias("_key"), F.col(value).alias("_value")).agg(F.count("*").alias("_c"))
+    table = ranged(counts, [F.col("_key"), F.col("_value")], "ordered")
+    w = Window.partitionBy("_key")
+    coarse = table.groupBy("_key", "_range").agg(F.sum("_c").alias("_own"))
+    coarse = coarse.withColumns({"_n": F.sum("_own").over(w), "_to": F.sum("_own").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))})
+    asked = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c.cast("long").alias("place")) for i, c in enumerate(places.values())]))
+    held = coarse.withColumn("_asked", asked).select("_key", "_range", "_n", F.col("_asked.i").alias("_i"), (F.col("_asked.place") - F.col("_to") + F.col("_own")).alias("_place"), "_own")
+    inside = (F.col("_place") >= 1) & (F.col("_place") <= F.col("_own"))
+    fine = table.join(held.where(inside).select(F.col("_key").alias("_k"), F.col("_range").alias("_r")).distinct(), (F.col("_key") == F.col("_k")) & (F.col("_range") == F.col("_r")), "left_semi")
+    fine = fine.withColumn("_up", F.sum("_c").over(Window.partitionBy("_key", "_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)))
+    fine = fine.select(F.col("_key").alias("_k"), F.col("_range").alias("_r"), "_value", "_up", (F.col("_up") - F.col("_c")).alias("_below"))
+    # A place outside its range finds no value, and still keeps its group in the result.
+    there = (F.col("_key") == F.col("_k")) & (F.col("_range") == F.col("_r")) & (F.col("_place") > F.col("_below")) & (F.col("_place") <= F.col("_up"))
+    met = held.join(fine, there, "left")
+    out = met.groupBy("_key").agg(F.max("_n").alias("n"), *[F.max(F.when(F.col("_i") == i, F.col("_value"))).alias(name) for i, name in enumerate(places)])
+    return out.select(*[F.col("_key")[c].alias(c) for c in by], "n", *places)
 
 
 def p95_rows(rows: DataFrame, by: list[str], value: str, more: dict[str, Column] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates, numbers, repair, text
-from ledgerlens.operators import audit, experiments, merge, metrics, readings, retrieve, stats
+from ledgerlens.operators import audit, engine, experiments, merge, metrics, readings, retrieve, stats
 from ledgerlens.operators.validate import issue_rows, validate
 from ledgerlens.plans.rules import columns_context, compile_rule, with_today
 from ledgerlens.plans.schema import Constraint, DecisionRule, Field, Schema
@@ -316,6 +316,40 @@ def running_average(spark, d):
     return r.select("event_id", F.round("running_value", 10).alias("running_value"), "running_n")
 
 
+@query("""WITH e AS (SELECT *, round(value * 100)::BIGINT AS cents FROM events) SELECT event_id, round(avg(cents) OVER w, 8) AS running_cents, count(*) OVER w AS running_n, count(*) OVER () - count(*) OVER w AS n_left,
+    round((count(*) OVER () - count(*) OVER w) * avg(cents) OVER w, 4) AS eta_cents FROM e WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def running_eta(spark, d):
+    """Mean so far and what is left at that mean, over the whole log, without a key; in whole cents, so that sums are exact in any order."""
+    e = t(spark, d, "events").select("event_id", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    r = stats.progress(e, "cents", ["ts", "event_id"])
+    return r.select("event_id", F.round("running_cents", 8).alias("running_cents"), "running_n", "n_left", F.round("eta_cents", 4).alias("eta_cents"))
+
+
+@query("""WITH x AS (SELECT source, n_chars, text FROM documents), g AS (SELECT CASE WHEN grouping(source) = 0 THEN source END AS source, list_sort(list(n_chars)) AS x FROM x GROUP BY GROUPING SETS ((), (source)))
+    SELECT source, len(x) AS n, x[(len(x) + 1) // 2] AS median_low, x[greatest(1, ceil(len(x) * 0.99)::INT)] AS p99, x[1] AS least, x[len(x)] AS most FROM g""")
+def length_quantiles(spark, d):
+    """Exact quantiles of text lengths, of each source and of all documents as one group."""
+    docs = t(spark, d, "documents").select("source", "n_chars")
+    both = docs.select(F.explode(F.array(F.col("source"), F.lit(None))).alias("source"), "n_chars")
+    n = F.col("_n")
+    return stats.order_statistics(both, ["source"], "n_chars", {"median_low": F.floor((n + 1) / 2), "p99": F.greatest(F.lit(1), F.ceil(n * 0.99)), "least": F.lit(1), "most": n})
+
+
+#: What the documents of a case file say, by the document's id: its own text, and one of these lines after it.
+CASE_LINES = ("pasaporte en regla", "CIRBE al dia", "la Hipoteca vigente", "factura con IVA", "sin datos", "código postal 28001", "nota simple del registro")
+
+
+@query(f"""WITH d AS (SELECT doc_id // 3 AS case_id, lower(coalesce(text, '') || chr(10) || ['{"', '".join(CASE_LINES)}'][(doc_id % 7) + 1]) AS t FROM documents), c AS (SELECT case_id, string_agg(t, chr(10)) AS t FROM d GROUP BY 1)
+    SELECT case_id, CASE WHEN regexp_matches(t, 'hipoteca|hipotecario|irpf|modelo 100|cirbe|incidencias|nota simple|registro de la propiedad|préstamo|prestamo') THEN 'credito_hipotecario'
+        WHEN regexp_matches(t, 'kyc|onboarding|pasaporte|empadronamiento|código postal|codigo postal|nacionalidad|fecha de caducidad|fecha caducidad|fecha de expedicion|justificante') THEN 'kyc_onboarding'
+        WHEN regexp_matches(t, 'factura|modelo 303|iva|cuota|base imponible|cif') THEN 'auditoria_fiscal' ELSE 'credito_hipotecario' END AS schema_name FROM c""")
+def case_kinds(spark, d):
+    """Kinds of case files of three documents each."""
+    line = F.get(F.array(*map(F.lit, CASE_LINES)), (F.col("doc_id") % len(CASE_LINES)).cast("int"))
+    docs = t(spark, d, "documents").select(F.floor(F.col("doc_id") / 3).alias("case_id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line).alias("text"))
+    return engine.case_kind(docs)
+
+
 @query("""WITH x AS (SELECT user_id, event_type, coalesce(lead(v, 1 IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), NULL) AS nx, first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS nxt FROM (SELECT *, CASE WHEN value > 10 THEN value END AS v FROM events))
     SELECT user_id, count(nxt) AS n, round(sum(nxt), 4) AS total FROM x WHERE event_type = 'click' GROUP BY 1""".replace("coalesce(lead(v, 1 IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), NULL) AS nx, ", ""))
 def lookahead_sum(spark, d):
@@ -375,7 +409,7 @@ def chunk_documents(spark, d):
     return retrieve.chunk_table(t(spark, d, "documents")).select("doc_id", "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
-@query(r"""SELECT x.k AS text_sha256, min(doc_id) AS first_doc, count(*) AS n FROM (SELECT doc_id, sha256(lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))) AS k FROM documents) x GROUP BY 1 HAVING count(*) > 1""")
+@query(r"""SELECT x.k AS text_sha256, min(doc_id) AS first_doc, count(*) AS n FROM (SELECT doc_id, sha256(replace(translate(lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), 'ſς', 'sσ'), 'ß', 'ss')) AS k FROM documents) x GROUP BY 1 HAVING count(*) > 1""")
 def compare_normalized_text(spark, d):
     rows = t(spark, d, "documents").select("doc_id", F.sha2(text.for_compare(F.col("text")), 256).alias("text_sha256"))
     return rows.groupBy("text_sha256").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")

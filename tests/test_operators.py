@@ -107,7 +107,7 @@ def test_retrieval(spark):
 
 
 def test_more_queries_than_a_block(spark, monkeypatch):
-    monkeypatch.setattr(retrieve, "BLOCK", 8)
+    monkeypatch.setattr(retrieve, "BLOCK_BYTES", 128)
     points = {i: [float(i * i % 17), float(i % 5)] for i in range(30)}
     rows = spark.createDataFrame(list(points.items()), "id long, vector array<float>")
     got = retrieve.nearest(rows.withColumnRenamed("id", "query_id"), rows, 3).collect()
