@@ -16,6 +16,7 @@ from __future__ import annotations
 import codecs
 import functools
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -34,6 +35,8 @@ AHEAD = 3
 LONG = 1024
 #: Characters fed at once, pieces remembered by a task, tokens in one Arrow batch.
 CHUNK, REMEMBERED, BATCH_TOKENS = 1 << 16, 1 << 18, 1 << 20
+#: Bits of an id beside its rule's rank, what stands for no rule, and how many bytes are merged without a heap.
+ID_BITS, NO_RULE, FEW = 24, 1 << 60, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -75,12 +78,12 @@ class Model:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in kind["merges"]]
         self.of_byte = [vocab[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
         made = set(alphabet)
-        self.rules: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rules: dict[tuple[int, int], int] = {}  # a pair of ids -> its rank and, in the low bits, the id that it becomes
         for rank, (a, b) in enumerate(pairs):
             if a not in made or b not in made or a + b in made:
                 raise ValueError(f"merge {rank}: its parts must come from bytes or earlier merges, its result from no other")
             made.add(a + b)
-            self.rules[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.rules[vocab[a], vocab[b]] = rank << ID_BITS | vocab[a + b]
         self.lookahead = lookahead([(raw[a], raw[b]) for a, b in pairs])
         self.window = max(4 * self.lookahead, 2048)
         self.bytes_of = {i: raw[t] if t in raw else t.encode() for t, i in vocab.items()}
@@ -93,27 +96,44 @@ class Model:
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of bytes that stand alone: of all pairs the one of the earliest rule, the leftmost first."""
-        ids = [self.of_byte[b] for b in data]
+        ids = list(map(self.of_byte.__getitem__, data))
+        return self._few(ids) if len(ids) <= FEW else self._many(ids)
+
+    def _few(self, ids: list[int]) -> list[int]:
+        """By looking for the least rank again and again."""
+        rule = self.rules.get
+        ranks = [rule(p, NO_RULE) for p in zip(ids, ids[1:], strict=False)]
+        while ranks and (least := min(ranks)) != NO_RULE:
+            i = ranks.index(least)
+            made = ids[i] = least & (1 << ID_BITS) - 1
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rule((made, ids[i + 1]), NO_RULE)
+            if i:
+                ranks[i - 1] = rule((ids[i - 1], made), NO_RULE)
+        return ids
+
+    def _many(self, ids: list[int]) -> list[int]:
+        """By a heap of ranks and places."""
         n, rules = len(ids), self.rules
-        if n < 2:
-            return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*rules[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in rules]
+        heap = [(rules[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in rules]
         heapq.heapify(heap)
         while heap:
-            _, made, i, pair = heapq.heappop(heap)
+            rule, i, pair = heapq.heappop(heap)
             j = after[i]
             if j >= n or (ids[i], ids[j]) != pair:
                 continue
-            ids[i], ids[j] = made, -1
+            made = ids[i] = rule & (1 << ID_BITS) - 1
+            ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 if (p := (made, ids[k])) in rules:
-                    heapq.heappush(heap, (*rules[p], i, p))
+                    heapq.heappush(heap, (rules[p], i, p))
             h = before[i]
             if h >= 0 and (p := (ids[h], made)) in rules:
-                heapq.heappush(heap, (*rules[p], h, p))
+                heapq.heappush(heap, (rules[p], h, p))
         return [i for i in ids if i >= 0]
 
 
@@ -136,8 +156,11 @@ def odd_classes() -> dict[int, str]:
     split, known = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True), regex.compile(r"(\p{L})|(\p{N})")
     asked = [c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c) == "Cn"]
     out = {}
-    for at in range(0, len(asked), 1 << 14):
-        block = asked[at : at + (1 << 14)]
+    for at in range(0, len(asked), 1 << 10):
+        block = asked[at : at + (1 << 10)]
+        signs = "".join(block)
+        if not known.search(signs) and len(split.pre_tokenize_str(f"a{signs}1")) == 3:  # signs to both
+            continue
         ends = {e for _, (_, e) in split.pre_tokenize_str(" ".join(f"a{c}1" for c in block))}
         for i, c in enumerate(block):
             m = known.match(c)
@@ -236,23 +259,31 @@ class Encoder:
                     break
                 pieces.append(text[m.start() : m.end()])
                 end = m.end()
-        known = self.pieces
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                if len(p) > LONG:
-                    for i in range(0, len(p), LONG):
-                        self._push(p[i : i + LONG], out)
-                    self._close(out)
-                    continue
-                ids = self.model.merged(p.encode())
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(p) <= 64:
-                    known[p] = ids
-            out += ids
+        ids = list(map(self.pieces.get, pieces))
+        for i, p in enumerate(pieces):
+            if ids[i] is None:
+                ids[i] = self._piece(p)
+        out.extend(itertools.chain.from_iterable(ids))
         return end
 
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of a piece that was not remembered when its text was split."""
+        ids = self.pieces.get(piece)
+        if ids is not None:
+            return ids
+        if len(piece) > LONG:
+            ids = []
+            for i in range(0, len(piece), LONG):
+                self._push(piece[i : i + LONG], ids)
+            self._close(ids)
+            return ids
+        ids = self.model.merged(piece.encode())
+        if len(piece) <= FEW:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
     def _go_on(self, text: str, view: str, at: int, last: bool, out: list[int]) -> int:
         """What belongs to the open run from ``at`` on; the end of it, or of what can be said yet."""
         end = self.runs[self.run].match(view, at).end()
