@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates, numbers, repair, text
-from ledgerlens.operators import audit, engine, experiments, merge, metrics, readings, retrieve, stats
-from ledgerlens.operators.validate import issue_rows, validate
+from ledgerlens.operators import audit, engine, evidence, experiments, merge, metrics, readings, retrieve, stats
+from ledgerlens.operators.validate import constraint_rows, issue_rows, validate, validate_many
 from ledgerlens.plans.rules import columns_context, compile_rule, with_today
 from ledgerlens.plans.schema import Constraint, DecisionRule, Field, Schema
-from ledgerlens.streaming import logs
+from ledgerlens.streaming import cases, logs
 
 AS_OF = datetime.date(1998, 6, 1)
 QUERIES: dict = {}
@@ -102,6 +102,39 @@ def validate_issues_customer(spark, d):
     return issue_rows(validate(t(spark, d, "customer"), CUSTOMER), ["c_custkey"]).drop("position", "level")
 
 
+def _nation_schemas(spark, d):
+    """A schema for each nation of the table: names, bounds, segments and required fields of its own."""
+    keys = [r[0] for r in t(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+    return [
+        Schema(
+            f"nation-{k}",
+            fields=(
+                Field("c_name", "string", True, None, (Constraint("regex", f"Customer#[0-9]*[{k % 10}{(k + 3) % 10}]"),)),
+                Field("c_acctbal", "number", True, None, (Constraint("min", 100.0 * k), Constraint("max", 9000.0 - k))),
+                Field("c_mktsegment", "string", False, None, (Constraint("enum", ("BUILDING", "MACHINERY", "AUTOMOBILE")[: 1 + k % 3]),)),
+                Field("c_phone", "string", k % 2 == 0),
+            ),
+        )
+        for k in keys
+    ]
+
+
+@query("""WITH x AS (SELECT *, c_nationkey AS k, array_to_string(['''BUILDING''', '''MACHINERY''', '''AUTOMOBILE'''][1 : 1 + c_nationkey % 3], ', ') AS allowed FROM customer)
+    SELECT c_custkey, u.field, u.code, u.message, u.bit AS verdict FROM x, LATERAL (VALUES
+    ('c_name', 'regex', 'No cumple el patrón esperado.', right(c_name, 1) NOT IN ((k % 10)::VARCHAR, ((k + 3) % 10)::VARCHAR), 2),
+    ('c_acctbal', 'min', 'Debe ser >= ' || (100.0 * k)::DOUBLE || '.', c_acctbal < 100.0 * k, 5), ('c_acctbal', 'max', 'Debe ser <= ' || (9000.0 - k)::DOUBLE || '.', c_acctbal > 9000.0 - k, 6),
+    ('c_mktsegment', 'enum', 'Valor no permitido. Permitidos: [' || allowed || '].', NOT contains(allowed, c_mktsegment), 9),
+    ('c_phone', 'required', 'Campo requerido ausente.', k % 2 = 0, 10)) AS u(field, code, message, bad, bit) WHERE u.bad""")
+def validate_many_schemas(spark, d):
+    """Every customer held to the schema of its nation, with the place of each failed check among its verdicts."""
+    values = F.create_map(*[x for c in ("c_name", "c_acctbal", "c_mktsegment") for x in (F.lit(c), F.col(c).cast("string"))])
+    rows = t(spark, d, "customer").select("c_custkey", F.concat(F.lit("nation-"), F.col("c_nationkey").cast("string")).alias("schema"), values.alias("values"))
+    found = validate_many(rows, constraint_rows(spark, _nation_schemas(spark, d)))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.call_function("getbit", F.col("verdicts")[0], i) == 1)
+    own = found.select("c_custkey", F.inline(F.arrays_zip(F.col("issues"), bits.alias("bit"))))
+    return own.select("c_custkey", "issues.field", "issues.code", "issues.message", F.col("bit").alias("verdict"))
+
+
 @query(f"""SELECT field, code, count(*) AS n, arg_min(c_custkey, c_custkey) AS sample_c_custkey, min(c_custkey) AS first_seen FROM ({ISSUES_SQL}) GROUP BY ALL""")
 def error_patterns(spark, d):
     issues = issue_rows(validate(t(spark, d, "customer"), CUSTOMER), ["c_custkey"])
@@ -367,6 +400,46 @@ def case_merge_best_confidence(spark, d):
     return merge.merge_fields(rows).select("case_id", "field", "from_doc_index", "value", F.round("confidence", 4).alias("confidence"))
 
 
+@query(ORACLE["case_merge_best_confidence"])
+def stream_case_merge(spark, d):
+    """The same merge as a stream: documents are folded into their cases as they arrive."""
+    source = t(spark, d, "conversations")
+    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "conversations.parquet").parquet(d) if not _is_folder(spark, f"{d}/conversations.parquet") else spark.readStream.schema(source.schema).parquet(f"{d}/conversations.parquet")
+    rows = stream.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("doc_index"), F.col("role").alias("field"), F.when(F.col("turn") % 3 != 0, F.col("text")).alias("value"), F.when(F.col("turn") % 4 != 1, F.char_length("text") % 5 / 5.0).alias("confidence"))
+    return cases.merge_arrived(spark, rows).select("case_id", "field", "from_doc_index", "value", F.round("confidence", 4).alias("confidence"))
+
+
+def _is_folder(spark, path):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+EVIDENCE = Schema("provenance", fields=(Field("source", label="Origin of the text"), Field("lang", label="Language"), Field("note"), Field("n_chars", "integer", label="Size")))
+EVIDENCE_LETTERS = "aeinorst"
+
+
+def _letter_counts(texts: list[str]) -> list[list[float]]:
+    """A deterministic embedding: how often each of a few letters stands in a text."""
+    return [[float(x.count(c)) for c in EVIDENCE_LETTERS] for x in texts]
+
+
+def _counted(x: str) -> str:
+    return "[" + ", ".join(f"length({x}) - length(replace({x}, '{c}', ''))" for c in EVIDENCE_LETTERS) + "]"
+
+
+@query(rf"""WITH x AS (SELECT doc_id, source, lang, n_chars::VARCHAR AS n_chars, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+    y AS (SELECT doc_id, i, regexp_replace(substr(t, i * 1000 + 1, 1200), '^\s+|\s+$', '', 'g') AS c FROM x, LATERAL unnest(range(0, greatest(ceil((length(t) - 1200) / 1000.0)::INT, 0) + 1)) AS u(i)),
+    z AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, c FROM y WHERE c != ''),
+    q AS (SELECT doc_id, u.field, CASE WHEN trim(coalesce(u.v, '')) != '' THEN u.label || ': ' || u.v ELSE u.label END AS question FROM x, LATERAL (VALUES ('source', 'Origin of the text', source), ('lang', 'Language', lang), ('note', 'note', NULL), ('n_chars', 'Size', n_chars)) AS u(field, label, v)),
+    p AS (SELECT doc_id, field, n, c, list_sum(list_transform(list_zip({_counted("c")}, {_counted("question")}), lambda p: (p[1] - p[2]) ** 2)) AS dist FROM z JOIN q USING (doc_id))
+    SELECT doc_id, field, 'c' || n AS id, sha256(c) AS text_sha256, round(sqrt(dist), 6) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, field ORDER BY dist, n) = 1""")
+def field_evidence(spark, d):
+    """For each field of a record about a document the piece of the document that is nearest to the field's question."""
+    docs = t(spark, d, "documents").select("doc_id", "text", "source", "lang", F.col("n_chars").cast("string").alias("n_chars"), F.lit(None).cast("string").alias("note"))
+    found = evidence.best_pieces(evidence.questions_of(docs, EVIDENCE, ["doc_id"]), evidence.pieces_of(docs, ["doc_id"]), _letter_counts, ["doc_id"])
+    return found.select("doc_id", "field", "id", F.sha2("text", 256).alias("text_sha256"), F.round("distance", 6).alias("distance"))
+
+
 KINDS = {"identity": ("password", "token", "@"), "legal": ("license", "licensed"), "table": (" | ",)}
 
 
