@@ -142,8 +142,11 @@ def _matches(words: Column, index: Column) -> Column:
     """All matches in the words of a file that has a posted word."""
     posts, templates = index["posts"], index["templates"]
     hits = F.filter(F.transform(words, lambda w, i: F.when(F.map_contains_key(posts, w), F.struct(w.alias("word"), i.alias("place")))), lambda h: h.isNotNull())
-    proposed = F.flatten(F.transform(hits, lambda h: F.transform(posts[h["word"]], lambda p: F.struct((h["place"] - p["offset"]).alias("at"), p["t"].alias("t")))))
-    stood = F.filter(F.transform(F.array_distinct(proposed), lambda p: _verified(words, p["at"], F.get(templates, p["t"]))), lambda m: m.isNotNull())
+    # A proposal is one number: a place, which the first offsets may take below zero, and a template. Numbers are told apart by hashing, however many.
+    many, below = F.size(templates), F.array_max(F.transform(templates, lambda t: F.size(t["words"])))
+    proposed = F.flatten(F.transform(hits, lambda h: F.transform(posts[h["word"]], lambda p: (h["place"] - p["offset"] + below).cast("long") * many + p["t"])))
+    place = lambda p: (F.floor(p / many) - below).cast("int")
+    stood = F.filter(F.transform(F.array_distinct(proposed), lambda p: _verified(words, place(p), F.get(templates, F.pmod(p, many).cast("int")))), lambda m: m.isNotNull())
 
     def best(all_: Column) -> Column:
         # of proposals that drifted apart the one with most agreement counts; they stand next to one another

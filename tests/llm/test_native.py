@@ -86,6 +86,17 @@ def test_licences_in_many_equal_rows(spark):
     assert [(r.n_words, [(m.label, m["at"]) for m in r.matches]) for r in licences.scan_licences(d).collect()] == [(2, [("mit", 0)])] * 500
 
 
+def test_licences_in_a_text_full_of_hits(spark):
+    import time
+
+    n = 40_000
+    d = spark.createDataFrame([(1, "mit license " * n), (2, "apache license mit license " * 5)], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in licences.scan_licences(d).select("doc_id", "n_words", F.size(F.filter("matches", lambda m: m["base"])).alias("n"), F.array_max(F.transform("matches", lambda m: m["at"])).alias("last")).collect()}
+    assert (got[1].n_words, got[1].n, got[1].last) == (2 * n, n, 2 * n - 2) and got[2].n == 10
+    assert time.perf_counter() - start < 60  # 80,000 words; work by the square would take many minutes
+
+
 def test_licences_of_an_empty_table(spark):
     assert licences.scan_licences(docs_of(spark, [])).count() == 0
 
