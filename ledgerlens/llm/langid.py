@@ -23,8 +23,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ledgerlens.llm.common import written
 
 UNDETERMINED = "und"
-#: Logarithm of the filter's rows, least and most: about 4 rows for each n-gram of the language that contains most.
-LOG_ROWS = (12, 20)
+#: Logarithm of the filter's rows at least; there are 4 or more for each n-gram of the language that contains most, so that every slice is set to two fifths at most.
+LOG_ROWS = 12
 #: What an n-gram's share in a language is at least, and as part of its largest share in any language.
 SHARE, RELATIVE = 1e-6, 0.1
 #: Text that is counted, and that is scored, at once; scoring takes about 60 bytes for each byte of it.
@@ -57,8 +57,9 @@ def _rows(codes, log_rows: int):
     x = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
     mask = np.uint64((1 << log_rows) - 1)
-    return (x >> np.uint64(42)) & mask, (x >> np.uint64(20)) & mask
+    return (x >> np.uint64(32)) & mask, x & mask
 
 
 @dataclass
@@ -132,7 +133,8 @@ def contained(counts: DataFrame, totals: DataFrame, share: float = SHARE, relati
 def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text", share: float = SHARE, relative: float = RELATIVE) -> LanguageFilters:
     """Filters of all languages of ``labelled``; rows without a language don't count, null texts count as empty.
 
-    The driver gets a number for each language and the filter: 8 bytes a row for each 64 languages, 8 MB at most.
+    The driver gets a number for each language and the filter: 8 bytes a row for each 64 languages, 32 MB at most, as SHARE
+    leaves a language a million n-grams and these ask for 2^22 rows.
     """
     import numpy as np
 
@@ -141,10 +143,10 @@ def fit(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text",
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     languages = sorted(totals)
     if not languages:
-        return LanguageFilters([], np.zeros((1 << LOG_ROWS[0], 1), dtype=np.uint64), [])
+        return LanguageFilters([], np.zeros((1 << LOG_ROWS, 1), dtype=np.uint64), [])
     grams = written(contained(counts, spark.createDataFrame(list(totals.items()), "lang string, total long"), share, relative), "contained")
     most = max((r["n"] for r in grams.groupBy("lang").agg(F.count("*").alias("n")).collect()), default=1)
-    log_rows = min(LOG_ROWS[1], max(LOG_ROWS[0], (4 * most - 1).bit_length()))
+    log_rows = max(LOG_ROWS, (4 * most - 1).bit_length())
     place = {lang: i for i, lang in enumerate(languages)}
 
     def batches(parts):
@@ -171,7 +173,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, *, text_col: str = "text
     those without a letter are `und` with score 0, as is everything if no language was learned; every other
     text gets a learned language. Ties go to the language that sorts first. Repeated rows stay; empty tables stay empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.rows, filters.fill))  # 8 MB at most for each 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.rows, filters.fill))  # 32 MB at most for each 64 languages
     keep = [c for c in docs.columns if c not in (pred_col, score_col)]
     docs = docs.select(*keep)
     at = keep.index(text_col)

@@ -473,6 +473,36 @@ def test_rare_languages_are_learned(spark):
     assert [r.lang_pred for r in langid.identify(docs_of(spark, ["qua zor", "the dog"]), filters).orderBy("doc_id").collect()] == ["xx", "en"]
 
 
+def test_a_language_of_hundreds_of_thousands_of_ngrams(spark):
+    rnd = np.random.default_rng(9)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    word = lambda n: "".join(rnd.choice(letters, n))
+    rows = [(i, word(14_000), "s", "big") for i in range(64)] + [(100 + i, "small words of a small language " * 3, "s", "small") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    filters = langid.fit(df)
+    grams = len({g for _, t, _, lang in rows if lang == "big" for g in langid._codes(langid._normal(t)).tolist()})
+    assert grams > 262_144 and len(filters.rows) >= 4 * grams  # as many rows as the n-grams ask for, whatever their number
+    assert max(filters.fill) < 0.4
+    own = np.unique(np.concatenate([langid._codes(langid._normal(t)) for _, t, _, lang in rows if lang == "big"]))
+    other = np.setdiff1d(rnd.integers(0, 1 << 32, 200_000, dtype=np.uint32), own)
+    one, two = langid._rows(other, (len(filters.rows) - 1).bit_length())
+    bit = np.uint64(filters.languages.index("big"))
+    passed = float(((filters.rows[one, 0] & filters.rows[two, 0]) >> bit & np.uint64(1)).mean())
+    assert passed == pytest.approx(filters.fill[int(bit)] ** 2, abs=0.01) and passed < 0.17
+    assert langid.identify(spark.createDataFrame([(1, word(50)), (2, "a small language")], "doc_id long, text string"), filters).select("lang_pred").collect() == [("big",), ("small",)]
+
+
+def test_filter_rows_follow_the_fullest_slice():
+    # At the bound that SHARE sets, a million n-grams, a slice is no fuller than below it.
+    for grams in (1_000, 262_144, 300_000, 1_000_000):
+        log_rows = max(langid.LOG_ROWS, (4 * grams - 1).bit_length())
+        codes = np.random.default_rng(grams).choice(1 << 32, grams, replace=False) if grams < 2_000 else np.arange(grams, dtype=np.uint64) * 4001 % (1 << 32)
+        held = np.zeros(1 << log_rows, dtype=bool)
+        for r in langid._rows(codes.astype(np.uint32), log_rows):
+            held[r] = True
+        assert held.mean() < 0.4
+
+
 def test_many_languages(spark):
     rows = [(f"l{i:03d}", f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{chr(97 + i % 26)} " * 30) for i in range(70)]
     filters = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
