@@ -138,15 +138,14 @@ def _verified(words: Column, at: Column, p: Column) -> Column:
     return told
 
 
-def _matches(words: Column, index: Column) -> Column:
-    """All matches in the words of a file that has a posted word."""
+def _matches(words: Column, index: Column, many: int, below: int) -> Column:
+    """All matches in the words of a file that has a posted word; of ``many`` templates with ``below`` words at most."""
     posts, templates = index["posts"], index["templates"]
     hits = F.filter(F.transform(words, lambda w, i: F.when(F.map_contains_key(posts, w), F.struct(w.alias("word"), i.alias("place")))), lambda h: h.isNotNull())
     # A proposal is one number: a place, which the first offsets may take below zero, and a template. Numbers are told apart by hashing, however many.
-    many, below = F.size(templates), F.array_max(F.transform(templates, lambda t: F.size(t["words"])))
     proposed = F.flatten(F.transform(hits, lambda h: F.transform(posts[h["word"]], lambda p: (h["place"] - p["offset"] + below).cast("long") * many + p["t"])))
-    place = lambda p: (F.floor(p / many) - below).cast("int")
-    stood = F.filter(F.transform(F.array_distinct(proposed), lambda p: _verified(words, place(p), F.get(templates, F.pmod(p, many).cast("int")))), lambda m: m.isNotNull())
+    parted = F.transform(F.array_distinct(proposed), lambda p: F.struct((F.call_function("div", p, F.lit(many)) - below).cast("int").alias("at"), F.pmod(p, F.lit(many)).cast("int").alias("t")))
+    stood = F.filter(F.transform(parted, lambda p: _verified(words, p["at"], F.get(templates, p["t"]))), lambda m: m.isNotNull())
 
     def best(all_: Column) -> Column:
         # of proposals that drifted apart the one with most agreement counts; they stand next to one another
@@ -171,5 +170,5 @@ def scan_licences(docs: DataFrame, templates=TEMPLATES, *, id_col: str = "doc_id
     index = F.from_json(F.lit(json.dumps(found)), INDEX)
     posted = F.from_json(F.lit(json.dumps(sorted(found["posts"]))), "array<string>")
     none = F.array().cast(MATCHES)
-    matches = F.when(F.arrays_overlap("words", posted), _matches(F.col("words"), index)).otherwise(none)
+    matches = F.when(F.arrays_overlap("words", posted), _matches(F.col("words"), index, len(templates), max((len(t.words) for t in templates), default=0))).otherwise(none)
     return base.select(F.col("_id").alias(id_col), F.size("words").cast("long").alias("n_words"), matches.alias("matches"))
