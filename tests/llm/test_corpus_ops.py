@@ -95,6 +95,17 @@ def test_one_text_in_a_third_of_all_rows_travels_once_a_task():
     assert sum(v[0] is not None for _, v in out) == 101 and len(out) == 30_100
 
 
+@pytest.mark.parametrize("name", ["op11_filter_interaction", "op12_inverted_resampling"])
+def test_queries_equal_their_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    want = con.sql(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE[name]})").fetchall()
+    assert sorted(tuple(map(repr, r)) for r in df.select(*cols).collect()) == sorted(tuple(map(repr, r)) for r in want)
+
+
 # resampling
 def brute_resample(docs, target, longest=1, least=20, percent=10, buckets=resampling.BUCKETS):
     def features(t):
