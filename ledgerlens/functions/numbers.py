@@ -12,7 +12,8 @@ OCR_DIGITS = {"0": "oOqQ", "1": "iIlL", "2": "zZ", "5": "sS", "8": "bB", "6": "e
 PLAIN = r"\A[-+]?(?:[0-9]+(?:[.,][0-9]+)?|[0-9]{1,3}(?:[.,][0-9]{3})+(?:[.,][0-9]+)?)\z"
 #: Digits with separators anywhere, the last of them before one or two digits.
 CENTS = r"\A[0-9,.]*[0-9][0-9,.]*[,.][0-9]{1,2}\z"
-NUMERIC = r"\A\s*[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\s*\z"
+_DIGITS = "[0-9]+(?:_[0-9]+)*+"
+NUMERIC = rf"\A\s*[-+]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][-+]?{_DIGITS})?\s*\z"
 
 
 def let(value: Column, body) -> Column:
@@ -52,8 +53,8 @@ def _read_number(s: Column) -> Column:
 
 
 def strict_number(c: Column) -> Column:
-    """A double of a text that is a number as it stands. try_cast alone also takes 5d."""
-    return F.when(c.rlike(NUMERIC), F.trim(c).try_cast("double"))
+    """A double of a text that is a number as it stands, digits grouped by _ or not. try_cast alone also takes 5d."""
+    return F.when(c.rlike(NUMERIC), F.translate(F.trim(c), "_", "").try_cast("double"))
 
 
 def as_integer(number: Column) -> Column:

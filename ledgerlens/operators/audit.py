@@ -151,6 +151,20 @@ def rule_holds(records: DataFrame, rules, context: dict[str, Value], keys: list[
     return rows.select(*keys, F.get(ids, F.col("_at")).alias("rule_id"), "holds")
 
 
+def rule_rates(records: DataFrame, rules, context: dict[str, Value], by: list[str]) -> DataFrame:
+    """by, rule_id, n, passed, failed, unknown: one row for each rule of each group, counted in one aggregate and unfolded after it.
+
+    Null keys are a group; an empty table has no groups; rules of equal ids each have their row.
+    """
+    if not rules:
+        return records.where("false").select(*by, F.lit("").alias("rule_id"), *[F.lit(0).cast("long").alias(c) for c in ("n", "passed", "failed", "unknown")])
+    holds = [(r, f"_{i}") for i, r in enumerate(rules)]
+    held = records.select(*by, *[compile_rule(r.expression, context).alias(c) for r, c in holds])
+    counted = held.groupBy(*by).agg(F.count("*").alias("n"), *[F.struct(F.count_if(c).alias("passed"), F.count_if(~F.col(c)).alias("failed")).alias(c) for _, c in holds])
+    rows = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.col("n"), F.col(f"{c}.passed").alias("passed"), F.col(f"{c}.failed").alias("failed"), (F.col("n") - F.col(f"{c}.passed") - F.col(f"{c}.failed")).alias("unknown")) for r, c in holds])
+    return counted.select(*by, F.inline(rows))
+
+
 def rule_rows(records: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each rule of each record: keys, rule_id, severity, holds."""
     return records.select(*keys, F.explode("rules").alias("r")).select(*keys, F.col("r.id").alias("rule_id"), "r.severity", "r.holds")

@@ -74,7 +74,7 @@ def normalize_field(f: Field, c: Column, source: str) -> tuple[Column, Column |
         text = F.date_format(dates.parse_date(value), "yyyy-MM-dd")
         return F.coalesce(text, value), None, [*changes, _change(text != value, f.name, "parse", value, text)]
     else:
-        text = F.date_format(dates.parse_datetime(value), "yyyy-MM-dd'T'HH:mm:ss")
+        text = dates.iso_datetime(value)
         return F.coalesce(text, value), None, [*changes, _change(text != value, f.name, "parse", value, text)]
     return after, F.when(after.isNull(), value), [*changes, _change(after.isNotNull(), f.name, kind, value, after)]
 

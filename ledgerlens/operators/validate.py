@@ -43,7 +43,7 @@ def field_issues(f: Field, value: Column, raw: Column) -> list[Column]:
     elif f.type == "date":
         out.append(_issue(~gone & dates.parse_iso_date(text).isNull(), f, "type", TYPE_MESSAGES["date"]))
     elif f.type == "datetime":
-        out.append(_issue(~gone & dates.parse_datetime(text).isNull(), f, "type", TYPE_MESSAGES["datetime"]))
+        out.append(_issue(~gone & dates.iso_datetime(text).isNull(), f, "type", TYPE_MESSAGES["datetime"]))
     for c in f.constraints:
         if c.kind == "min":
             out.append(_issue(~gone & (number < float(c.value)), f, "min", f"Debe ser >= {c.value}."))
@@ -122,7 +122,7 @@ def _field_verdicts(f: Column, values: Column) -> Column:
         .when(kind == "integer", numbers.as_integer(number).isNotNull())
         .when(kind == "boolean", text.isin("true", "false"))
         .when(kind == "date", dates.parse_iso_date(text).isNotNull())
-        .when(kind == "datetime", dates.parse_datetime(text).isNotNull())
+        .when(kind == "datetime", dates.iso_datetime(text).isNotNull())
         .otherwise(True)
     )
 

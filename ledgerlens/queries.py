@@ -77,8 +77,7 @@ def rule_outcomes_lineitem(spark, d):
 @query(f"SELECT l_returnflag, rule_id, count(*) AS n, count(*) FILTER (holds) AS passed, count(*) FILTER (NOT holds) AS failed, count(*) FILTER (holds IS NULL) AS unknown FROM ({RULED_SQL}) GROUP BY ALL")
 def rule_pass_rate_by_flag(spark, d):
     li = _ruled(spark, d)
-    rows = audit.rule_holds(li, LINE_RULES, columns_context(li), ["l_returnflag"])
-    return rows.groupBy("l_returnflag", "rule_id").agg(F.count("*").alias("n"), F.count_if("holds").alias("passed"), F.count_if(~F.col("holds")).alias("failed"), F.count_if(F.col("holds").isNull()).alias("unknown"))
+    return audit.rule_rates(li, LINE_RULES, columns_context(li), ["l_returnflag"])
 
 
 CUSTOMER = Schema(

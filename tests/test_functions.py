@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import re
 
@@ -79,6 +80,35 @@ def test_redaction_of_documents_equals_brute_force(spark, sf, tmp_path):
         assert got[i].asDict() == {"doc_id": i, "redacted_sha256": hashlib.sha256(out.encode()).hexdigest(), **counts}, (i, out[:200])
 
 
+def test_anchors_hold_where_tokens_stand(spark):
+    """What an earlier kind has cut out neither makes nor hides a later match; long texts take linear work."""
+    own = ["a@b.es12345678Z", "12345678Z600123456", "ES9121000418450200051332 X1234567L A1234567B +34 600-123-456 x@y.zz", "600 123 45", "@", "1 2 3 4 5 6 7 8"]
+    own.append("x@y.zz 12345678Z " * 5_000)
+    for x, got in zip(own, values(spark, own, lambda c: F.struct(*text.redact(c))), strict=True):
+        out, said = x, []
+        for kind, pattern, token in PII:
+            said += [(kind, m.group(), token) for m in re.finditer(pattern, out)]
+            out = re.sub(pattern, token, out)
+        assert got[0] == out and [tuple(r) for r in got[1]] == said
+
+
+def test_iso_datetimes_equal_python(spark):
+    own = ["2024-01-02", "2024-01-02T03", "2024-01-02T03:04", " 2024-01-02 03:04:05 ", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05.5+02:00", "2024-01-02T03:04:05,1234567-0530", "2024-01-02T03:04:05.000",
+           "2024-01-02T25:04:05", "2024-02-30", "2024-01-02T03:04+24:00", "2024-01-02T03:04-00:00", "2024-01-02T03:04.5", "2024-01-02T03:60:05", "2024-01-02T03:04:05.", "2024-01-02T24:00:00", "2024-01-02Z", "0001-01-01", "x", "", None]
+
+    def python(x):
+        try:
+            return datetime.datetime.fromisoformat(x.strip()).isoformat()
+        except (AttributeError, ValueError):
+            return None
+
+    assert values(spark, own, dates.iso_datetime) == [python(x) for x in own]
+
+
+def test_grouped_digits_are_numbers(spark):
+    assert values(spark, ["1_000", "1__0", "_1", "1_", "1_0.5_0e1_0", "5d", " 7 ", None], numbers.strict_number) == [1000.0, None, None, None, 10.5e10, None, 7.0, None]
+
+
 def test_pattern_values(spark):
     p = "^[XYZ0-9][0-9]{7}[A-Z]$"
     assert values(spark, ["Documento: 53864817D.", "none"], lambda c: text.pattern_value(c, p)) == ["53864817D", None]

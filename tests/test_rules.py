@@ -2,10 +2,12 @@ import datetime
 
 import pytest
 
+from ledgerlens.operators import audit as rules_of
 from ledgerlens.operators.audit import audit
 from ledgerlens.operators.normalize import normalize
 from ledgerlens.plans.builtin import IDENTITY, INVOICE, MORTGAGE, SCHEMAS
 from ledgerlens.plans.rules import columns_context, compile_rule
+from ledgerlens.plans.schema import DecisionRule
 
 AS_OF = datetime.date(2026, 6, 12)
 
@@ -133,3 +135,17 @@ def test_identity_violations(spark):
     got = outcomes(spark, IDENTITY, [bad])[0]
     assert {r for r, v in got.items() if v is False} == {"RK01", "RK02", "RK04", "RK05", "RK06", "RK07"}
     assert got["RK03"] is True and got["RK08"] is True
+
+
+def test_rates_of_rules(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 9.0), ("a", None), (None, 9.0), (None, 9.0), ("b", None)], "g string, x double")
+    rules = (DecisionRule("R1", "x > 5", "info", ""), DecisionRule("R2", "x == null or x < 5", "info", ""), DecisionRule("R1", "x > 0", "info", ""))
+    got = sorted(map(repr, map(tuple, rules_of.rule_rates(rows, rules, columns_context(rows), ["g"]).collect())))
+    held = rules_of.rule_holds(rows, rules, columns_context(rows), ["g"]).collect()
+    assert len(got) == 9 and len(held) == 18
+    assert sorted(got) == sorted(map(repr, [("a", "R1", 3, 1, 1, 1), ("a", "R1", 3, 2, 0, 1), ("a", "R2", 3, sum(r.holds is True for r in held if r.g == "a" and r.rule_id == "R2"), sum(r.holds is False for r in held if r.g == "a" and r.rule_id == "R2"), sum(r.holds is None for r in held if r.g == "a" and r.rule_id == "R2")),
+        (None, "R1", 2, 2, 0, 0), (None, "R1", 2, 2, 0, 0), (None, "R2", 2, *[sum(r.holds is w for r in held if r.g is None and r.rule_id == "R2") for w in (True, False, None)]),
+        ("b", "R1", 1, 0, 0, 1), ("b", "R1", 1, 0, 0, 1), ("b", "R2", 1, *[sum(r.holds is w for r in held if r.g == "b" and r.rule_id == "R2") for w in (True, False, None)])]))
+    assert rules_of.rule_rates(rows.where("false"), rules, columns_context(rows), ["g"]).count() == 0
+    none = rules_of.rule_rates(rows, (), columns_context(rows), ["g"])
+    assert none.columns == ["g", "rule_id", "n", "passed", "failed", "unknown"] and none.count() == 0
