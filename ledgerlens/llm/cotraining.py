@@ -209,10 +209,11 @@ def surest(rows: DataFrame, known: DataFrame, weights, counts: dict) -> DataFram
 
     scored = rows.mapInArrow(batches, f"_id {kind}, key long, p0 double, p1 double").join(known, "_id", "left_anti")
     told = F.array(*[F.struct(F.lit(v).alias("view"), F.lit(y).alias("label"), (F.col(f"p{v}") if y else 1 - F.col(f"p{v}")).alias("sure")) for v in (0, 1) for y in (1, 0)])
-    each = scored.select("key", F.inline(told)).where(F.col("sure") >= SURE)
+    once = scored.groupBy("key").agg(F.max("p0").alias("p0"), F.max("p1").alias("p1"))  # equal rows share a rank: a row of millions of copies would pass whole into one task
+    each = once.select("key", F.inline(told)).where(F.col("sure") >= SURE)
     order = Window.partitionBy("view", "label").orderBy(F.desc("sure"), "key")
-    ranked = each.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= F.when(F.col("label") == 1, counts[1]).otherwise(counts[0]))
-    return ranked.where(F.col("r") <= max(counts.values())).select("view", "label", "key", "sure").distinct()
+    ranked = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("label") == 1, counts[1]).otherwise(counts[0]))
+    return ranked.where(F.col("r") <= max(counts.values())).select("view", "label", "key", "sure")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", source_col: str | None = "source", length_col: str | None = "n_chars", label_col: str = "quality", labelled_rows: int = LABELLED, rounds: int = ROUNDS, passed: int = PASSED) -> dict:

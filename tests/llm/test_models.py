@@ -190,6 +190,20 @@ def test_the_surest_of_all_documents_are_passed(spark, sf):
     assert got == sorted(want) and len(got) > 8
 
 
+def test_rows_of_many_copies_are_ranked_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = cotraining._rows(docs, "doc_id", "text", "lang", "source", "n_chars")
+    known = spark.createDataFrame([], "_id long")
+    rng = np.random.default_rng(6)
+    weights = [rng.normal(size=cotraining.BINS + 1) * 3, rng.normal(size=12 + 2 * cotraining.SOURCE_BINS + 1) * 2]
+    once = cotraining.surest(rows, known, weights, {1: 9, 0: 5})
+    copies = rows.unionByName(rows.where("_id < 5").crossJoin(spark.range(400).select()))
+    many = cotraining.surest(copies, known, weights, {1: 9, 0: 5})
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, once.collect()))
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Aggregate [key")  # copies are merged below the ranking
+
+
 def test_quality_query_scores_equal_brute_force(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = cotraining.fit_quality(docs, labels)
