@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,7 +213,8 @@ def _secrets_sql() -> str:
     """The same rules by DuckDB's own pattern functions; places from the pieces between matches."""
     parts = []
     for rank, r in enumerate(secrets.RULES):
-        pattern = r.pattern.replace("'", "''")
+        # both cases written out, as (?i) folds letters beyond ASCII here: ſ would be an s
+        pattern = re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda x: f"[{x[0]}{x[0].upper()}]", m[1]) + ")", r.pattern).replace("'", "''")
         parts.append(
             f"SELECT doc_id, rid, {rank} AS rank, '{r.kind}' AS kind, {r.min_length} AS least, "
             f"regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {r.measured}) AS g, regexp_split_to_array(t, '{pattern}') AS b FROM d"

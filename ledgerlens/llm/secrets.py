@@ -53,7 +53,7 @@ KEY_BLOCK = SecretRule(
     "pem_block",
     1,
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]*+(?:-{1,4}(?!-)[^-]*+){0,64}+-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|(?:[ \t\r]*+\n\s*+(?:Proc-Type|DEK-Info):[^\n]*+){0,8}+(?:[ \t\r]*+\n\s*+[A-Za-z0-9+/=]++(?![ \t]*+[^\s])|[\s\\]*+[A-Za-z0-9+/=]{40,}+){0,400}+)",
+    r"|(?:[ \t\r]*+\n\s*+(?:Proc-Type|DEK-Info):[^\n]*+){0,8}+(?:[ \t\r]*+\n\s*+[A-Za-z0-9+/=]++(?![ \t]*+[^\s])|[\s\\]*+[A-Za-z0-9+/=]{40,}+)*+)",
     20,
     hint="-----BEGIN ",
 )
@@ -128,17 +128,20 @@ def scan_blobs(docs: DataFrame, ledger: str, rules=RULES, *, text_col: str = "te
     spark = docs.sparkSession
     blobs = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("blob", F.sha2("_text", 256)).dropDuplicates(["blob"])
     before = ledger_or_none(spark, ledger)
+    own = blobs.select("blob")
     keys = F.array(*[F.lit(r.key) for r in rules]).cast("array<string>")
     if before is None:
         unseen = blobs.withColumn("todo", keys)
         wanted = lambda rule: F.lit(True)
     else:
-        seen = before.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        seen = before.join(own, "blob", "left_semi").select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         unseen = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
         unseen = unseen.where(F.size("todo") > 0)
         wanted = lambda rule: F.array_contains("todo", rule.key)
     unseen.select("blob", F.col("todo").alias("rules"), scan_text(F.col("_text"), rules, wanted).alias("scans")).write.mode("append").parquet(ledger)
-    return findings(ledger_or_none(spark, ledger), rules)
+    known = ledger_or_none(spark, ledger)
+    # of a ledger that was there, the blobs of other texts are left out before anything is grouped
+    return findings(known if before is None else known.join(own, "blob", "left_semi"), rules)
 
 
 def scan_secrets(docs: DataFrame, ledger: str | None = None, rules=RULES, *, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
