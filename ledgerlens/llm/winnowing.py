@@ -26,6 +26,8 @@ BLOCK_WINDOWS = 500_000
 PLACE_BITS, HASH_BITS = 30, 33
 #: A code that no place has; it marks a document's own row.
 MARK = -1
+#: Bytes of item ids that a window may carry to each of its hits; if any window has more, digests of the lists go in their place and lists are joined last.
+LIST_BYTES = 4096
 
 
 def _coded(words: Column, k: int) -> Column:
@@ -105,6 +107,7 @@ def find_contamination(
     length: int = WINDOW_WORDS,
     gram: int = GRAM,
     block_windows: int = BLOCK_WINDOWS,
+    list_bytes: int = LIST_BYTES,
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, text_key (a hash of the text), n_words, n_hit, hit_spans, items, contaminated.
 
@@ -115,10 +118,17 @@ def find_contamination(
 
     With up to ``block_windows`` windows in the benchmark its fingerprints are sent to all executors and documents
     are probed and extended where they are read. Beyond that fingerprints are joined by shuffle, and of the
-    documents those with hits are read again.
+    documents those with hits are read again. Where a window's item ids take more than ``list_bytes``, hits carry a digest of
+    the list, and the lists are joined to the documents that have hits, once each.
     """
     lengths, prints, windows = benchmark_windows(items, item_id_col, item_text_col, length, gram)
-    few = windows.count() <= block_windows
+    size = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x))
+    n_windows, widest = windows.agg(F.count("*"), F.coalesce(F.max(size), F.lit(0))).first()
+    few, lists = n_windows <= block_windows, None
+    if widest > list_bytes:
+        listed = windows.withColumn("list", F.sha2(F.to_json("items"), 256))
+        lists = written(listed.select("list", "items").dropDuplicates(["list"]), "lists")
+        windows = written(listed.select("window", "len", F.array("list").alias("items")), "listed")
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), plain_words(F.col(text_col)).alias("words"))
     coded = winnowed(keyed, "words", lengths or [length], "codes", gram)
     # each document also has one row that marks it, whether it has hits or not
@@ -148,6 +158,8 @@ def find_contamination(
         F.array_sort(F.collect_set(F.when(~mark, F.struct(F.col("at").alias("s"), (F.col("at") + F.col("len")).alias("e"))))).alias("spans"),
         F.collect_set(F.when(~mark, F.col("items"))).alias("items"),
     )
+    if lists is not None:
+        per_doc = _with_lists(per_doc, sendable(lists, size))
     merged = per_doc.withColumn("hit_spans", _merged(F.col("spans")))
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["s"]).cast("long"))
     out = merged.select(
@@ -157,6 +169,14 @@ def find_contamination(
     return out.select(F.col("_id").alias(id_col), F.col("_key").alias("text_key"), "n_words", "n_hit", "hit_spans", "items", "contaminated")
 
 
+def _with_lists(per_doc: DataFrame, lists: DataFrame) -> DataFrame:
+    """per_doc with the lists (list, items) in place of their digests; documents without hits look for a digest of their own that isn't there."""
+    none = F.concat(F.lit("none-"), F.hex(F.xxhash64("_id", "_key")))
+    digests = F.array_distinct(F.flatten("items"))
+    each = per_doc.withColumn("list", F.explode(F.when(F.size("items") > 0, digests).otherwise(F.array(none)))).drop("items")
+    return each.join(lists, "list", "left").groupBy("_id", "_key").agg(*[F.first(c).alias(c) for c in ("n_words", "copies", "spans")], F.collect_set("items").alias("items"))
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs."""
     found = find_contamination(docs, items, id_col=id_col, text_col=text_col, **options).where("contaminated")

@@ -239,6 +239,28 @@ def test_only_the_asked_versions_are_reported(spark, tmp_path):
     assert found((assign, access)) == first and spark.read.parquet(ledger).count() == 2 * len(rows)
 
 
+def test_letters_beyond_ascii_are_no_key_words(spark, tmp_path):
+    """In the code and in its SQL alike: ſ is no s and the Kelvin sign no k."""
+    duckdb = pytest.importorskip("duckdb")
+    own = ["ſecret=abcdef1", "to\u212aen=abcdef1", "SeCrEt=abcdef1 Api_Key: 'abcdef1'", "PASSWD = abcdef", "passwd=abcde", None, "é token=abcdef1"]
+    docs_of(spark, own).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op6_blob_ledger_secrets(spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(f"SELECT doc_id, n_assign, n_access, n_hex, base_sha256, spans FROM ({queries.ORACLE['op6_blob_ledger_secrets']})").fetchall())
+    assert [r[1] for r in got] == [0, 0, 2, 1, 0, 0, 1]
+
+
+def test_a_large_ledger_and_few_documents(spark, tmp_path):
+    """Of a ledger that holds many blobs those of other texts are left out before any grouping."""
+    ledger = f"file://{tmp_path}/ledger"
+    secrets.scan_secrets(docs_of(spark, [f"token=abcdef{i}" for i in range(500)]), ledger).count()
+    few = secrets.scan_blobs(docs_of(spark, ["token=abcdef7", "token=abcdef7", None, "password=new12345"]), ledger)
+    assert few.count() == 2  # findings of the asked texts alone
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 1
+    assert spark.read.parquet(ledger).count() == 502
+
+
 def test_many_spans_of_one_text(spark):
     n = 3_000
     text = "é token=abcdef12 " * n
@@ -276,6 +298,7 @@ def test_whole_keys_are_removed(spark):
         f"{begin}\\n{line}\\n{line}": "[secret]",
         f"{begin} " + "x-y " * 30_000: "[secret] " + "x-y " * 30_000,
         begin + f"\n{line}" * 300: "[secret]",
+        begin + f"\n{line}" * 20_000: "[secret]",
     }
     d = docs_of(spark, list(cases))
     assert [r.text for r in secrets.without_secrets(d).orderBy("doc_id").collect()] == list(cases.values())
@@ -310,6 +333,21 @@ def test_windows_equal_brute_force(spark):
             assert (r.n_words, r.n_hit, list(r["items"]), r.contaminated) == (*want, want[1] > 0), texts[r.doc_id]
 
 
+def test_items_that_share_windows(spark):
+    """2,000 items on one window and hits in many documents: what a hit carries stays narrow."""
+    line = "one two three four five six seven eight nine ten eleven"
+    items = [(i, line) for i in range(2_000)] + [(5_000, "other words that stand alone here and there once in all"), (None, "no id has this line of words at all, not any one")]
+    texts = [f"x {line} y {line}" if i % 3 == 0 else f"a {i} {items[2_000][1]}" if i % 3 == 1 else "nothing" for i in range(60)] + [items[2_001][1], None, ""]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for blocks in (500_000, 0):
+        got = winnowing.find_contamination(docs_of(spark, [*texts, texts[0]], [*range(len(texts)), 0]), b, block_windows=blocks).collect()
+        assert sorted(r.doc_id for r in got) == [0, *range(len(texts))]
+        for r in got:
+            want = brute_hits(texts[r.doc_id], [items[0], *items[2_000:]])
+            of = [*map(str, range(2_000))] if "0" in want[2] else []
+            assert (r.n_words, r.n_hit, list(r["items"])) == (*want[:2], sorted(of + [x for x in want[2] if x != "0"]))
+
+
 def test_items_of_all_lengths_in_one_scan(spark, tmp_path):
     rng = random.Random(4)
     line = lambda n: " ".join(rng.choice("abcdefg") + rng.choice("xyz") for _ in range(n))
