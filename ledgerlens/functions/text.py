@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space at the ends, of any script. trim() strips spaces alone.
-ENDS = r"(?U)\A\s+|\s+\z"
+#: White space of any script, what (?U)\s matches. trim() by itself strips spaces alone.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # Texts that stand for nothing, and what counts as a word.
 NULL_TOKENS = ("null", "none", "no encontrado", "no encontrado.", "n/a", "na")
 WORD_LIKE = r"[A-Za-z0-9ÁÉÍÓÚÜÑáéíóúüñ]{2,}"
@@ -20,7 +20,8 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, ENDS, "")
+    """Without white space at the ends; a look at the ends alone, so that long runs of spaces inside cost nothing more."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def is_empty(c: Column) -> Column:
@@ -53,25 +54,30 @@ def values_equal(a: Column, b: Column, a_number: Column | None = None, b_number:
 
 
 def letters(c: Column) -> Column:
-    return F.char_length(F.regexp_replace(c, r"\P{L}", ""))
+    """Whatever else there is goes run by run: a replacement a run, not a character."""
+    return F.char_length(F.regexp_replace(c, r"\P{L}+", ""))
 
 
 def digits(c: Column) -> Column:
-    return F.char_length(F.regexp_replace(c, r"\P{Nd}", ""))
+    return F.char_length(F.regexp_replace(c, r"\P{Nd}+", ""))
+
+
+def signs(c: Column) -> Column:
+    """Neither letters nor numbers nor white space."""
+    return F.char_length(F.regexp_replace(c, r"(?U)[\p{L}\p{N}\s]+", ""))
 
 
 def signal_score(c: Column) -> Column:
-    """1.6 letters + 0.7 digits + 7.5 words of two letters or more - 2 signs."""
-    t = squeezed(F.coalesce(c, F.lit("")))
-    signs = F.char_length(F.regexp_replace(t, r"(?U)[\p{L}\p{N}\s]", ""))
-    return letters(t) * 1.6 + digits(t) * 0.7 + matches(t, WORD_LIKE) * 7.5 - signs * 2.0
+    """1.6 letters + 0.7 digits + 7.5 words of two letters or more - 2 signs; white space counts nowhere."""
+    t = F.coalesce(c, F.lit(""))
+    return letters(t) * 1.6 + digits(t) * 0.7 + matches(t, WORD_LIKE) * 7.5 - signs(t) * 2.0
 
 
 def signal_counts(texts: DataFrame, text: str) -> DataFrame:
     """Adds n_letters, n_digits, n_words and n_signs of a text column, each worked out once for all that is told from them."""
-    t = texts.withColumn("_t", squeezed(F.coalesce(F.col(text), F.lit(""))))
-    signs = F.char_length(F.regexp_replace("_t", r"(?U)[\p{L}\p{N}\s]", ""))
-    return t.withColumns({"n_letters": letters(F.col("_t")), "n_digits": digits(F.col("_t")), "n_words": matches(F.col("_t"), WORD_LIKE), "n_signs": signs}).drop("_t")
+    t = texts.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    own = F.col("_t")
+    return t.withColumns({"n_letters": letters(own), "n_digits": digits(own), "n_words": matches(own, WORD_LIKE), "n_signs": signs(own)}).drop("_t")
 
 
 def signal_of_counts() -> tuple[Column, Column, Column]:
@@ -81,8 +87,15 @@ def signal_of_counts() -> tuple[Column, Column, Column]:
 
 
 def is_meaningful(c: Column, min_words: int = 4, min_score: float = 35.0) -> Column:
-    t = squeezed(F.coalesce(c, F.lit("")))
-    return (t != "") & (matches(t, WORD_LIKE) >= min_words) & (signal_score(c) >= min_score)
+    """At least so many words and so much signal.
+
+    A text has no more signs than characters that are no letters; where letters outweigh even those by more than
+    rounding, as in any prose, nothing else is counted.
+    """
+    t = F.coalesce(c, F.lit(""))
+    enough = F.size(F.split(t, WORD_LIKE, max(min_words, 0) + 1)) > min_words
+    plenty = letters(t) * 3.6 - F.char_length(t) * 2.0 >= min_score + 1
+    return t.rlike(r"(?U)\S") & enough & (plenty | (signal_score(t) >= min_score))
 
 
 def has_extractable_signal(c: Column) -> Column:

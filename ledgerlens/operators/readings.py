@@ -102,14 +102,18 @@ def document_texts(docs: DataFrame, pages: DataFrame, key: str, reader: str, sec
     """key, text, n_pages, n_images, method of documents (key, n_pages) whose pages page_texts has read.
 
     Pages with text are put in order, a blank line between them. method: the reader, ``reader+second`` where pages fell
-    back and anything was read, else the second alone, as for a document without images.
+    back and anything was read, else the second alone, as for a document without images. Documents and pages are grouped
+    together, so that texts are shuffled once; a join behind the grouping would shuffle and sort them again.
     """
     there = F.when(F.col("page_text") != "", F.struct(F.col(page).alias("p"), F.col("page_text").alias("t")))
-    own = pages.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(there)).alias("_all"), F.count("*").alias("_images"), F.bool_or("fell_back").alias("_back"))
-    j = docs.select(key, "n_pages").join(own, F.col(key).eqNullSafe(F.col("_key")), "left")
+    asked = docs.select(F.col(key).alias("_key"), F.struct("n_pages").alias("_doc"))
+    read = pages.select(F.col(key).alias("_key"), F.struct(there.alias("there"), F.col("fell_back").alias("back")).alias("_read"))
+    own = asked.unionByName(read, allowMissingColumns=True).groupBy("_key")
+    j = own.agg(F.collect_list("_doc").alias("_docs"), F.array_sort(F.collect_list("_read.there")).alias("_all"), F.count("_read").alias("_images"), F.bool_or("_read.back").alias("_back"))
     text = strip(F.array_join(F.transform("_all", lambda x: x["t"]), "\n\n"))
-    method = F.when(F.col("_images").isNull(), second).when(~F.col("_back"), reader).when(F.size("_all") > 0, f"{reader}+{second}").otherwise(second)
-    return j.select(key, F.coalesce(text, F.lit("")).alias("text"), "n_pages", F.coalesce("_images", F.lit(0)).alias("n_images"), method.alias("method"))
+    method = F.when(F.col("_images") == 0, second).when(~F.col("_back"), reader).when(F.size("_all") > 0, f"{reader}+{second}").otherwise(second)
+    found = j.where(F.size("_docs") > 0).select(F.col("_key").cast(docs.schema[key].dataType).alias(key), text.alias("text"), F.col("_images").alias("n_images"), method.alias("method"), F.inline("_docs"))
+    return found.select(key, "text", "n_pages", "n_images", "method")
 
 
 def reader_named(name: str | None) -> str:

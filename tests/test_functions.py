@@ -1,6 +1,8 @@
 import datetime
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +49,34 @@ def test_text_functions(spark):
     assert values(spark, ["factura 1", "pasaporte e iva", "nada"], lambda c: text.classify(c)) == ["auditoria_fiscal", "kyc_onboarding", "credito_hipotecario"]
 
 
+def test_signal_counts_by_character(spark):
+    """Every character of the first planes: what counts is what single replacements of squeezed texts left."""
+    signs = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    rows = ["".join(signs[i : i + 64]) for i in range(0, len(signs), 64)] + [f"{c}a {c}{c} b{c}" for c in signs if c.isspace() or c in "\u180e\u200b\ufeff"] + ["", None, " \u3000\n"]
+    left = lambda pattern: lambda c: F.char_length(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+", " "), pattern, ""))
+    for own, pattern in ((text.letters, r"\P{L}"), (text.digits, r"\P{Nd}"), (text.signs, r"(?U)[\p{L}\p{N}\s]")):
+        assert values(spark, rows, lambda c, own=own: own(F.coalesce(c, F.lit("")))) == values(spark, rows, left(pattern))
+    assert values(spark, rows, text.strip) == values(spark, rows, lambda c: F.regexp_replace(c, r"(?U)\A\s+|\s+\z", ""))
+
+
+def test_meaningful_near_its_bounds(spark):
+    draw = random.Random(5)
+    rows = ["".join(draw.choices("abñ7. \u3000%漢²", (9, 9, 3, 2, 1, 6, 1, draw.randrange(12), 1, 1), k=draw.randrange(1, 70))) for _ in range(4000)] + ["", " \u3000 ", None]
+    words = [len(re.findall(text.WORD_LIKE, r or "")) for r in rows]
+    scores = values(spark, rows, text.signal_score)
+    for least, score in ((4, 35.0), (1, -50.0), (0, 0.0)):
+        want = [(r or "").strip() != "" and w >= least and s >= score for r, w, s in zip(rows, words, scores, strict=True)]
+        assert 0 < sum(want) < len(rows)
+        assert values(spark, rows, lambda c, a=least, b=score: text.is_meaningful(c, a, b)) == want
+
+
+def test_long_runs_of_spaces_are_gone_through_once(spark):
+    rows = ["cuatro palabras hay aqui seguro" + " " * 400_000 + "fin "]
+    start = time.perf_counter()
+    assert values(spark, rows, text.strip) == [rows[0][:-1]] and values(spark, rows, text.is_meaningful) == [True]
+    assert time.perf_counter() - start < 20
+
+
 def test_chunks_reassemble(spark):
     t = "".join(chr(97 + i % 26) for i in range(3001))
     got = values(spark, [t, "", "short"], text.chunks)

@@ -91,6 +91,18 @@ def test_readings_edges(spark):
     assert [r.page_text for r in readings.page_texts(pages).orderBy("page").collect()] == ["x", ""]
 
 
+def test_document_texts_shuffles_texts_once(spark):
+    docs = spark.createDataFrame([(1, 2), (1, None), (2, 3), (None, 4), (5, 1)], "doc int, n_pages int")
+    read = spark.createDataFrame([(1, 2, "b ", True), (1, 1, " a", False), (2, 1, "", True), (None, 1, "x", False), (9, 1, "lost", False)], "doc int, page int, page_text string, fell_back boolean")
+    got = readings.document_texts(docs, read, "doc", "easyocr")
+    assert got.columns == ["doc", "text", "n_pages", "n_images", "method"] and got.schema["doc"].dataType.simpleString() == "int"
+    both = "easyocr+vision"
+    want = [(1, "a\n\nb", 2, 2, both), (1, "a\n\nb", None, 2, both), (2, "", 3, 1, "vision"), (None, "x", 4, 1, "easyocr"), (5, "", 1, 0, "vision")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    plan = got._jdf.queryExecution().executedPlan().toString().rpartition("Initial Plan")[2]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_small_helpers(spark):
     m = spark.createDataFrame([({"a": "", "b": "x"},), ({},), (None,)], "m map<string,string>")
     assert [r[0] for r in m.select(first_of(F.col("m"), "a", "b")).collect()] == ["x", "", ""]
