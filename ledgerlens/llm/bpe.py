@@ -20,6 +20,7 @@ import itertools
 import json
 import re
 import unicodedata
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,8 @@ RUNS = (r"\p{L}*", r"\p{N}*", r"\s*", r"[^\s\p{L}\p{N}]*")
 AHEAD = 3
 #: A piece of more characters is encoded as it comes.
 LONG = 1024
-#: Characters fed at once, pieces remembered by a task, tokens in one Arrow batch.
-CHUNK, REMEMBERED, BATCH_TOKENS = 1 << 16, 1 << 18, 1 << 20
+#: Characters fed at once, characters whose new pieces are merged together, pieces remembered by a task, tokens in one Arrow batch.
+CHUNK, TOGETHER, REMEMBERED, BATCH_TOKENS = 1 << 16, 1 << 20, 1 << 18, 1 << 20
 #: Bits of an id beside its rule's rank, what stands for no rule, and how many bytes are merged without a heap.
 ID_BITS, NO_RULE, FEW = 24, 1 << 60, 64
 
@@ -46,6 +47,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as four bytes each."""
+    return array("i", ids).tobytes()
+
+
 def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
     """Bytes before the end of a text within which later text can still change tokens; see the module's text.
 
@@ -99,6 +105,64 @@ class Model:
         ids = list(map(self.of_byte.__getitem__, data))
         return self._few(ids) if len(ids) <= FEW else self._many(ids)
 
+    @functools.cached_property
+    def tables(self):
+        """Ids of bytes, rules of two bytes, and all pairs in order with their rules, as arrays; made where they are used, not sent."""
+        import numpy as np
+
+        pairs = sorted((a << ID_BITS | b, rule) for (a, b), rule in self.rules.items())
+        keys, found = (np.array([p[i] for p in pairs] + [NO_RULE], dtype=np.int64) for i in range(2))
+        bytewise = [self.rules.get((a, b), NO_RULE) for a in self.of_byte for b in self.of_byte]
+        return np.array(self.of_byte, dtype=np.int64), np.array(bytewise, dtype=np.int64), keys, found
+
+    def merged_together(self, pieces: list[bytes]) -> list[bytes]:
+        """``merged`` of many short pieces, none of them empty, each packed: a round makes one merge in every piece that has one left."""
+        import numpy as np
+
+        of_byte, bytewise, keys, rules = self.tables
+
+        def rule_of(left, right):
+            wanted = left << ID_BITS | right
+            at = np.searchsorted(keys, wanted)
+            at[at == len(keys)] = 0
+            return np.where(keys[at] == wanted, rules[at], NO_RULE)
+
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
+        owner = np.repeat(np.arange(len(pieces)), list(map(len, pieces)))
+        ids, ranks = of_byte[data], np.full(len(data), NO_RULE, dtype=np.int64)  # a place's rank is that of its pair with the next
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        ranks[inner] = bytewise[data[inner] << 8 | data[inner + 1]]
+        done = []
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            sizes = np.diff(starts, append=len(ids))
+            least = np.minimum.reduceat(ranks, starts)
+            goes_on = np.repeat(least != NO_RULE, sizes)
+            if not goes_on.all():
+                done.append((owner[~goes_on], ids[~goes_on]))
+                least = np.repeat(least, sizes)[goes_on]
+                owner, ids, ranks = owner[goes_on], ids[goes_on], ranks[goes_on]
+            else:
+                least = np.repeat(least, sizes)
+            hits = np.flatnonzero(ranks == least)
+            if not len(hits):
+                break
+            at = hits[np.concatenate(([True], owner[hits[1:]] != owner[hits[:-1]]))]  # the leftmost
+            ids[at] = ranks[at] & (1 << ID_BITS) - 1
+            kept = np.ones(len(ids), dtype=bool)
+            kept[at + 1] = False
+            at -= np.arange(len(at))  # places once those behind them are gone
+            owner, ids, ranks = owner[kept], ids[kept], ranks[kept]
+            ranks[at] = NO_RULE
+            left = np.concatenate((at, at[at > 0] - 1))
+            left = left[left < len(ids) - 1]
+            left = left[owner[left] == owner[left + 1]]
+            ranks[left] = rule_of(ids[left], ids[left + 1])
+        owners, ids = (np.concatenate([d[i] for d in done]) if done else np.zeros(0, dtype=np.int64) for i in range(2))
+        flat = ids[np.argsort(owners, kind="stable")].astype(np.int32).tobytes()
+        ends = (np.cumsum(np.bincount(owners, minlength=len(pieces))) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _few(self, ids: list[int]) -> list[int]:
         """By looking for the least rank again and again."""
         rule = self.rules.get
@@ -172,7 +236,10 @@ def odd_classes() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of a text that comes in parts: ``feed`` gives what is final, ``finish`` the rest."""
+    """Ids of a text that comes in parts: ``feed`` gives what is final, ``finish`` the rest.
+
+    Inside, a result is a list of packed ids and of short pieces that are not known yet; ``resolved`` merges those of many results together.
+    """
 
     def __init__(self, model: Model, odd: dict[int, str]):
         import regex
@@ -182,14 +249,29 @@ class Encoder:
         # Alternatives are tried in their order: longer added tokens first.
         self.marks = re.compile("|".join(re.escape(t) for t in sorted(model.added, key=len, reverse=True))) if model.added else None
         self.longest_mark = max(map(len, model.added), default=0)
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self._start()
 
     def _start(self) -> None:
         self.raw, self.rest, self.run, self.open = "", "", None, bytearray()
 
     def feed(self, text: str) -> list[int]:
-        out: list[int] = []
+        return array("i", self.resolved([self.fed(text)])[0]).tolist()
+
+    def finish(self) -> list[int]:
+        return array("i", self.resolved([self.finished()])[0]).tolist()
+
+    def resolved(self, results: list[list]) -> list[bytes]:
+        """Packed ids of each result."""
+        new = list({p for parts in results for p in parts if p.__class__ is str})
+        found = dict(zip(new, self.model.merged_together([p.encode() for p in new]), strict=True))
+        if len(self.pieces) + len(found) > REMEMBERED:
+            self.pieces.clear()
+        self.pieces.update(itertools.islice(found.items(), REMEMBERED))
+        return [b"".join([found[p] if p.__class__ is str else p for p in parts]) for parts in results]
+
+    def fed(self, text: str) -> list:
+        out: list = []
         raw = self.raw + text
         at = 0
         if self.marks:
@@ -198,19 +280,19 @@ class Encoder:
                 if len(raw) - m.start() < self.longest_mark:
                     break
                 self._segment(raw[at : m.start()], True, out)
-                out.append(self.model.added[m[0]])
+                out.append(packed([self.model.added[m[0]]]))
                 at = m.end()
         stop = max(at, len(raw) - self.longest_mark + 1) if self.marks else len(raw)
         self._segment(raw[at:stop], False, out)
         self.raw = raw[stop:]
         return out
 
-    def finish(self) -> list[int]:
-        out: list[int] = []
+    def finished(self) -> list:
+        out: list = []
         at = 0
         for m in self.marks.finditer(self.raw) if self.marks else ():
             self._segment(self.raw[at : m.start()], True, out)
-            out.append(self.model.added[m[0]])
+            out.append(packed([self.model.added[m[0]]]))
             at = m.end()
         self._segment(self.raw[at:], True, out)
         self._start()
@@ -223,7 +305,7 @@ class Encoder:
         except UnicodeEncodeError:
             return text.translate(self.odd) if self.odd else text
 
-    def _segment(self, text: str, last: bool, out: list[int]) -> None:
+    def _segment(self, text: str, last: bool, out: list) -> None:
         """Pieces between two added tokens; ``last``: the segment ends with this text."""
         text = self.rest + text
         view, at = self._view(text), 0
@@ -245,7 +327,7 @@ class Encoder:
                 break
         self.rest = "" if last else text[at:]
 
-    def _settled(self, text: str, view: str, at: int, limit: int, out: list[int]) -> int:
+    def _settled(self, text: str, view: str, at: int, limit: int, out: list) -> int:
         if view is text:
             pieces = self.split.findall(text, at)
             end = len(text)
@@ -259,32 +341,23 @@ class Encoder:
                     break
                 pieces.append(text[m.start() : m.end()])
                 end = m.end()
-        ids = list(map(self.pieces.get, pieces))
-        for i, p in enumerate(pieces):
-            if ids[i] is None:
-                ids[i] = self._piece(p)
-        out.extend(itertools.chain.from_iterable(ids))
+        if max(map(len, pieces), default=0) > FEW:
+            for p in pieces:
+                out.append(self._long_piece(p) if len(p) > FEW else self.pieces.get(p, p))
+        else:
+            out.extend(map(self.pieces.get, pieces, pieces))
         return end
 
-    def _piece(self, piece: str) -> list[int]:
-        """Ids of a piece that was not remembered when its text was split."""
-        ids = self.pieces.get(piece)
-        if ids is not None:
-            return ids
-        if len(piece) > LONG:
-            ids = []
-            for i in range(0, len(piece), LONG):
-                self._push(piece[i : i + LONG], ids)
-            self._close(ids)
-            return ids
-        ids = self.model.merged(piece.encode())
-        if len(piece) <= FEW:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+    def _long_piece(self, piece: str) -> bytes:
+        if len(piece) <= LONG:
+            return packed(self.model.merged(piece.encode()))
+        ids: list = []
+        for i in range(0, len(piece), LONG):
+            self._push(piece[i : i + LONG], ids)
+        self._close(ids)
+        return b"".join(ids)
 
-    def _go_on(self, text: str, view: str, at: int, last: bool, out: list[int]) -> int:
+    def _go_on(self, text: str, view: str, at: int, last: bool, out: list) -> int:
         """What belongs to the open run from ``at`` on; the end of it, or of what can be said yet."""
         end = self.runs[self.run].match(view, at).end()
         if end == len(text) and not last:
@@ -298,22 +371,23 @@ class Encoder:
         self.run = None
         return end
 
-    def _push(self, text: str, out: list[int]) -> None:
+    def _push(self, text: str, out: list) -> None:
         data, room = text.encode(), self.model.window
         for i in range(0, len(data), room):
             self.open += data[i : i + room]
             if len(self.open) >= room:
-                final, end = len(self.open) - self.model.lookahead, 0
+                final, end, settled = len(self.open) - self.model.lookahead, 0, []
                 for t in self.model.merged(bytes(self.open)):
                     size = len(self.model.bytes_of[t])
                     if end + size > final:
                         break
-                    out.append(t)
+                    settled.append(t)
                     end += size
+                out.append(packed(settled))
                 del self.open[:end]
 
-    def _close(self, out: list[int]) -> None:
-        out += self.model.merged(bytes(self.open))
+    def _close(self, out: list) -> None:
+        out.append(packed(self.model.merged(bytes(self.open))))
         self.open.clear()
 
 
@@ -355,13 +429,19 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", i
             return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else [], pa.int32()))], names=["_id", "_ids"])
 
         for batch in parts:
-            found, start, held = [], 0, 0
+            found, waiting, start, held, read = [], [], 0, 0, 0
             for i, value in enumerate(batch.column(1)):
                 text, ids = value.as_py() or "", []
                 for at in range(0, len(text), CHUNK):
-                    ids += own.feed(text[at : at + CHUNK])
-                found.append(np.array(ids + own.finish(), dtype=np.int32))
-                held += len(found[-1])
+                    ids += own.fed(text[at : at + CHUNK])
+                    if at % TOGETHER == TOGETHER - CHUNK:  # so much of one text is not left to wait
+                        ids = own.resolved([ids])
+                waiting.append(ids + own.finished())
+                read += len(text)
+                if read >= TOGETHER or i + 1 == len(batch):
+                    found += [np.frombuffer(x, dtype=np.int32) for x in own.resolved(waiting)]
+                    held += sum(map(len, found[-len(waiting) :]))
+                    waiting, read = [], 0
                 if held >= BATCH_TOKENS:
                     yield rows(batch.column(0)[start : i + 1], found)
                     found, start, held = [], i + 1, 0

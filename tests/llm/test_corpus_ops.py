@@ -269,3 +269,19 @@ def test_bpe_edges(spark, library):
     assert bpe.decode(bpe.encode(docs_of(spark, []))).collect() == []
     odd = spark.createDataFrame([(None,), ([None, 64, 999_999, 255],)], "ids array<int>")
     assert [r["text"] for r in bpe.decode(odd).collect()] == ["", library.decode([64, 255])]
+
+
+def test_bpe_merges_together(model):
+    draw, tokens = random.Random(7), [t for t in model.bytes_of.values() if len(t) < 20]
+    pieces = [b"".join(draw.choices(tokens, k=draw.randrange(1, 7))) for _ in range(3000)] + [bytes(draw.choices(b" =-a0e", k=draw.randrange(1, 60))) for _ in range(3000)] + [bytes([b]) for b in range(256)]
+    assert model.merged_together(pieces) == [bpe.packed(model.merged(p)) for p in pieces]
+    assert model.merged_together([]) == []
+
+
+def test_bpe_short_pieces_are_never_merged_alone(model, monkeypatch):
+    want = bpe.Encoder(model, {}).feed("Unos xqzw palabros: 12345, fin. ")
+    monkeypatch.setattr(bpe.Model, "_few", None)  # as it was, every new piece came by here
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    own = bpe.Encoder(model, {})
+    assert own.feed("Unos xqzw palabros: 12345, fin. ") == want and len(own.pieces) <= 3
+    assert own.resolved([own.fed("x " * 9), [], own.finished()])[1] == b""
